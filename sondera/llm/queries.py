@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, secrets, warc
+from . import langid, mixing, packing, quality, secrets, warc
 
-QUERIES = {"op3_warc": warc.op3_warc, "op4_quality": quality.op4_quality, "op5_mixing": mixing.op5_mixing, "op6_secrets": secrets.op6_secrets, "op10_language_id": langid.op10_language_id}
+QUERIES = {"op3_warc": warc.op3_warc, "op4_quality": quality.op4_quality, "op5_mixing": mixing.op5_mixing, "op6_secrets": secrets.op6_secrets, "op8_packing": packing.op8_packing, "op10_language_id": langid.op10_language_id}
 SQL = {"op3_warc": warc.OP3_SQL}
