@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, secrets, warc
+from . import langid, linededup, mixing, packing, quality, secrets, warc
 
-QUERIES = {"op3_warc": warc.op3_warc, "op4_quality": quality.op4_quality, "op5_mixing": mixing.op5_mixing, "op6_secrets": secrets.op6_secrets, "op8_packing": packing.op8_packing, "op10_language_id": langid.op10_language_id}
-SQL = {"op3_warc": warc.OP3_SQL}
+QUERIES = {
+    "op2_line_dedup": linededup.op2_line_dedup,
+    "op3_warc": warc.op3_warc,
+    "op4_quality": quality.op4_quality,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_secrets": secrets.op6_secrets,
+    "op8_packing": packing.op8_packing,
+    "op10_language_id": langid.op10_language_id,
+}
+SQL = {"op2_line_dedup": linededup.OP2_SQL, "op3_warc": warc.OP3_SQL}
