@@ -195,3 +195,89 @@ def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str)
             break
         mark = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+#: Documents of a block: ids that share doc_id div BLOCK. Blocks are what the key exchange answers to.
+BLOCK = 512
+
+
+def block_of(doc_id):
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.floor(doc_id / BLOCK), F.lit(-1)).cast("long")
+
+
+def place(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket, and the 32-bit key in it, of 64-bit hashes."""
+    return (h >> np.uint64(32)) % np.uint64(buckets), h.astype(np.uint32)
+
+
+class KeyRows:
+    """Rows (bucket, k, keys, counts) for repeated_keys() from blocks' distinct hashes."""
+
+    SCHEMA = pa.schema([("bucket", pa.int32()), ("k", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    DDL = "bucket int, k long, keys binary, counts binary"
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def rows(self, k: int, hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        b, key = place(hashes, self.buckets)
+        order = np.argsort(b, kind="stable")
+        b, key, times = b[order], key[order], np.minimum(times[order], 255).astype(np.uint8)
+        at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.empty(0, int)
+        to = np.append(at[1:], len(b)) if len(b) else at
+        return rows(self.SCHEMA, bucket=b[at].astype(np.int32), k=np.full(len(at), k), keys=[blob(key[x:y]) for x, y in zip(at, to, strict=True)], counts=[blob(times[x:y]) for x, y in zip(at, to, strict=True)])
+
+
+def repeated_keys(sent: DataFrame) -> DataFrame:
+    """(k, bucket, keys, level): of the keys that each block sent, those that all blocks together hold twice or more.
+
+    level is the rounded-down binary logarithm of the total. A key comes once from each block at most, however often
+    the block holds it, so a key that a third of all documents share is pre-aggregated.
+    """
+    schema = pa.schema([("k", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("level", pa.binary())])
+
+    def count(t: pa.Table) -> pa.Table:
+        ks, keys = t.column("k").to_numpy(), [np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("counts").to_pylist()])
+        _, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inv, counts)[inv].astype(np.int64)
+        level = np.minimum(np.frexp(total)[1] - 1, 60).astype(np.uint8)
+        out, at = {"k": [], "keys": [], "level": []}, 0
+        for k, x in zip(ks, keys, strict=True):
+            hit = np.flatnonzero(total[at : at + len(x)] > 1)
+            if len(hit):
+                out["k"].append(k), out["keys"].append(blob(x[hit])), out["level"].append(blob(level[at + hit]))
+            at += len(x)
+        bucket = t.column("bucket")[0].as_py()
+        return pa.Table.from_batches([rows(schema, bucket=[bucket] * len(out["k"]), **out)], schema)
+
+    return sent.groupBy("bucket").applyInArrow(count, "k long, bucket int, keys binary, level binary")
+
+
+class Repeated:
+    """The answer of repeated_keys() to one block: level of each hash (0: it is alone)."""
+
+    def __init__(self, flags: pa.Table, buckets: int):
+        self.buckets = buckets
+        key = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(flags.column("bucket").to_pylist(), flags.column("keys").to_pylist(), strict=True)]
+        lev = [np.frombuffer(x, np.uint8) for x in flags.column("level").to_pylist()]
+        self.key = np.concatenate(key) if key else np.empty(0, np.uint64)
+        self.lev = np.concatenate(lev) if lev else np.empty(0, np.uint8)
+        order = np.argsort(self.key, kind="stable")
+        self.key, self.lev = self.key[order], self.lev[order]
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(h), np.uint8)
+        b, key = place(h, self.buckets)
+        want = (b << np.uint64(32)) | key
+        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return np.where(self.key[at] == want, self.lev[at], 0).astype(np.uint8)
+
+
+def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of the runs of equal values."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else []
+    yield from zip(at, [*at[1:], len(x)], strict=True)

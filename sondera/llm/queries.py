@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mixing, packing, quality, secrets, warc
+from . import jaccard, langid, linededup, mixing, packing, quality, secrets, warc
 
 QUERIES = {
     "op2_line_dedup": linededup.op2_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_secrets": secrets.op6_secrets,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_packing": packing.op8_packing,
     "op10_language_id": langid.op10_language_id,
 }
