@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, linededup, mixing, packing, quality, secrets, warc
+from . import jaccard, langid, linededup, mixing, packing, quality, secrets, substring, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_warc": warc.op3_warc,
     "op4_quality": quality.op4_quality,
