@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, linededup, mixing, packing, quality, secrets, substring, warc
+from . import embeddings, jaccard, langid, linededup, mixing, packing, quality, secrets, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_packing": packing.op8_packing,
+    "op9_embedding_dedup": embeddings.op9_embedding_dedup,
     "op10_language_id": langid.op10_language_id,
 }
 SQL = {"op2_line_dedup": linededup.OP2_SQL, "op3_warc": warc.OP3_SQL}
