@@ -164,6 +164,28 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Filters:
     return Filters.build(langs, [found[x] for x in langs], max(range(len(langs)), key=lambda i: (size.get(langs[i], 0), -i), default=-1))
 
 
+class Judge:
+    """Decides texts with a table of the words met; a word is looked up in the filters once."""
+
+    def __init__(self, f: Filters):
+        self.f, self.code = f, WordCode()
+        self.table = np.zeros((1 << 16, len(f.langs) + 2), np.int16)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.code.words) > WORD_TABLE:
+            self.code.reset()
+        known = len(self.code.words)
+        idx = [self.code.of(t.split()) for t in texts]
+        while len(self.table) < len(self.code.words):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for at in range(known, len(self.code.words), 50_000):
+            part = self.f.counts(self.code.words[at : at + 50_000])
+            if part.max(initial=0) > 32_000 and self.table.dtype != np.int64:
+                self.table = self.table.astype(np.int64)
+            self.table[at : at + len(part)] = part
+        return self.f.decide(np.stack([self.table[i].sum(0, dtype=np.int64) for i in idx]))
+
+
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred, score, share for every row; only `text` decides.
 
@@ -178,25 +200,10 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, code = shared.value, WordCode()
-        table = np.zeros((1 << 16, len(f.langs) + 2), np.int16)
+        judge = Judge(shared.value)
         for b in text_slices(batches):
-            if len(code.words) > WORD_TABLE:
-                code.reset()
-            known = len(code.words)
-            docs_words = [t.split() for t in texts_of(b)]
-            idx = [code.of(w) for w in docs_words]
-            if len(code.words) > known:
-                while len(table) < len(code.words):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                for at in range(known, len(code.words), 50_000):
-                    part = f.counts(code.words[at : at + 50_000])
-                    if part.max(initial=0) > 32_000 and table.dtype != np.int64:
-                        table = table.astype(np.int64)
-                    table[at : at + len(part)] = part
-            sums = np.stack([table[i].sum(0, dtype=np.int64) for i in idx])
-            best, score, share = f.decide(sums)
-            names = [f.langs[i] if i >= 0 else UNDETERMINED for i in best]
+            best, score, share = judge.of(texts_of(b))
+            names = [judge.f.langs[i] if i >= 0 else UNDETERMINED for i in best]
             yield rows(schema, doc_id=b.column("doc_id"), lang_pred=names, score=score, share=share)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, share double")
@@ -206,3 +213,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs, train(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "share")
+
+
+#: A document is rejected if less of its n-grams than this is in the filter of its language.
+MIN_SHARE = 0.3
+
+
+def keep_identified(docs: DataFrame, filters: Filters, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of docs, unchanged, whose text has letters and is in a learned language (see predict)."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(shared.value)
+        for b in text_slices(batches):
+            best, _, share = judge.of(texts_of(b))
+            yield b.filter(pa.array((best >= 0) & (share >= min_share)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,14 +27,14 @@ BLOCK_DOCS, MOST_BLOCKS = 64, 1 << 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of each whole text (null: 0)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+    """doc_id, source, text_hash, size: words of each whole text (null: 0)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            yield rows(schema, doc_id=b.column("doc_id"), source=b.column("source"), size=[len(t.split()) for t in texts_of(b)])
+            yield rows(schema, doc_id=b.column("doc_id"), source=b.column("source"), text_hash=b.column("text_hash"), size=[len(t.split()) for t in texts_of(b)])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, size long")
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, source string, text_hash long, size long")
 
 
 def water_fill(size: np.ndarray, weight: np.ndarray, total: float = TOTAL, most: float = MOST) -> np.ndarray:
@@ -160,9 +160,21 @@ def with_row_key(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumn("row_key", F.xxhash64(*cols, F.row_number().over(alike)))
 
 
+def mixed_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs as the mix takes them: a row for each copy, in the order of the output shards. Columns are those of docs."""
+    n = tasks(docs.sparkSession)
+    sized = scratch.cut(with_row_key(sizes(docs), "doc_id", "source", "text_hash"), "sizes")
+    mixed = mix(sized, scratch, shards=n).select("row_key", "epoch", "shard", "place")
+    named = sized.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_t"), "row_key")
+    copies = mixed.join(named, "row_key")
+    d = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_text_hash"])  # alike rows are told apart by row_key
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_text_hash") == F.col("_t"))
+    return shuffled(d.join(copies, on), n).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    sized = scratch.cut(with_row_key(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id", "source", "size"), "sizes")
+    sized = scratch.cut(with_row_key(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id", "source", "text_hash"), "sizes")
     mixed = mix(sized, scratch)
     times = mixed.groupBy("row_key").agg(F.sum("size").alias("taken"))
     by = scratch.spark.read.parquet(scratch.path("targets")).select(F.col("source").alias("_s"), "source_size", "target")
