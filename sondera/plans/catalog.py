@@ -1,6 +1,9 @@
-"""All queries of the reference's operators, by name, with the SQL that gives the same rows."""
+"""All queries of the retrieval engine, by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import corpora, retrieval, stores
+from .registry import QUERIES, SQL
+from .retrieval import flagship
+
+__all__ = ["QUERIES", "SQL", "corpora", "flagship", "retrieval", "stores"]
