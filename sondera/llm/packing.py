@@ -18,18 +18,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, WordCode, rows, tasks, text_slices, texts_of
+from .common import WordCode, rows, tasks, text_slices, texts_of
 
 WINDOW, END_ID = 4096, 2
 #: Penalties, in tokens of padding, of a cut at a sentence end and of one within a sentence.
 AT_SENTENCE, WITHIN = 4.0, 24.0
 #: Within a sentence, cuts are considered at each so many tokens.
 STRIDE = 32
+#: Of the sentence ends in a stretch of so many tokens, the last is considered.
+CELL = 24
 #: Tokens that are cut together: a chunk ends with the document that fills it.
 CHUNK = 64 * WINDOW
-STEMS = 300_000
-#: A Latin-1 word with a full stop or comma is tokenised as its lower-case letters, then the mark.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Words and stems that a worker remembers. Full, the word table keeps the words met again since it was last full.
+WORDS, STEMS = 600_000, 800_000
+#: A Latin-1 word with signs behind it is tokenised as its lower-case letters, then the signs (an apostrophe may begin a
+#: token with letters, so it isn't among them); other words as they are.
+_PLAIN = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)|(.*))$", re.M)
 
 
 class Tokens:
@@ -41,41 +45,84 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tk, self.code, self.stems = Tokenizer.from_file(path), WordCode(), {}
+        self.tk = Tokenizer.from_file(path)
+        vocab = self.tk.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a stem
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.code = WordCode()
+        self.stem, self.mark, self.stop, self.hits = (np.zeros(1 << 16, t) for t in (np.int32, np.int32, bool, np.int32))
+        self._reset_stems()
+
+    def _reset_stems(self) -> None:
+        """Stem 0 is empty. Signs are stems as well."""
+        self.stems: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.off, self.n, self.stop = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
-
-    def _encode(self, texts: list[str]) -> None:
-        for t, e in zip(texts, self.tk.encode_batch(texts, add_special_tokens=False), strict=True):
-            self.stems[t] = e.ids
-
-    def _learn(self, words: list[bytes], known: int) -> None:
-        while len(self.n) < known + len(words):
-            self.off, self.n, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.n, self.stop))
-        parts = []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            m = _PLAIN.fullmatch(s)
-            parts.append((m[1].lower(), m[2]) if m else (s, ""))
-        need = {p for x in parts for p in x if p and p not in self.stems}
-        self._encode(sorted(need))
-        ids = [self.stems[a] + self.stems[b] if b else self.stems[a] for a, b in parts]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
+        self.off, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._store([""], [[]])
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tk.encode(text, add_special_tokens=False).ids
+
+    def _store(self, stems: list[str], ids: list[list[int]] | None = None, flat: np.ndarray | None = None, n: np.ndarray | None = None) -> None:
+        if ids is not None:
+            flat, n = np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+        first = len(self.stems)
+        self.stems.update(zip(stems, range(first, first + len(stems)), strict=True))
+        while len(self.n) < len(self.stems):
+            self.off, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.n))
         while len(self.flat) < self.used + len(flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
-        to = slice(known, known + len(words))
-        self.off[to], self.n[to], self.stop[to] = self.used + np.cumsum(n) - n, n, [w[-1] in b".!?" for w in words]
+        self.off[first : first + len(stems)], self.n[first : first + len(stems)] = self.used + np.cumsum(n) - n, n
         self.used += len(flat)
+
+    def _learn_stems(self, plain: list[str], other: list[str]) -> None:
+        """Plain stems are encoded many at a time, joined by spaces; a stem's ids end with one that ends a word."""
+        for at in range(0, len(plain), 4000):
+            part = plain[at : at + 4000]
+            ids = np.array(self.tk.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                self._store(part, flat=ids, n=np.diff(ends, prepend=0))
+            else:
+                self._store(part, [self._ids(x) for x in part])
+        if other:
+            self._store(other, [e.ids for e in self.tk.encode_batch_fast(other, add_special_tokens=False)])
+
+    def _learn(self, known: int) -> None:
+        words = self.code.words[known:]
+        while len(self.stem) < len(self.code.words):
+            self.stem, self.mark, self.stop, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.stem, self.mark, self.stop, self.hits))
+        parts = _PLAIN.findall(b"\n".join(words).decode("utf-8", "replace"))
+        keys = [a.lower() or z for a, _, z in parts]
+        new = {k: bool(a) for k, (a, _, _) in zip(keys, parts, strict=True) if k not in self.stems}
+        new |= dict.fromkeys({m for _, m, _ in parts}.difference(self.stems, new), False)
+        if new:
+            self._learn_stems([k for k, plain in new.items() if plain], [k for k, plain in new.items() if not plain])
+        to = slice(known, known + len(words))
+        self.stem[to] = np.fromiter(map(self.stems.__getitem__, keys), np.int32, len(keys))
+        self.mark[to] = [self.stems[m] for _, m, _ in parts]
+        self.stop[to] = [w[-1] in b".!?" for w in words]
+        self.hits[to] = 0
+
+    def _make_room(self) -> None:
         if len(self.stems) > STEMS:
-            self.stems.clear()
+            self._reset_stems()
+            self.code.reset()
+        elif len(self.code.words) > WORDS:
+            keep = np.flatnonzero(self.hits[: len(self.code.words)] > 1)
+            keep = keep[np.argsort(-self.hits[keep], kind="stable")[: WORDS // 2]]
+            words = [self.code.words[i] for i in keep]
+            self.code.reset()
+            self.code.update(zip(words, range(len(words)), strict=True))
+            self.code.words = words
+            for x in (self.stem, self.mark, self.stop):
+                x[: len(keep)] = x[keep]
+            self.hits[: len(keep)] = 0
 
     def of(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, places in them where a sentence or line ends) of each text, without the end id."""
-        if len(self.code.words) > WORD_TABLE:
-            self.code.reset()
-            self.used = 0
+        self._make_room()
         known = len(self.code.words)
         words, breaks, ends = [], [], []
         for t in texts:
@@ -84,11 +131,15 @@ class Tokens:
                 breaks.append(len(words))
             ends.append(len(words))
         c = self.code.of(words)
-        self._learn(self.code.words[known:], known) if len(self.code.words) > known else None
-        n = self.n[c]
+        if len(self.code.words) > known:
+            self._learn(known)
+        self.hits[: len(self.code.words)] += np.bincount(c, minlength=len(self.code.words)).astype(np.int32)
+        units = np.empty(2 * len(c), np.int64)
+        units[0::2], units[1::2] = self.stem[c], self.mark[c]
+        n = self.n[units]
         upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(self.off[c] - upto[:-1], n) + np.arange(upto[-1])
-        ids = self.flat[at]
+        ids = self.flat[np.repeat(self.off[units] - upto[:-1], n) + np.arange(upto[-1])]
+        upto = upto[0::2]
         stop = np.zeros(len(words) + 1, bool)
         stop[1:] = self.stop[c]
         stop[breaks] = True
@@ -100,6 +151,16 @@ class Tokens:
             a = z
 
 
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The worker process's tokens: tasks that follow each other in it share what it has learned."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
 def tail_pieces(length: int) -> list[int]:
     """Powers of two, largest first, that add up to length."""
     return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
@@ -152,6 +213,7 @@ def candidates(lengths: np.ndarray, sentence: list[np.ndarray]) -> tuple[np.ndar
     ends = np.cumsum(lengths)
     starts = ends - lengths
     s = np.concatenate([x[(x > 0) & (x < n - 1)] + a for x, n, a in zip(sentence, lengths, starts, strict=True)] or [np.empty(0, np.int64)])
+    s = s[np.append(np.diff(s // CELL) > 0, True)] if len(s) else s
     at = np.unique(np.concatenate([[0], s, ends]))
     gap = np.diff(at)
     wide = np.flatnonzero(gap > 2 * STRIDE)
@@ -184,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
     schema = _SCHEMA.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, number = Tokens(path), TaskContext.get().partitionId() << 32
+        tokens, number = tokens_of(path), TaskContext.get().partitionId() << 32
         docs_in: list[tuple[int | None, np.ndarray, np.ndarray]] = []
         held = 0
 
