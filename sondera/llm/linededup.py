@@ -18,14 +18,14 @@ from .common import Scratch, tasks
 MIN_LINES, MIN_CHARS = 2, 100
 #: A line with a word.
 WORD = r"[^\x20\x09-\x0D]"
-DOC = ("doc_id", "_th")
+DOC = ("doc_id", "__ld_th")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, _th (hash of the text), pos (number among the lines with a word), at (number among all lines), a 128-bit line ID, chars."""
+    """doc_id, __ld_th (hash of the text), pos (number among the lines with a word), at (number among all lines), a 128-bit line ID, chars."""
     numbered = F.transform(F.split("text", "\n"), lambda x, j: F.struct(x.alias("x"), j.alias("j")))
     words = F.transform(F.filter(numbered, lambda y: y["x"].rlike(WORD)), lambda y, i: F.struct(i.alias("pos"), y["j"].alias("at"), F.xxhash64(y["x"]).alias("a"), F.xxhash64(F.lit("line"), y["x"]).alias("b"), F.length(y["x"]).alias("chars")))
-    return docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_th"), F.explode(words).alias("l")).select(*DOC, "l.*")
+    return docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("__ld_th"), F.explode(words).alias("l")).select(*DOC, "l.*")
 
 
 def ranked(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -57,7 +57,7 @@ def later(a: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, _th, at: the lines that a later copy of a repeated run covers.
+    """doc_id, __ld_th, at: the lines that a later copy of a repeated run covers.
 
     A run is of consecutive lines with a word; lines without one are passed over and stay. It counts if it has
     min_lines lines or a line of min_chars characters, and is deleted wherever the same sequence also starts
@@ -74,31 +74,31 @@ def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_c
         depth += step
     covered = later(a).select(*DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
     long = later(one.where(F.col("chars") >= min_chars).select(*DOC, "pos", "r"))
-    hit = covered.union(long).distinct().select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), F.col("pos").alias("_p"))
+    hit = covered.union(long).distinct().select(F.col("doc_id").alias("__ld_d"), F.col("__ld_th").alias("__ld_t"), F.col("pos").alias("_p"))
     places = one.select(*DOC, "pos", "at").distinct()
-    return places.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")) & (F.col("pos") == F.col("_p"))).select(*DOC, "at")
+    return places.join(hit, F.col("doc_id").eqNullSafe(F.col("__ld_d")) & (F.col("__ld_th") == F.col("__ld_t")) & (F.col("pos") == F.col("_p"))).select(*DOC, "at")
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with later copies of repeated line runs deleted from `text`, and _n_lines and _n_removed.
+    """docs with later copies of repeated line runs deleted from `text`, and __ld_lines and __ld_removed.
 
     Other columns are unchanged. A null text stays null (0 lines); a text that loses all lines becomes empty.
     """
-    gone = repeats(docs, scratch, min_lines, min_chars).groupBy(*DOC).agg(F.sort_array(F.collect_set("at")).alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "_gone")
-    d = docs.withColumn("_th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    gone = repeats(docs, scratch, min_lines, min_chars).groupBy(*DOC).agg(F.sort_array(F.collect_set("at")).alias("__ld_gone"))
+    gone = gone.select(F.col("doc_id").alias("__ld_d"), F.col("__ld_th").alias("__ld_t"), "__ld_gone")
+    d = docs.withColumn("__ld_th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__ld_d")) & (F.col("__ld_th") == F.col("__ld_t")), "left")
     lines = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda j: F.get(lines, j))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ld_gone")), lambda j: F.get(lines, j))
     d = d.withColumns({
-        "_n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+        "__ld_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "__ld_removed": F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long"),
+        "text": F.when(F.col("__ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
     })
-    return d.select(*(F.col(f"`{c}`") for c in docs.columns), "_n_lines", "_n_removed")
+    return d.select(*(F.col(f"`{c}`") for c in docs.columns), "__ld_lines", "__ld_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("__ld_lines").alias("n_lines"), F.col("__ld_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP2_SQL = r"""

@@ -101,8 +101,8 @@ def mix(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS
 
     sized: doc_id, source, size, and any row_key that tells rows apart. Copies come in epochs: an epoch takes a
     source's blocks in an order of its own, whole while the source's target allows, then of one block the
-    documents that still fit. So a source's words stay within its target and short of it by less than any
-    document left in that block, and a document is taken `most` times (rounded up) at most. A null source is a
+    documents that still fit, and the smallest left if that comes nearer. So a source's words miss its target by
+    half of the smallest document left in that block at most, and a document is taken `most` times (rounded up) at most. A null source is a
     source; rows without words are never taken. Everything follows from the seed and row_key: reruns agree.
     """
     spark, n_shards = sized.sparkSession, shards or tasks(sized.sparkSession)
@@ -140,7 +140,11 @@ def mix(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS
         for size in p["size"]:
             keep.append(size <= room)
             room -= size if size <= room else 0
-        return p[np.array(keep, bool)]
+        keep = np.array(keep, bool)
+        rest = np.where(keep, np.inf, p["size"].to_numpy(float))
+        if len(rest) and room > rest.min() / 2:  # nearer with it than without
+            keep[rest.argmin()] = True
+        return p[keep]
 
     cols = ["doc_id", "row_key", "source", "size", "source_size", "target", "block", "epoch", "room", "shard"]
     part = taken.where("room IS NOT NULL").select(*cols, F.xxhash64("row_key", "epoch", F.lit(seed)).alias("_h"))
@@ -149,9 +153,10 @@ def mix(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS
     return out.withColumn("place", F.xxhash64("row_key", "epoch", "shard", F.lit(seed + 1))).drop("block", "room")
 
 
-def shuffled(mixed: DataFrame, n_shards: int) -> DataFrame:
+def shuffled(mixed: DataFrame, n_shards: int, prefix: str = "") -> DataFrame:
     """The mix in its shards' order: one partition for each shard, shuffled by the seeded place."""
-    return mixed.repartition(n_shards, "shard").sortWithinPartitions("shard", "place", "row_key", "epoch")
+    shard, place, key, epoch = (f"{prefix}{c}" for c in ("shard", "place", "row_key", "epoch"))
+    return mixed.repartition(n_shards, shard).sortWithinPartitions(shard, place, key, epoch)
 
 
 def with_row_key(df: DataFrame, *cols: str) -> DataFrame:
@@ -164,12 +169,12 @@ def mixed_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs as the mix takes them: a row for each copy, in the order of the output shards. Columns are those of docs."""
     n = tasks(docs.sparkSession)
     sized = scratch.cut(with_row_key(sizes(docs), "doc_id", "source", "text_hash"), "sizes")
-    mixed = mix(sized, scratch, shards=n).select("row_key", "epoch", "shard", "place")
-    named = sized.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_t"), "row_key")
-    copies = mixed.join(named, "row_key")
-    d = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_text_hash"])  # alike rows are told apart by row_key
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_text_hash") == F.col("_t"))
-    return shuffled(d.join(copies, on), n).select(*(F.col(f"`{c}`") for c in docs.columns))
+    mixed = mix(sized, scratch, shards=n)
+    named = sized.select("row_key", *(F.col(c).alias(f"__mx_{c}") for c in ("doc_id", "source", "text_hash")))
+    copies = mixed.select("row_key", *(F.col(c).alias(f"__mx_{c}") for c in ("epoch", "shard", "place"))).join(named, "row_key").withColumnRenamed("row_key", "__mx_row_key")
+    d = docs.withColumn("__mx_text", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__mx_text"])  # alike rows are told apart by row_key
+    on = F.col("doc_id").eqNullSafe(F.col("__mx_doc_id")) & F.col("source").eqNullSafe(F.col("__mx_source")) & (F.col("__mx_text") == F.col("__mx_text_hash"))
+    return shuffled(d.join(copies, on), n, "__mx_").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

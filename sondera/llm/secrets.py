@@ -63,14 +63,16 @@ def candidates(t: bytes, spans: list[tuple]) -> list[tuple[int, int]]:
 
 
 class Markov:
-    """First-order character chain with add-half smoothing."""
+    """First-order character chain; a character's followers are smoothed by the frequencies of all characters."""
 
     def __init__(self, strings: list[bytes]):
         n = len(ALPHABET) + 1
-        c = np.full((n, n), 0.5)
+        c = np.zeros((n, n))
         for s in strings:
             x = _CODE[np.frombuffer(s, np.uint8)]
             np.add.at(c, (np.concatenate([[n - 1], x[:-1]]), x), 1)
+        every = c.sum(0) + 0.5
+        c += 8 * every / every.sum()
         self.log = np.log(c / c.sum(1, keepdims=True))
 
     def mean(self, s: bytes) -> float:
