@@ -16,15 +16,15 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go from the texts; n_chars follows. A document that loses its last word so goes."""
-    out = linededup.dedup_lines(docs, Scratch(spark)).where((F.col("_n_removed") == 0) | F.col("text").rlike(linededup.WORD))
-    return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = linededup.dedup_lines(docs, Scratch(spark)).where((F.col("__ld_removed") == 0) | F.col("text").rlike(linededup.WORD))
+    return out.withColumn("n_chars", F.when(F.col("__ld_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the document of the smallest id stays; of equal rows, one."""
     found = jaccard.join(docs, Scratch(spark))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").dropDuplicates()
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
