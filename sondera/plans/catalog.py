@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpora, retrieval, stores
+from . import corpora, planning, retrieval, stores
 from .registry import QUERIES, SQL
 from .retrieval import flagship
 
-__all__ = ["QUERIES", "SQL", "corpora", "flagship", "retrieval", "stores"]
+__all__ = ["QUERIES", "SQL", "corpora", "flagship", "planning", "retrieval", "stores"]
