@@ -162,11 +162,24 @@ def components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+#: Edges that one task solves by itself (32 MB); more are solved by rounds of grouped minima.
+SOLO_EDGES = 1 << 21
+
+
+def solve(t: pa.Table) -> pa.Table:
+    """Components of the edges (a, b) of one table: (node, component)."""
+    a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+    ids, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = components(inv[: len(a)], inv[len(a) :], len(ids))
+    return pa.table({"node": ids, "component": ids[root]})
+
+
+def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str, solo: int = SOLO_EDGES) -> DataFrame:
     """Connected components of edges(a, b) over distributed rows: (node, component), component the smallest node.
 
-    Alternating large-star and small-star steps: each is a grouped minimum, so hot nodes are pre-aggregated
-    and no component is gathered in one place. Stops when a round changes nothing.
+    Up to `solo` edges are solved in one task. More go through alternating large-star and small-star steps: each is a
+    grouped minimum, so hot nodes are pre-aggregated and no component is gathered in one place; they stop when a round
+    changes nothing. Both ways give the same rows (nodes without an edge may be missing).
     """
     from pyspark.sql import functions as F
 
@@ -184,6 +197,8 @@ def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str)
         return out.where("a <> b").distinct()
 
     e = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-0")
+    if e.count() <= solo:
+        return scratch.cut(e.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(lambda t: solve(t), "node long, component long"), f"{tag}-solo")
     mark, k = None, 0
     while True:
         k += 1
@@ -279,5 +294,6 @@ class Repeated:
 
 def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
     """(from, to) of the runs of equal values."""
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else []
-    yield from zip(at, [*at[1:], len(x)], strict=True)
+    if len(x):
+        at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        yield from zip(at, [*at[1:], len(x)], strict=True)
