@@ -1,6 +1,6 @@
 """Substring dedup with compressed FM-indexes.
 
-A window of 20 words belongs to the shard that its minimizer chooses, the least hash of its 12-word grams: equal
+A window of 20 words belongs to the shard that its minimizer chooses, the least hash of its 8-word grams: equal
 windows meet in one shard, whatever surrounds them. A document goes to the shards in fragments, runs of windows with
 one minimizer. Fragments whose minimizer occurs only once in the corpus can't repeat and stay behind. Each shard
 builds a compressed FM-index (the Burrows-Wheeler transform in a wavelet matrix of bit vectors) and streams its
@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import KeyRows, Repeated, Scratch, WordHash, blob, block_of, gram_hashes, repeated_keys, rows, runs, tasks, text_slices, texts_of
 
-WINDOW, GRAM = 20, 12
+WINDOW, GRAM = 20, 8
 #: A fragment, or a run of windows to delete: document, hash of its text, first window, windows.
 _RUN = np.dtype([("d", "<i8"), ("t", "<i8"), ("s", "<u4"), ("w", "<u4")])
 _NULL = -(1 << 63)
@@ -63,8 +64,8 @@ _FRAGMENTS = pa.schema([("shard", pa.int32()), ("k", pa.int64()), ("runs", pa.bi
 def fragments(docs: DataFrame, flags: DataFrame, window: int, gram: int, buckets: int, shards: int) -> DataFrame:
     """(shard, k, runs, words, codes): fragments with a shared minimizer, by shard, coded with the row's own word list.
 
-    A block sends a fragment once, from its first place; its other places are known to be later copies, and are
-    reported as rows of shard -1.
+    A block sends a fragment once, from its first place; its other places are known to be later copies, and come as
+    rows without words, dealt over the shards.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -94,9 +95,9 @@ def fragments(docs: DataFrame, flags: DataFrame, window: int, gram: int, buckets
                     todo.setdefault(s, []).append((d, th, a, w, key))
         for s, f in todo.items():
             u, codes = np.unique(np.frombuffer(b"".join(x[4] for x in f), np.int64), return_inverse=True)
-            out.append((s, blob(np.array([x[:4] for x in f], _RUN)), blob(u), blob(codes.astype(np.uint32))))
+            out.append((s, blob(np.array([x[:4] for x in f], _RUN)), blob(u), blob(codes.astype(np.uint16 if len(u) <= 1 << 16 else np.uint32))))
         if later:
-            out.append((-1, blob(np.array(later, _RUN)), b"", b""))
+            out.append((k % shards, blob(np.array(later, _RUN)), b"", b""))
         s, r, w, c = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.Table.from_batches([rows(_FRAGMENTS, shard=list(s), k=[k] * len(s), runs=list(r), words=list(w), codes=list(c))], _FRAGMENTS)
 
@@ -199,13 +200,18 @@ _LATER = pa.schema([("k", pa.int64()), ("runs", pa.binary())])
 
 def search_shard(window: int):
     def run(t: pa.Table) -> pa.Table:
+        coded = pc.greater(pc.binary_length(t.column("words")), 0)
+        known = t.filter(pc.invert(coded)).select(["k", "runs"]).cast(_LATER)
+        t = t.filter(coded)
+        if not t.num_rows:
+            return known
         parts = [np.frombuffer(x, _RUN) for x in t.column("runs").to_pylist()]
         ks = np.repeat(t.column("k").to_numpy(), [len(x) for x in parts])
         words = [np.frombuffer(x, np.int64) for x in t.column("words").to_pylist()]
-        u, inv = np.unique(np.concatenate(words), return_inverse=True)
+        _, inv = np.unique(np.concatenate(words), return_inverse=True)
         code, a = [], 0
         for w, x in zip(words, t.column("codes").to_pylist(), strict=True):
-            code.append(inv[a : a + len(w)][np.frombuffer(x, np.uint32)] + 2)  # 1 parts fragments
+            code.append(inv[a : a + len(w)][np.frombuffer(x, np.uint16 if len(w) <= 1 << 16 else np.uint32)] + 2)  # 1 parts fragments
             a += len(w)
         code, r = np.concatenate(code).astype(np.int32), np.concatenate(parts)
         length = r["w"].astype(np.int64) + window - 1
@@ -254,7 +260,8 @@ def search_shard(window: int):
         order = np.argsort(ks[i], kind="stable")
         res, kk = res[order], ks[i][order]
         cut = list(runs(kk))
-        return pa.Table.from_batches([rows(_LATER, k=[int(kk[x]) for x, _ in cut], runs=[blob(res[x:y]) for x, y in cut])], _LATER)
+        found = pa.Table.from_batches([rows(_LATER, k=[int(kk[x]) for x, _ in cut], runs=[blob(res[x:y]) for x, y in cut])], _LATER)
+        return pa.concat_tables([known, found])
 
     return run
 
@@ -308,9 +315,8 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gr
     n = 4 * tasks(docs.sparkSession)
     d = docs.select("doc_id", "text", block_of(F.col("doc_id")).alias("k"))
     flags = repeated_keys(blocks_sent(d, window, gram, n))
-    frag = scratch.cut(fragments(d, flags, window, gram, n, n), "fragments")
-    later = frag.where("shard >= 0").groupBy("shard").applyInArrow(search_shard(window), "k long, runs binary")
-    later = scratch.cut(later.union(frag.where("shard < 0").select("k", "runs")), "later")
+    frag = fragments(d, flags, window, gram, n, n // 2)
+    later = scratch.cut(frag.groupBy("shard").applyInArrow(search_shard(window), "k long, runs binary"), "later")
     return rebuild(d, later, window, digest)
 
 
