@@ -19,8 +19,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
-    parsed = lines.withColumn("_r", F.from_json("value", schema))
-    return parsed.select("_r.*", F.when(F.col("_r").isNull(), F.col("value")).alias("_malformed"))
+    fields = schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+    full = T.StructType([*fields.fields, T.StructField("_malformed", T.StringType())])
+    return lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": "_malformed"}).alias("_r")).select("_r.*")
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
