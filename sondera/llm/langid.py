@@ -135,9 +135,15 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Filters:
     in its sample (ties: smaller hash). Languages are in code point order.
     """
     lab = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = lab.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    sample = lab.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "lang")
+    h = F.xxhash64("doc_id")
+    order = Window.partitionBy("lang").orderBy("__h")
+    least = lab.select("lang", h.alias("__h")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
+    bounds = least.groupBy("lang").agg(F.max("__h").alias("most")).collect()  # a number for each language
+    near = F.lit(False)
+    for r in bounds:
+        near = near | ((F.col("lang") == r["lang"]) & (h <= r["most"]))
+    # the texts of the sample alone leave the scan; rows that share the last doc_id are cut to the bound
+    sample = lab.where(near).select("text", "lang", h.alias("__h")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang).select("text", "lang")
 
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
