@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -21,12 +23,14 @@ class Scratch:
     """Intermediate tables as Parquet in the folder that the cluster shares.
 
     The folder is spark.checkpoint.dir; where that is unset, as in tests, a folder in the warehouse.
-    A table outlives lost executors and cuts the lineage. drop() removes one that is no longer read.
+    A table outlives lost executors and cuts the lineage. drop() removes one that is no longer read, close() the
+    folder; it is called when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-        self.spark, self.dir, self.paths = spark, f"{base.rstrip('/')}/sondera-{uuid.uuid4().hex}", {}
+        self.spark, self.dir = spark, f"{base.rstrip('/')}/sondera-{uuid.uuid4().hex}"
+        atexit.register(self.close)
 
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}"
@@ -35,6 +39,10 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def close(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.drop("")
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
