@@ -86,3 +86,34 @@ def ungrounded_numbers(claims: DataFrame, evidence: DataFrame, key: str) -> Data
     e = evidence.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(numbers(F.col("text"))))).alias("_have"))
     j = claims.select(key, numbers(F.col("text")).alias("_n")).join(e, key, "left")
     return j.select(key, F.size("_n").cast("long").alias("n_numbers"), F.size(F.array_except("_n", F.coalesce("_have", F.array().cast("array<string>")))).cast("long").alias("n_missing"))
+
+
+def focused_windows(df: DataFrame, budget: int) -> DataFrame:
+    """Adds window: of df(…, text, terms) the stretch of sentences around the one with most of the terms, grown on the side
+    with more terms until `budget` characters are reached; a text within the budget stays whole."""
+    import re
+
+    @F.pandas_udf("string")
+    def pick(text: pd.Series, terms: pd.Series) -> pd.Series:
+        out = []
+        for t, w in zip(text, terms, strict=True):
+            if t is None or len(t) <= budget:
+                out.append(t)
+                continue
+            s = re.split(r"(?<=[.!?])\s+", t)
+            hits = [sum(x in part.lower() for x in ([] if w is None else w)) for part in s]
+            lo = max(range(len(s)), key=lambda i: (hits[i], -abs(i - len(s) / 2)))
+            hi, size = lo + 1, len(s[lo])
+            while True:
+                left = hits[lo - 1] if lo and size + len(s[lo - 1]) + 1 <= budget else -1
+                right = hits[hi] if hi < len(s) and size + len(s[hi]) + 1 <= budget else -1
+                if left < 0 and right < 0:
+                    break
+                if right >= left:
+                    size, hi = size + len(s[hi]) + 1, hi + 1
+                else:
+                    lo, size = lo - 1, size + len(s[lo - 1]) + 1
+            out.append(" ".join(s[lo:hi])[:budget])
+        return pd.Series(out, dtype=object)
+
+    return df.withColumn("window", pick("text", "terms"))

@@ -126,3 +126,40 @@ def reserve_by_role(long: DataFrame, per_role: int) -> DataFrame:
         return pd.DataFrame(out, columns=["query_id", "role_no", "doc_id", "pick"])
 
     return long.select("query_id", "role_no", "doc_id", "rank").groupBy("query_id").applyInPandas(run, "query_id long, role_no long, doc_id long, pick long")
+
+
+def two_caps(hits: DataFrame, inner: str, outer: str, per_inner: int, per_outer: int, k: int) -> DataFrame:
+    """Top k of each query by score with at most `per_inner` of an inner and `per_outer` of an outer group. The caps act on
+    each other (a row that one skips leaves room in the other), so a query's candidates are taken one by one."""
+    import pandas as pd
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        a, b, out = {}, {}, []
+        for r in p.sort_values(["score", "doc_id"], ascending=[False, True]).itertuples():
+            x, y = getattr(r, inner), getattr(r, outer)
+            if len(out) < k and a.get(x, 0) < per_inner and b.get(y, 0) < per_outer:
+                a[x], b[y] = a.get(x, 0) + 1, b.get(y, 0) + 1
+                out.append((r.query_id, r.doc_id, len(out) + 1))
+        return pd.DataFrame(out, columns=["query_id", "doc_id", "position"])
+
+    return hits.select("query_id", "doc_id", "score", inner, outer).groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, position long")
+
+
+def one_per_role(ranked: DataFrame, by_role: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, position, origin): for each role in order its best document not yet taken (its best, if all are), then
+    the ranking, k in all. ranked(query_id, doc_id, rank), by_role(query_id, role_no, doc_id, rank): bounded candidate lists."""
+    import pandas as pd
+
+    u = ranked.select("query_id", F.lit(0).cast("long").alias("role_no"), "doc_id", "rank").union(by_role.select("query_id", "role_no", "doc_id", "rank"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p, got = p.sort_values(["role_no", "rank", "doc_id"]), {}
+        for role, g in p[p["role_no"] > 0].groupby("role_no", sort=True):
+            free = [d for d in g["doc_id"] if d not in got]
+            d = free[0] if free else g["doc_id"].iloc[0]
+            got[d] = f"{got[d]}+{role}" if d in got else f"role {role}"
+        for d in p[p["role_no"] == 0]["doc_id"]:
+            got.setdefault(d, "fill")
+        return pd.DataFrame([(p["query_id"].iloc[0], d, i + 1, o) for i, (d, o) in enumerate(list(got.items())[:k])], columns=["query_id", "doc_id", "position", "origin"])
+
+    return u.groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, position long, origin string")

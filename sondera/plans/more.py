@@ -206,3 +206,48 @@ def q8(spark, sf):
 @query("q15_corpus_totals", "SELECT count(*) AS n_docs, count(DISTINCT source) AS n_sources, sum(n_chars)::BIGINT AS n_chars, sum(length(text))::BIGINT = sum(n_chars)::BIGINT AS agrees FROM documents")
 def q15(spark, sf):
     return documents(spark, sf).agg(F.count("*").alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.sum("n_chars").alias("n_chars"), (F.sum(F.length("text")) == F.sum("n_chars")).alias("agrees"))
+
+
+@query("t2_lexical_normal_form")
+def t2f(spark, sf):
+    from ..functions.udfs import lexical
+
+    return pages(spark, sf).select("page_id", F.sha2(lexical("html"), 256).alias("digest"))
+
+
+@query("t4_without_marks")
+def t4(spark, sf):
+    from ..functions.udfs import without_marks
+
+    return table(spark, sf, "benchmark").select("item_id", without_marks("text").alias("plain"))
+
+
+@query("t35_turn_similarity")
+def t35(spark, sf):
+    from ..functions.udfs import similarity
+
+    c = conv(spark, sf).withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", F.round(similarity(F.substring("text", 1, 200), F.substring("before", 1, 200)), 6).alias("ratio"))
+
+
+@query("w5_two_caps")
+def w5(spark, sf):
+    h = bm25(spark, sf, 100).join(docs(spark, sf).select("doc_id", "source", "lang"), "doc_id")
+    return fu.two_caps(h, "source", "lang", 2, 5, 12)
+
+
+@query("o9_one_per_role")
+def o9(spark, sf):
+    from .retrieval import long
+
+    roles = long(spark, sf).select("query_id", F.when(F.col("retriever") == "bm25", 1).otherwise(2).cast("long").alias("role_no"), "doc_id", "rank")
+    return fu.one_per_role(fused(spark, sf), roles, 8)
+
+
+@query("g6_focused_windows")
+def g6(spark, sf):
+    from ..operators.evidence import focused_windows
+
+    t = questions(spark, sf).select("query_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.length(x) > 3)).alias("terms"))
+    j = gold(spark, sf).join(t, "query_id").join(docs(spark, sf).select("doc_id", "text"), "doc_id")
+    return focused_windows(j, 400).select("query_id", "doc_id", F.length("window").alias("n"), F.sha2("window", 256).alias("digest"))
