@@ -150,3 +150,30 @@ def test_ingest_is_incremental_and_replays_once(spark, tmp_path):
     spark.createDataFrame([(2, "B"), (3, "c")], "id long, v string").write.mode("append").parquet(str(tmp_path / "in"))
     jobs.ingest(src(), t, "id", str(tmp_path / "c")).awaitTermination()
     assert rows(t.read(), "id", "v") == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_caps_act_on_each_other(spark):
+    h = spark.createDataFrame([(1, i, float(-i), s, d) for i, (s, d) in enumerate([("a", "x"), ("a", "x"), ("a", "x"), ("b", "x"), ("c", "x"), ("d", "y")])], "query_id long, doc_id long, score double, sec string, doc string")
+    assert rows(fusion.two_caps(h, "sec", "doc", 2, 3, 10), "position", "doc_id") == [(1, 0), (2, 1), (3, 3), (4, 5)]
+
+
+def test_a_role_without_a_free_document_shares_its_best(spark):
+    ranked = hits(spark, (1, 1), (2, 2), (3, 3)).select("query_id", "doc_id", "rank")
+    role = spark.createDataFrame([(1, 1, 2, 1), (1, 2, 2, 1), (1, 3, 2, 1), (1, 3, 3, 2)], "query_id long, role_no long, doc_id long, rank long")
+    assert rows(fusion.one_per_role(ranked, role, 3), "position", "doc_id", "origin") == [(1, 2, "role 1+2"), (2, 3, "role 3"), (3, 1, "fill")]
+
+
+def test_pandas_functions(spark):
+    from sondera.functions import udfs
+
+    d = spark.createDataFrame([("<b>ﬁ</b> Stra&szlig;e x<sub>2</sub> – É", "abcd", "abce"), (None, None, "x")], "t string, a string, b string")
+    r = d.select(udfs.lexical("t").alias("l"), udfs.without_marks("t").alias("m"), udfs.similarity("a", "b").alias("s")).collect()
+    assert r[0]["l"] == "fi strasse x2 - é" and r[0]["s"] == 0.75 and r[1]["l"] is None
+    assert r[0]["m"].endswith("e")
+
+
+def test_focused_window_holds_the_terms(spark):
+    text = " ".join(f"Sentence number {i} says little." for i in range(60)) + " The needle is here. " + " ".join(f"More of {i} follows." for i in range(60))
+    d = spark.createDataFrame([(text, ["needle"]), ("short", ["needle"]), (None, None)], "text string, terms array<string>")
+    w = [r["window"] for r in evidence.focused_windows(d, 200).collect()]
+    assert "needle" in w[0] and len(w[0]) <= 200 and w[1] == "short" and w[2] is None
