@@ -29,8 +29,9 @@ STRIDE = 32
 CELL = 24
 #: Tokens that are cut together: a chunk ends with the document that fills it.
 CHUNK = 64 * WINDOW
-#: Words and stems that a worker remembers. Full, the word table keeps the words met again since it was last full.
-WORDS, STEMS = 600_000, 800_000
+#: Words and stems that a worker remembers, and stems that it has ids of. Full, the word table keeps the words met again
+#: since it was last full; the stems are found anew, while the ids of known words stay.
+WORDS, STEMS, STORED = 400_000, 300_000, 2_000_000
 #: A Latin-1 word with signs behind it is tokenised as its lower-case letters, then the signs (an apostrophe may begin a
 #: token with letters, so it isn't among them); other words as they are.
 _PLAIN = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)|(.*))$", re.M)
@@ -56,8 +57,8 @@ class Tokens:
     def _reset_stems(self) -> None:
         """Stem 0 is empty. Signs are stems as well."""
         self.stems: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.off, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used, self.stored = np.zeros(1 << 20, np.uint16 if len(self.last) <= 1 << 16 else np.uint32), 0, 0
+        self.off, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self._store([""], [[]])
 
     def _ids(self, text: str) -> list[int]:
@@ -66,9 +67,10 @@ class Tokens:
     def _store(self, stems: list[str], ids: list[list[int]] | None = None, flat: np.ndarray | None = None, n: np.ndarray | None = None) -> None:
         if ids is not None:
             flat, n = np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
-        first = len(self.stems)
-        self.stems.update(zip(stems, range(first, first + len(stems)), strict=True))
-        while len(self.n) < len(self.stems):
+        first = self.stored
+        self.stored += len(stems)
+        self.stems.update(zip(stems, range(first, self.stored), strict=True))
+        while len(self.n) < self.stored:
             self.off, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.n))
         while len(self.flat) < self.used + len(flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -106,10 +108,12 @@ class Tokens:
         self.hits[to] = 0
 
     def _make_room(self) -> None:
-        if len(self.stems) > STEMS:
+        if self.stored > STORED:
             self._reset_stems()
             self.code.reset()
-        elif len(self.code.words) > WORDS:
+        elif len(self.stems) > STEMS:
+            self.stems = {"": 0}
+        if len(self.code.words) > WORDS:
             keep = np.flatnonzero(self.hits[: len(self.code.words)] > 1)
             keep = keep[np.argsort(-self.hits[keep], kind="stable")[: WORDS // 2]]
             words = [self.code.words[i] for i in keep]
@@ -137,8 +141,8 @@ class Tokens:
         units = np.empty(2 * len(c), np.int64)
         units[0::2], units[1::2] = self.stem[c], self.mark[c]
         n = self.n[units]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.off[units] - upto[:-1], n) + np.arange(upto[-1])]
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        ids = self.flat[np.repeat(self.off[units] - upto[:-1], n) + np.arange(upto[-1])].astype(np.uint32)
         upto = upto[0::2]
         stop = np.zeros(len(words) + 1, bool)
         stop[1:] = self.stop[c]
