@@ -56,11 +56,11 @@ def p25(spark, sf):
     return conv(spark, sf).groupBy("conv_id").agg(F.sum(F.size(span)).alias("n_pages"))
 
 
-@query("p30_truncation_salvage", r"SELECT conv_id, turn, sha256(CASE WHEN length(text) >= 200 AND NOT regexp_matches(text, '[.!?]$') THEN coalesce(nullif(regexp_extract(text, '^((?s:.*)[.!?])', 1), ''), text) ELSE text END) AS digest FROM (SELECT conv_id, turn, substring(text, 1, 200) AS text FROM conversations)")
+@query("p30_truncation_salvage", r"SELECT conv_id, turn, sha256(CASE WHEN length(text) >= 200 AND NOT regexp_matches(text, '[.!?]\z') THEN coalesce(nullif(regexp_extract(text, '^((?s:.*)[.!?])', 1), ''), text) ELSE text END) AS digest FROM (SELECT conv_id, turn, substring(text, 1, 200) AS text FROM conversations)")
 def p30(spark, sf):
     c = conv(spark, sf).select("conv_id", "turn", F.substring("text", 1, 200).alias("text"))
     cut = F.coalesce(F.nullif(F.regexp_extract("text", r"^((?s:.*)[.!?])", 1), F.lit("")), F.col("text"))
-    return c.select("conv_id", "turn", F.sha2(F.when((F.length("text") >= 200) & ~F.col("text").rlike(r"[.!?]$"), cut).otherwise(F.col("text")), 256).alias("digest"))
+    return c.select("conv_id", "turn", F.sha2(F.when((F.length("text") >= 200) & ~F.col("text").rlike(r"[.!?]\z"), cut).otherwise(F.col("text")), 256).alias("digest"))
 
 
 @query("p32_rescue_classes", ALL + ", j AS (SELECT g.query_id, g.doc_id, b.rank AS b, s.rank AS s, f.rank AS f FROM gold g LEFT JOIN bmr b ON b.query_id = g.query_id AND b.doc_id = g.doc_id AND b.rank <= 20 LEFT JOIN spr s ON s.query_id = g.query_id AND s.doc_id = g.doc_id AND s.rank <= 20 LEFT JOIN fr f ON f.query_id = g.query_id AND f.doc_id = g.doc_id AND f.rank <= 10) SELECT query_id, doc_id, CASE WHEN f IS NULL THEN 'not_preserved' WHEN b IS NOT NULL AND s IS NOT NULL THEN 'multiple' WHEN b IS NOT NULL THEN 'bm25_rescue' WHEN s IS NOT NULL THEN 'sparse_rescue' ELSE 'fusion_rescue' END AS class FROM j")
