@@ -236,45 +236,51 @@ def place(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class KeyRows:
-    """Rows (bucket, k, keys, counts) for repeated_keys() from blocks' distinct hashes."""
+    """Rows for repeated_keys(): a row for each bucket holds the keys of several blocks, block by block."""
 
-    SCHEMA = pa.schema([("bucket", pa.int32()), ("k", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    DDL = "bucket int, k long, keys binary, counts binary"
+    SCHEMA = pa.schema([("bucket", pa.int32()), ("ks", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+    DDL = "bucket int, ks binary, sizes binary, keys binary, counts binary"
 
     def __init__(self, buckets: int):
         self.buckets = buckets
 
-    def rows(self, k: int, hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        b, key = place(hashes, self.buckets)
-        order = np.argsort(b, kind="stable")
-        b, key, times = b[order], key[order], np.minimum(times[order], 255).astype(np.uint8)
-        at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.empty(0, int)
-        to = np.append(at[1:], len(b)) if len(b) else at
-        return rows(self.SCHEMA, bucket=b[at].astype(np.int32), k=np.full(len(at), k), keys=[blob(key[x:y]) for x, y in zip(at, to, strict=True)], counts=[blob(times[x:y]) for x, y in zip(at, to, strict=True)])
+    def rows(self, blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """blocks: (block, its distinct hashes, how often it holds each)."""
+        k = np.repeat(np.array([x[0] for x in blocks], np.int64), [len(x[1]) for x in blocks])
+        b, key = place(np.concatenate([np.empty(0, np.uint64), *(x[1] for x in blocks)]), self.buckets)
+        times = np.minimum(np.concatenate([np.empty(0, np.int64), *(x[2] for x in blocks)]), 255).astype(np.uint8)
+        order = np.lexsort((k, b))
+        b, k, key, times = b[order], k[order], key[order], times[order]
+        out: dict[str, list] = {c: [] for c in self.SCHEMA.names}
+        for x, y in runs(b):
+            at = list(runs(k[x:y]))
+            for c, v in zip(out, (int(b[x]), blob(k[x:y][[i for i, _ in at]]), blob(np.array([j - i for i, j in at], np.uint32)), blob(key[x:y]), blob(times[x:y])), strict=True):
+                out[c].append(v)
+        return rows(self.SCHEMA, **out)
 
 
 def repeated_keys(sent: DataFrame) -> DataFrame:
     """(k, bucket, keys, level): of the keys that each block sent, those that all blocks together hold twice or more.
 
-    level is the rounded-down binary logarithm of the total. A key comes once from each block at most, however often
-    the block holds it, so a key that a third of all documents share is pre-aggregated.
+    level is the rounded-down binary logarithm of the total. A key comes once from each block and task at most, however
+    often the block holds it, so a key that a third of all documents share is pre-aggregated. A bucket answers
+    each block in one row, wherever the block's documents were read.
     """
     schema = pa.schema([("k", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("level", pa.binary())])
 
+    def join(column: pa.ChunkedArray, kind) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()])
+
     def count(t: pa.Table) -> pa.Table:
-        ks, keys = t.column("k").to_numpy(), [np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("counts").to_pylist()])
-        _, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inv, counts)[inv].astype(np.int64)
-        level = np.minimum(np.frexp(total)[1] - 1, 60).astype(np.uint8)
-        out, at = {"k": [], "keys": [], "level": []}, 0
-        for k, x in zip(ks, keys, strict=True):
-            hit = np.flatnonzero(total[at : at + len(x)] > 1)
-            if len(hit):
-                out["k"].append(k), out["keys"].append(blob(x[hit])), out["level"].append(blob(level[at + hit]))
-            at += len(x)
-        bucket = t.column("bucket")[0].as_py()
-        return pa.Table.from_batches([rows(schema, bucket=[bucket] * len(out["k"]), **out)], schema)
+        k = np.repeat(join(t.column("ks"), np.int64), join(t.column("sizes"), np.uint32))
+        key = join(t.column("keys"), np.uint32)
+        _, inv = np.unique(key, return_inverse=True)
+        total = np.bincount(inv, join(t.column("counts"), np.uint8))[inv].astype(np.int64)
+        hit = np.flatnonzero(total > 1)
+        hit = hit[np.argsort(k[hit], kind="stable")]
+        k, key, level = k[hit], key[hit], np.minimum(np.frexp(total[hit])[1] - 1, 60).astype(np.uint8)
+        at, bucket = list(runs(k)), t.column("bucket")[0].as_py()
+        return pa.Table.from_batches([rows(schema, k=[int(k[x]) for x, _ in at], bucket=[bucket] * len(at), keys=[blob(key[x:y]) for x, y in at], level=[blob(level[x:y]) for x, y in at])], schema)
 
     return sent.groupBy("bucket").applyInArrow(count, "k long, bucket int, keys binary, level binary")
 

@@ -53,10 +53,9 @@ def blocks_sent(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         words, send = WordHash(), KeyRows(buckets)
         for b in text_slices(batches):
             k, sets = b.column("k").to_numpy(), list(sets_of(texts_of(b), words, n))
-            for x, y in runs(k):
-                u, times = np.unique(np.concatenate(sets[x:y]), return_counts=True)
-                if len(u):
-                    yield send.rows(int(k[x]), u, times)
+            order = np.argsort(k, kind="stable").tolist()
+            blocks = [(int(k[order[x]]), *np.unique(np.concatenate([sets[i] for i in order[x:y]]), return_counts=True)) for x, y in runs(k[order])]
+            yield send.rows(blocks)
 
     return docs.mapInArrow(run, KeyRows.DDL)
 

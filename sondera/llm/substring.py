@@ -50,10 +50,9 @@ def blocks_sent(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFr
         words, send = WordHash(), KeyRows(buckets)
         for b in text_slices(batches):
             k, found = b.column("k").to_numpy(), [minimizers(words.of(t.split()), window, gram)[0] for t in texts_of(b)]
-            for x, y in runs(k):
-                u, times = np.unique(np.concatenate(found[x:y]), return_counts=True)
-                if len(u):
-                    yield send.rows(int(k[x]), u, times)
+            order = np.argsort(k, kind="stable").tolist()
+            blocks = [(int(k[order[x]]), *np.unique(np.concatenate([found[i] for i in order[x:y]]), return_counts=True)) for x, y in runs(k[order])]
+            yield send.rows(blocks)
 
     return docs.mapInArrow(run, KeyRows.DDL)
 
