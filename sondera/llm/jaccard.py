@@ -21,6 +21,8 @@ from .common import BLOCK, KeyRows, Repeated, Scratch, WordHash, blob, block_of,
 SMALL = 6
 #: Pairs of long lists that one task builds at once.
 TILE = 1 << 20
+#: Classes about, and shingles about, of a side of a tile in which links are counted; columns of its matrices at once.
+SIDE, SIDE_SHINGLES, COLUMNS = 512, 1 << 19, 4096
 _POST = np.dtype([("key", "<u8"), ("level", "u1"), ("d", "<i8"), ("n", "<u4"), ("p", "<u4"), ("alone", "<u4")])
 
 
@@ -222,12 +224,95 @@ def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
     return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, scratch: Scratch, n: int = 5, t: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of docs(doc_id, text).
+def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the overlaps of all sets of x with all of y (with those of x itself where y is missing)."""
+    kx, rx = np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])
+    if y is None:
+        u, c = np.unique(kx, return_counts=True)
+        ky, ry, ny, common = kx, rx, len(x), u[c > 1]
+    else:
+        ky, ry, ny = np.concatenate(y), np.repeat(np.arange(len(y)), [len(s) for s in y]), len(y)
+        common = np.intersect1d(kx, ky)
+    out = np.zeros((len(x), ny), np.int64)
+    if not len(common):
+        return out
+
+    def by_column(k: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, k), len(common) - 1)
+        hit = common[at] == k
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], r[hit][order]
+
+    cx, rx = by_column(kx, rx)
+    cy, ry = (cx, rx) if y is None else by_column(ky, ry)
+    for s in range(0, len(common), COLUMNS):
+        w = min(COLUMNS, len(common) - s)
+        sides = []
+        for c, r, m in ((cx, rx, len(x)), (cy, ry, ny))[: 1 if y is None else 2]:
+            i, j = np.searchsorted(c, [s, s + w])
+            a = np.zeros((m, w), np.float32)  # sums up to COLUMNS are exact
+            a[r[i:j], c[i:j] - s] = 1
+            sides.append(a)
+        out += (sides[0] @ sides[-1].T).astype(np.int64)
+    return out
+
+
+_COUNT = pa.schema([("node", pa.int64()), ("n", pa.int64())])
+
+
+def count_tile(t: tuple[int, int]):
+    """Links between the two parts of a component that meet in a tile, from rows (lo, hi, part, node, mult, shingles)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, node, mult = (table.column(c).to_numpy() for c in ("part", "node", "mult"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        n = np.zeros(len(node), np.int64)
+        if len(a) and len(b):
+            size = np.array([len(s) for s in sets], np.int64)
+            k = overlaps([sets[i] for i in a], None if lo == hi else [sets[i] for i in b])
+            link = k >= need(size[a][:, None], size[b][None, :], t)
+            if lo == hi:
+                np.fill_diagonal(link, False)
+            else:
+                n[b] = mult[a] @ link
+            n[a] = link @ mult[b]
+        out = np.flatnonzero(n)
+        return pa.Table.from_batches([rows(_COUNT, node=node[out], n=n[out])], _COUNT)
+
+    return run
+
+
+def link_counts(found: DataFrame, comp: DataFrame, classes: DataFrame, reps: DataFrame, scratch: Scratch, t: tuple[int, int], side: int) -> DataFrame:
+    """(node, n): documents of other classes that a class links with.
+
+    All links lie within components. A component whose pairs of classes are all among the links found has no more to
+    verify. In the others each pair of classes is verified in a tile of two parts of the component; pairs never are rows.
+    """
+    c = comp.where("node <> component").select("node", "component")
+    member = c.union(c.select(F.col("component").alias("node"), "component").distinct())
+    member = scratch.cut(member.join(classes.select(F.col("sig_a").alias("node"), "n", "mult"), "node"), "members")
+    have = found.join(member.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.count("*").alias("have"))
+    size = member.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("words"), F.sum("mult").alias("total")).join(have, "component")
+    size = scratch.cut(size.withColumn("all", 2 * F.col("have") == F.col("k") * (F.col("k") - 1)), "component-sizes")
+    known = member.join(size.where("all").select("component", "total"), "component").select("node", (F.col("total") - F.col("mult")).alias("n"))
+    parts = F.greatest(F.ceil(F.col("k") / side), F.ceil(F.col("words") / SIDE_SHINGLES)).cast("long")
+    rest = member.select("node", "component", "mult").join(size.where("NOT all").select("component", parts.alias("parts")), "component")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).join(reps.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    rest = rest.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rest = rest.select("component", F.least("part", "_o").alias("lo"), F.greatest("part", "_o").alias("hi"), "part", "node", "mult", "shingles")
+    tiles = rest.groupBy("component", "lo", "hi").applyInArrow(count_tile(t), "node long, n long")
+    return scratch.cut(known.union(tiles.groupBy("node").agg(F.sum("n").alias("n"))), "link-counts")
+
+
+def join(docs: DataFrame, scratch: Scratch, n: int = 5, t: tuple[int, int] = (80, 100), links: bool = False, side: int = SIDE) -> DataFrame:
+    """doc_id, n_shingles, component_id, and n_links where links are asked for: a row for each row of docs(doc_id, text).
 
     Documents link if den * overlap >= num * union of their sets of n-word shingles (A-Z lower-cased); component_id is
     the smallest doc_id reachable by links. Equal sets are one class, with the smallest doc_id for its name, and
-    only classes are joined. A text without words has an empty set and links with nothing. Rows that share a doc_id
+    only classes are joined. n_links is the number of other documents that a document links with, all pairs verified.
+    A text without words has an empty set and links with nothing. Rows that share a doc_id
     are documents of their own; a null doc_id is never the smallest (a component of nulls alone has a null).
     """
     spark = docs.sparkSession
@@ -236,27 +321,34 @@ def join(docs: DataFrame, scratch: Scratch, n: int = 5, t: tuple[int, int] = (80
     flags = repeated_keys(blocks_sent(d, n, buckets))
     table = scratch.cut(sets_table(d, flags, n, t, buckets), "sets")
     sig = ["sig_a", "sig_b", "n"]
-    classes = table.where("n > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep"))
+    classes = table.where("n > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
     # a class is a node, named by its signature until the end
     reps = table.where("post IS NOT NULL").groupBy(F.col("sig_a").alias("doc_id")).agg(F.first("post").alias("post"), F.first("shingles").alias("shingles"))
     reps = scratch.cut(reps, "reps")
     posts = scratch.cut(postings(reps, buckets), "postings")
     pairs = posts.groupBy("bucket").applyInArrow(first_pairs(t), "a long, b long").distinct()
     pairs = scratch.cut(pairs, "pairs")
-    links = scratch.cut(verified(pairs, reps, t), "links")
-    comp = connected(spark, links, scratch, "first")
+    found = scratch.cut(verified(pairs, reps, t), "links")
+    comp = connected(spark, found, scratch, "first")
     long = posts.groupBy("bucket").applyInArrow(long_lists, "bucket int, key long, d long, n long, p long, alone long")
     long = long.join(comp.withColumnsRenamed({"node": "d", "component": "_c"}), "d", "left").withColumn("component", F.coalesce("_c", "d")).drop("_c")
     rest = long.groupBy("bucket").applyInArrow(rest_pairs(t), "a long, b long").distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
     more = scratch.cut(verified(rest, reps, t), "more-links")
     if not more.isEmpty():
-        comp = connected(spark, links.union(more), scratch, "last")
+        found = found.union(more)
+        comp = connected(spark, found, scratch, "last")
+    scratch.drop("pairs", "postings")
     named = classes.join(comp.withColumnRenamed("node", "sig_a"), "sig_a", "left").withColumn("component", F.coalesce("component", "sig_a"))
     low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(low, "component").select(*(F.col(c).alias(f"_{c}") for c in sig), "component_id")
+    more_cols = []
+    if links:
+        counts = link_counts(found, comp, classes, reps, scratch, t, side).withColumnRenamed("n", "_links")
+        named = named.join(counts.withColumnRenamed("node", "sig_a"), "sig_a", "left").withColumn("n_links", F.coalesce("_links", F.lit(0)) + F.col("mult") - 1)
+        more_cols = ["n_links"]
+    named = named.join(low, "component").select(*(F.col(c).alias(f"_{c}") for c in sig), "component_id", *more_cols)
     out = table.select("doc_id", *sig).join(named, [F.col(c) == F.col(f"_{c}") for c in sig], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in more_cols))
 
 
 def long_lists(t: pa.Table) -> pa.Table:
@@ -270,4 +362,4 @@ def long_lists(t: pa.Table) -> pa.Table:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), 4, (85, 100))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), 4, (85, 100), links=True)

@@ -235,6 +235,28 @@ def test_long_posting_lists_lose_no_link(spark, scratch):
     assert got == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("side", [16, 512])
+def test_ngram_jaccard_counts_every_link(spark, scratch, side):
+    """Near copies in one long list, of which not all pairs link, a chain, exact copies and texts that link with nothing."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(70):
+        w = [f"b{j}" for j in range(120)]
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(0, 120))] = f"e{rng.integers(1 << 30)}"
+        texts += [" ".join(w)] * (1 + i % 3)
+    texts += [" ".join(f"c{j}" for j in range(8 * i, 8 * i + 120)) for i in range(9)]
+    texts += ["", " ", "one", "one", *(f"x{i} y{i} z{i}" for i in range(5))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = jaccard.join(d, scratch, 4, (85, 100), links=True, side=side)
+    s = [frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if (w := t.split()) else frozenset() for t in texts]
+    both = lambda a, b: len(a & b)
+    want = {i: sum(i != j and both(a, b) > 0 and 100 * both(a, b) >= 85 * len(a | b) for j, b in enumerate(s)) for i, a in enumerate(s)}
+    assert {r["doc_id"]: r["n_links"] for r in out.collect()} == want
+    plain = jaccard.join(d, scratch, 4, (85, 100))
+    assert plain.columns == ["doc_id", "n_shingles", "component_id"] and sorted(map(tuple, plain.collect())) == sorted(tuple(r)[:3] for r in out.collect())
+
+
 def test_components_by_rounds_and_alone_agree(spark, scratch):
     from sondera.llm.common import connected
 
