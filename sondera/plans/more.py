@@ -227,7 +227,7 @@ def t35(spark, sf):
     from ..functions.udfs import similarity
 
     c = conv(spark, sf).withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return c.select("conv_id", "turn", F.round(similarity(F.substring("text", 1, 200), F.substring("before", 1, 200)), 6).alias("ratio"))
+    return c.select("conv_id", "turn", F.round(similarity("text", "before"), 6).alias("ratio"))
 
 
 @query("w5_two_caps")

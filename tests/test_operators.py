@@ -177,3 +177,15 @@ def test_focused_window_holds_the_terms(spark):
     d = spark.createDataFrame([(text, ["needle"]), ("short", ["needle"]), (None, None)], "text string, terms array<string>")
     w = [r["window"] for r in evidence.focused_windows(d, 200).collect()]
     assert "needle" in w[0] and len(w[0]) <= 200 and w[1] == "short" and w[2] is None
+
+
+def test_turn_similarity_is_of_whole_texts(spark, tmp_path):
+    import difflib
+
+    from sondera.plans.catalog import QUERIES
+
+    texts = ["word " * 50 + "tail one", "word " * 50 + "another end", "short", "x" * 150 + " y" * 100]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["turn"]: r["ratio"] for r in QUERIES["t35_turn_similarity"](spark, str(tmp_path)).collect()}
+    assert got == {0: None} | {i: pytest.approx(difflib.SequenceMatcher(None, texts[i], texts[i - 1]).ratio(), abs=1e-6) for i in range(1, 4)}
+    assert got[1] < 1
