@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ HEX = re.compile(rb"[0-9a-f]+")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "markov")
 
-#: A candidate for the models: a run of so many characters at least, with a letter and a digit (numbers are no secrets).
+#: A candidate for the models: a run of so many characters at least, with a letter (plain numbers are no secrets).
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 _HEX_RUN = re.compile(rb"[0-9a-f]{24,}")
 _DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
@@ -59,7 +58,7 @@ def outside(spans: list[tuple], at: int, to: int) -> bool:
 
 def candidates(t: bytes, spans: list[tuple]) -> list[tuple[int, int]]:
     """Runs for the models that touch no fixed span."""
-    return [(m.start(), m.end()) for m in CANDIDATE.finditer(t) if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and outside(spans, m.start(), m.end())]
+    return [(m.start(), m.end()) for m in CANDIDATE.finditer(t) if _LETTER.search(m[0]) and outside(spans, m.start(), m.end())]
 
 
 class Markov:
@@ -84,8 +83,7 @@ def train(docs: DataFrame, size: int = SAMPLE) -> tuple[Markov, Markov]:
     """(random, ordinary) models from at most `size` distinct strings for each label, found over all rows.
 
     Random: values of `assign` with a digit, `access` and `hex` spans. Ordinary: words of 6 characters or more
-    outside all fixed spans, of every 16th text by its own checksum. The sample holds the strings of smallest
-    hash, so it doesn't depend on partitions. To the random strings come as many generated ones over letters and
+    outside all fixed spans. The sample holds the strings of smallest hash, so it doesn't depend on partitions. To the random strings come as many generated ones over letters and
     digits (64 at least), so that the model isn't bound to the forms that the patterns know.
     """
     schema = pa.schema([("random", pa.bool_()), ("s", pa.binary()), ("h", pa.int64())])
@@ -106,8 +104,7 @@ def train(docs: DataFrame, size: int = SAMPLE) -> tuple[Markov, Markov]:
                     v = t[value:to]
                     if (kind or _DIGIT.search(v)) and len(v) <= 512 and b"." not in v:
                         kept[True].add(v)
-                if zlib.crc32(t) % 16 == 0:
-                    kept[False].update(m[0][:512] for m in word.finditer(t) if outside(spans, m.start(), m.end()))
+                kept[False].update(m[0][:512] for m in word.finditer(t) if outside(spans, m.start(), m.end()))
             for label, found in kept.items():
                 if len(found) > 4 * size:
                     kept[label] = set(least(found)[0])

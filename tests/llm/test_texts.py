@@ -182,6 +182,27 @@ def test_markov_ratio_tells_random_from_ordinary():
     assert r.mean(b"user_handler_index2") - p.mean(b"user_handler_index2") < 0
 
 
+def test_random_letters_without_a_digit_are_secrets(spark):
+    rng = np.random.default_rng(8)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    keys = ["".join(rng.choice(letters, n)) for n in (16, 20, 40)]
+    part = ["".join(rng.choice(list("aeiou" if i % 2 else "lmnrst")) for i in range(6)) for _ in range(2000)]
+    texts = [" ".join(part[i : i + 40]) for i in range(0, 2000, 40)]
+    d = [*texts, *(f"{texts[0]} {k} end" for k in keys), "remanita-lomesuta-nalimero 12345678901234567890"]
+    docs = spark.createDataFrame(list(enumerate(d)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, secrets.train(docs.where(F.col("doc_id") < len(texts)))).collect()}
+    at = len(texts[0]) + 1
+    assert [got[len(texts) + i] for i in range(3)] == [f"markov:{at}:{at + len(k)}" for k in keys]
+    assert not any(got[i] for i in (*range(len(texts)), len(d) - 1))
+
+
+def test_ordinary_words_come_from_any_text(spark):
+    one = [t for t in (f"ordinary words of text number{i}" for i in range(99)) if zlib.crc32(t.encode()) % 16][:1]
+    seen = secrets.train(spark.createDataFrame([(1, one[0])], "doc_id long, text string"))[1]
+    none = secrets.train(spark.createDataFrame([(1, "")], "doc_id long, text string"))[1]
+    assert seen.mean(b"ordinary") > none.mean(b"ordinary")
+
+
 @pytest.mark.parametrize(("n", "t"), [(4, (85, 100)), (5, (80, 100))])
 def test_ngram_jaccard(docs, rows, scratch, empty, n, t):
     got = Counter(tuple(r) for r in jaccard.join(docs, scratch, n, t).collect())
