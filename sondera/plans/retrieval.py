@@ -51,7 +51,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return ev.gold_by_containment(docs(spark, sf), questions(spark, sf))
 
 
-def bm25(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
+def bm25(spark: SparkSession, sf: str, k: int | None = 20) -> DataFrame:
     return se.bm25(docs(spark, sf), questions(spark, sf), k)
 
 
@@ -118,7 +118,7 @@ def r2(spark, sf):
 def f2_dense(spark, sf):
     v = vectors(spark, sf)
     q = v.where(F.col("doc_id") % EVERY == 0).withColumnRenamed("doc_id", "query_id")
-    return se.dense(v, q, 1_000_000, 0.5).select("query_id", "doc_id", "score", "rank")
+    return se.dense(v, q, None, 0.5).select("query_id", "doc_id", "score", "rank")
 
 
 @query("r3_sparse_topk", f"WITH {BM25}, {SPARSE} SELECT query_id, doc_id, score, rank FROM spr WHERE rank <= 20")
@@ -232,7 +232,7 @@ def a15(spark, sf):
 
 @query("p31_failure_classes", ALL + ", j AS (SELECT g.query_id, g.doc_id, b.rank AS b, f.rank AS f FROM gold g LEFT JOIN bmr b ON b.query_id = g.query_id AND b.doc_id = g.doc_id LEFT JOIN fr f ON f.query_id = g.query_id AND f.doc_id = g.doc_id) SELECT query_id, doc_id, CASE WHEN b IS NULL THEN 'not_retrieved' WHEN b > 30 THEN 'outside_window' WHEN f IS NULL OR f > 20 THEN 'dropped' ELSE 'kept' END AS class FROM j")
 def p31(spark, sf):
-    b = bm25(spark, sf, 1_000_000).select("query_id", "doc_id", F.col("rank").alias("b"))
+    b = bm25(spark, sf, None).select("query_id", "doc_id", F.col("rank").alias("b"))
     f = fused(spark, sf, 1000).select("query_id", "doc_id", F.col("rank").alias("f"))
     j = gold(spark, sf).join(b, ["query_id", "doc_id"], "left").join(f, ["query_id", "doc_id"], "left")
     return j.select("query_id", "doc_id", ev.failure_class(F.col("b"), F.when(F.col("b") <= 30, F.col("b")), F.col("f"), 20).alias("class"))
@@ -315,5 +315,5 @@ def f13(spark, sf):
 @query("j6_semi_and_j7_anti", ALL + "SELECT query_id, count(*) AS n_gold, count(*) FILTER (NOT EXISTS (SELECT 1 FROM bmr b WHERE b.query_id = gold.query_id AND b.doc_id = gold.doc_id)) AS n_lost FROM gold GROUP BY 1")
 def j7(spark, sf):
     g = gold(spark, sf)
-    lost = g.join(bm25(spark, sf, 1_000_000), ["query_id", "doc_id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("n_lost"))
+    lost = g.join(bm25(spark, sf, None), ["query_id", "doc_id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("n_lost"))
     return g.groupBy("query_id").agg(F.count("*").alias("n_gold")).join(lost, "query_id", "left").select("query_id", "n_gold", F.coalesce("n_lost", F.lit(0)).alias("n_lost"))

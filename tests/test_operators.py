@@ -189,3 +189,23 @@ def test_turn_similarity_is_of_whole_texts(spark, tmp_path):
     got = {r["turn"]: r["ratio"] for r in QUERIES["t35_turn_similarity"](spark, str(tmp_path)).collect()}
     assert got == {0: None} | {i: pytest.approx(difflib.SequenceMatcher(None, texts[i], texts[i - 1]).ratio(), abs=1e-6) for i in range(1, 4)}
     assert got[1] < 1
+
+
+def test_searches_without_k_keep_every_hit(spark):
+    v = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(30)], "doc_id long, v array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, v array<double>")
+    want = sorted((k, rank, i) for k, ids in ((1, [i for i in range(30) if i % 3]), (2, range(0, 30, 3))) for rank, i in enumerate(ids, 1))
+    assert rows(search.dense(v, q, None, 0.5), "query_id", "rank", "doc_id") == want
+    d = spark.createDataFrame([(i, "red fox") for i in range(30)], "doc_id long, text string")
+    assert rows(search.bm25(d, spark.createDataFrame([(1, "red")], "query_id long, text string"), None), "rank", "doc_id") == [(i + 1, i) for i in range(30)]
+
+
+@pytest.mark.parametrize("name", ["f2_dense_minimum", "p31_failure_classes", "j6_semi_and_j7_anti"])
+def test_unbounded_queries_have_no_rank_limit(spark, sf, monkeypatch, name):
+    from sondera.plans.catalog import QUERIES
+
+    asked = []
+    for f in ("dense", "bm25"):
+        monkeypatch.setattr(search, f, lambda *a, f=getattr(search, f): (asked.append(a[2]), f(*a))[1])
+    QUERIES[name](spark, sf)
+    assert None in asked and 1_000_000 not in asked
