@@ -209,3 +209,17 @@ def test_unbounded_queries_have_no_rank_limit(spark, sf, monkeypatch, name):
         monkeypatch.setattr(search, f, lambda *a, f=getattr(search, f): (asked.append(a[2]), f(*a))[1])
     QUERIES[name](spark, sf)
     assert None in asked and 1_000_000 not in asked
+
+
+def test_max_sim_takes_any_number_of_query_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = search.QUERY_BLOCK + 500
+    q, d = np.round(rng.normal(size=(n, 2)), 3), np.round(rng.normal(size=(9, 2)), 3)
+    docs = spark.createDataFrame([(i % 3, x.tolist()) for i, x in enumerate(d)], "doc_id long, v array<double>")
+    queries = spark.createDataFrame([(i % 2, x.tolist()) for i, x in enumerate(q)], "query_id long, v array<double>")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in search.max_sim(docs, queries).collect()}
+    best = np.stack([(q @ d[k::3].T).max(1) for k in range(3)], 1)
+    assert got == {(j, k): pytest.approx(best[j::2, k].mean(), abs=2e-6) for j in range(2) for k in range(3)}
+    assert search.max_sim(docs, queries.where("false")).count() == 0
