@@ -55,9 +55,9 @@ def plan(dim: int, cosine: float = COSINE) -> tuple[np.ndarray, int, list[list[i
     return q[:m].T * scale, ceil(WIDTH * STEP) + 1, [list(range(g * GROUP, (g + 1) * GROUP)) for g in range(GROUPS)], least
 
 
-def project(x: np.ndarray, dim: int) -> np.ndarray:
+def project(x: np.ndarray, dim: int, cosine: float = COSINE) -> np.ndarray:
     """Quantised projections of unit vectors."""
-    return np.clip(np.rint(x @ plan(dim)[0]) + 128, 0, 255).astype(np.uint8)
+    return np.clip(np.rint(x @ plan(dim, cosine)[0]) + 128, 0, 255).astype(np.uint8)
 
 
 def unit(b: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -70,7 +70,7 @@ def close(a: np.ndarray, b: np.ndarray, w: int) -> np.ndarray:
     return (a + np.uint8(w)) - b <= np.uint8(2 * w)
 
 
-def medians(classes: DataFrame) -> dict[int, np.ndarray]:
+def medians(classes: DataFrame, cosine: float = COSINE) -> dict[int, np.ndarray]:
     """Median of each projection by dimension, from histograms of all vectors (256 bins a projection)."""
     schema = pa.schema([("dim", pa.int32()), ("p", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
 
@@ -78,7 +78,7 @@ def medians(classes: DataFrame) -> dict[int, np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for dim, part in by_dim(b):
-                q = project(unit(part, dim), dim)
+                q = project(unit(part, dim), dim, cosine)
                 total.setdefault(dim, np.zeros((q.shape[1], 256), np.int64))
                 for i in range(q.shape[1]):
                     total[dim][i] += np.bincount(q[:, i], minlength=256)
@@ -104,7 +104,7 @@ def by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 _CELLS = "dim int, grp int, cell long, home boolean, node long, mult long, v array<double>"
 
 
-def cells(classes: DataFrame, cuts: int, mid: dict[int, np.ndarray]) -> DataFrame:
+def cells(classes: DataFrame, cuts: int, mid: dict[int, np.ndarray], cosine: float = COSINE) -> DataFrame:
     """Each vector in its home cell of each group, and as a query in the cells that its windows reach. The first `cuts`
     projections of a group are cut at their medians; a cell is the pattern of sides."""
 
@@ -114,8 +114,8 @@ def cells(classes: DataFrame, cuts: int, mid: dict[int, np.ndarray]) -> DataFram
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 for dim, b in by_dim(whole.slice(at, 1024)):
-                    _, w, groups, _ = plan(dim)
-                    q = project(unit(b, dim), dim).astype(np.int64)
+                    _, w, groups, _ = plan(dim, cosine)
+                    q = project(unit(b, dim), dim, cosine).astype(np.int64)
                     for g, dims in enumerate(groups):
                         who, cell, home = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64), np.ones(b.num_rows, bool)
                         for i in dims[:cuts]:
@@ -159,7 +159,7 @@ def count_cell(cosine: float, cuts: int):
         dim, g = t.column("dim")[0].as_py(), t.column("grp")[0].as_py()
         b = t.combine_chunks().to_batches()[0]
         x = unit(b, dim)
-        q = project(x, dim)
+        q = project(x, dim, cosine)
         _, w, groups, least = plan(dim, cosine)
         wide = q.astype(np.int64)
         home = np.flatnonzero(b.column("home").to_numpy(zero_copy_only=False))
@@ -216,7 +216,7 @@ def dedup_embeddings(emb: DataFrame, scratch: Scratch, cosine: float = COSINE, c
     classes = v.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("v").alias("v"))
     classes = scratch.cut(classes, "classes")
     cuts = min(GROUP, max(0, ceil(log2(max(1, classes.count()) / cell))))
-    found = cells(classes, cuts, medians(classes)).groupBy("dim", "grp", "cell").applyInArrow(count_cell(cosine, cuts), "node long, n long, root long")
+    found = cells(classes, cuts, medians(classes, cosine), cosine).groupBy("dim", "grp", "cell").applyInArrow(count_cell(cosine, cuts), "node long, n long, root long")
     found = scratch.cut(found, "found")
     comp = connected(emb.sparkSession, found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch, "links")
     n = found.groupBy("node").agg(F.sum("n").alias("n"))

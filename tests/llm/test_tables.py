@@ -105,3 +105,19 @@ def test_pipeline(spark, docs, tmp_path):
     for k, (_, stage) in enumerate(pipeline.STAGES):
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+@pytest.mark.parametrize("dim", [16, 64])
+def test_embedding_links_below_the_default_cosine(spark, scratch, dim):
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((250, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o = rng.standard_normal(a.shape)
+    o -= (o * a).sum(1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.81 * a + (1 - 0.81**2) ** 0.5 * o])  # each with a partner at 0.81
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sum(r["n_links"] for r in embeddings.dedup_embeddings(e, scratch, cosine=0.8, cell=128).collect())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((u @ u.T >= 0.8).sum()) - len(x)
+    assert want >= 500 and (got == want if dim < 48 else 0.95 * want <= got <= want)
