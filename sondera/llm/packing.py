@@ -25,8 +25,6 @@ WINDOW, END_ID = 4096, 2
 AT_SENTENCE, WITHIN = 4.0, 24.0
 #: Within a sentence, cuts are considered at each so many tokens.
 STRIDE = 32
-#: Of the sentence ends in a stretch of so many tokens, the last is considered.
-CELL = 24
 #: Tokens that are cut together: a chunk ends with the document that fills it.
 CHUNK = 64 * WINDOW
 #: Words and stems that a worker remembers, and stems that it has ids of. Full, the word table keeps the words met again
@@ -217,7 +215,6 @@ def candidates(lengths: np.ndarray, sentence: list[np.ndarray]) -> tuple[np.ndar
     ends = np.cumsum(lengths)
     starts = ends - lengths
     s = np.concatenate([x[(x > 0) & (x < n - 1)] + a for x, n, a in zip(sentence, lengths, starts, strict=True)] or [np.empty(0, np.int64)])
-    s = s[np.append(np.diff(s // CELL) > 0, True)] if len(s) else s
     at = np.unique(np.concatenate([[0], s, ends]))
     gap = np.diff(at)
     wide = np.flatnonzero(gap > 2 * STRIDE)

@@ -353,6 +353,12 @@ def test_cuts_are_the_best():
         assert cost == pytest.approx(best[-1])
 
 
+def test_every_sentence_end_is_a_candidate():
+    ends = np.array([3, 5, 9, 11, 30, 33])
+    pos, pen = packing.candidates(np.array([40, 20]), [ends, np.array([2, 4])])
+    assert {*ends.tolist(), 42, 44} <= set(pos[pen == packing.AT_SENTENCE].tolist())
+
+
 def test_language_id(docs, rows, empty, scratch):
     f = langid.train(docs)
     out = langid.predict(docs, f).withColumn("held", langid.held_out(F.col("doc_id"))).collect()
