@@ -131,19 +131,26 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Filters:
     """Filters from a bounded sample of the labelled documents outside the held-out fold.
 
-    Documents of null text or lang are not learned from. The n-grams of a language are the KEEP most frequent
-    in its sample (ties: smaller hash). Languages are in code point order.
+    Documents of null text or lang are not learned from; a language's sample holds those whose id has the smallest hash,
+    found from counts by leading zeros. The n-grams of a language are the KEEP most frequent in its sample (ties:
+    smaller hash). Languages are in code point order. An empty table gives filters without languages; other columns,
+    whatever their names, are not read.
     """
     lab = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     h = F.xxhash64("doc_id")
-    order = Window.partitionBy("lang").orderBy("__h")
-    least = lab.select("lang", h.alias("__h")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
-    bounds = least.groupBy("lang").agg(F.max("__h").alias("most")).collect()  # a number for each language
+    zeros = 64 - F.length(F.bin(h))  # leading zeros: each more halves what is left of a language
+    size, least = {}, {}
+    for r in lab.groupBy("lang", zeros.alias("z")).agg(F.count("*").alias("n")).orderBy(F.desc("z")).collect():  # 64 counts a language at most
+        if size.get(r["lang"], 0) < per_lang:
+            least[r["lang"]] = r["z"]
+        size[r["lang"]] = size.get(r["lang"], 0) + r["n"]
     near = F.lit(False)
-    for r in bounds:
-        near = near | ((F.col("lang") == r["lang"]) & (h <= r["most"]))
-    # the texts of the sample alone leave the scan; rows that share the last doc_id are cut to the bound
-    sample = lab.where(near).select("text", "lang", h.alias("__h")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang).select("text", "lang")
+    for lang, z in least.items():
+        near = near | ((F.col("lang") == lang) & (zeros >= z))
+    # some per_lang to 2 * per_lang texts of a language leave the scan; the bound then cuts those of the greatest hash
+    order = Window.partitionBy("lang").orderBy(F.desc("__z"), "__h")
+    sample = lab.where(near).select("text", "lang", zeros.alias("__z"), h.alias("__h"))
+    sample = sample.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang).select("text", "lang")
 
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
@@ -165,7 +172,6 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Filters:
     kept = sample.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kept = kept.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= KEEP).groupBy("lang").agg(F.sort_array(F.collect_list("gram")).alias("g"))
     found = {r["lang"]: np.array(r["g"], np.int64).view(np.uint64) for r in kept.collect()}
-    size = {r["lang"]: r["n"] for r in lab.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(found)
     return Filters.build(langs, [found[x] for x in langs], max(range(len(langs)), key=lambda i: (size.get(langs[i], 0), -i), default=-1))
 

@@ -49,3 +49,57 @@ def test_one_scan_trains_both_models(spark, sf):
 
     secrets.train(docs.mapInArrow(count, "text string"))
     assert seen.value == docs.agg(F.count("*")).first()[0]
+
+
+def test_language_sample_is_the_smallest_hashes(spark, docs):
+    """A bound far below a language's documents: the sample is the documents of the smallest unsigned hash of the id."""
+    from sondera.llm import langid
+
+    lab = docs.where(~langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    got = langid.train(docs, per_lang=5)
+    rows = [(r["lang"], r["h"] % (1 << 64), r["text"]) for r in lab.select("lang", "text", F.xxhash64("doc_id").alias("h")).collect()]
+    few = [(x, t) for x in {r[0] for r in rows} for _, _, t in sorted(r for r in rows if r[0] == x)[:5]]
+    want = langid.train(spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(few)], "doc_id long, text string, lang string").withColumn("doc_id", F.lit(None).cast("long")))
+    assert got.langs == want.langs and (got.table == want.table).all()
+
+
+def test_language_is_decided_by_corrected_popcounts(docs, rows):
+    """Every decision against sets of n-grams in plain Python: hits less the false positives expected decide."""
+    import re
+
+    from sondera.llm import langid
+
+    f = langid.train(docs)
+
+    def grams(t):
+        out = []
+        for part in re.findall(r"[^\W\d_]+", t.lower()):
+            s = [0, *map(ord, part), 0]
+            for n in langid.SIZES:
+                for i in range(len(s) - n + 1):
+                    g = s[i : i + n]
+                    if any(g) and not (n == 1 and g == [0]):
+                        key = n
+                        for c in g:
+                            key = (key * 0x1000193_0001 + c) % (1 << 64)
+                        out.append(key)
+        return np.array(out, np.uint64)
+
+    got = {}
+    for r in langid.predict(docs, f).collect():
+        got.setdefault(r["doc_id"], []).append(r["lang_pred"])
+    checked = 0
+    for r in rows:
+        t = r["text"] or ""
+        if not t.isascii() or len(t) > 4000:
+            continue
+        g = langid.mix(grams(t)) if re.search("[a-zA-Z]", t) else np.empty(0, np.uint64)
+        if not len(g):
+            assert "und" in got[r["doc_id"]]
+            continue
+        mask = f.lookup(g)[0]
+        true = [max(0, (int((mask >> np.uint64(i) & np.uint64(1)).sum()) - len(g) * f.false_rate[i]) / (1 - f.false_rate[i])) for i in range(len(f.langs))]
+        if sorted(true)[-1] > sorted(true)[-2]:
+            assert f.langs[int(np.argmax(true))] in got[r["doc_id"]]
+            checked += 1
+    assert checked > 50
