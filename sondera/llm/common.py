@@ -170,24 +170,37 @@ def components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-#: Edges that one task solves by itself (32 MB); more are solved by rounds of grouped minima.
-SOLO_EDGES = 1 << 21
+#: Edges that a task reduces to a forest at once (16 bytes each).
+FOREST_EDGES = 1 << 20
 
 
-def solve(t: pa.Table) -> pa.Table:
-    """Components of the edges (a, b) of one table: (node, component)."""
-    a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
-    ids, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = components(inv[: len(a)], inv[len(a) :], len(ids))
-    return pa.table({"node": ids, "component": ids[root]})
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer edges (a, b) with the same components: each node of a stretch of edges with the smallest that it reaches there."""
+    held: list[pa.RecordBatch] = []
 
+    def reduced() -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b"))
+        ids, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = components(inv[: len(a)], inv[len(a) :], len(ids))
+        other = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(ids[root[other]])], ["a", "b"])
 
-def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str, solo: int = SOLO_EDGES) -> DataFrame:
+    for x in batches:
+        held.append(x)
+        if sum(y.num_rows for y in held) >= FOREST_EDGES:
+            held = [reduced()]
+            if held[0].num_rows >= FOREST_EDGES // 2:
+                yield held.pop()
+    if held:
+        yield reduced()
+
+
+def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """Connected components of edges(a, b) over distributed rows: (node, component), component the smallest node.
 
-    Up to `solo` edges are solved in one task. More go through alternating large-star and small-star steps: each is a
-    grouped minimum, so hot nodes are pre-aggregated and no component is gathered in one place; they stop when a round
-    changes nothing. Both ways give the same rows (nodes without an edge may be missing).
+    Each task first reduces its edges to a forest. Then alternating large-star and small-star steps: each is a grouped
+    minimum, so hot nodes are pre-aggregated and no component is gathered in one place; they stop when a round changes
+    nothing. Nodes without an edge to another are missing.
     """
     from pyspark.sql import functions as F
 
@@ -204,22 +217,31 @@ def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str,
             out = out.union(low.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
-    e = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-0")
-    if e.count() <= solo:
-        return scratch.cut(e.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(lambda t: solve(t), "node long, component long"), f"{tag}-solo")
-    mark, k = None, 0
-    while True:
+    def marked(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(forest, "a long, b long").distinct()
+    e, k = scratch.cut(e, f"{tag}-0"), 0
+    mark = marked(e)
+    while mark[0]:
         k += 1
-        e2 = scratch.cut(star(star(e, True), False), f"{tag}-{k}")
-        now = e2.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        e = scratch.cut(star(star(e, True), False), f"{tag}-{k}")
+        now = marked(e)
         scratch.drop(f"{tag}-{k - 1}")
-        e = e2
         if now == mark:
             break
         mark = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def identity(df: DataFrame, *cols: str) -> list:
+    """Two 64-bit hashes that tell rows of different values in the columns apart (nulls count as values)."""
+    from pyspark.sql import functions as F
+
+    parts = [x for c in cols or df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)]
+
+
 #: Documents of a block: ids that share doc_id div BLOCK. Blocks are what the key exchange answers to.
 BLOCK = 512
 

@@ -65,15 +65,16 @@ def blocks_sent(docs: DataFrame, n: int, buckets: int) -> DataFrame:
 _SETS = "doc_id long, n long, sig_a long, sig_b long, alone long, post binary, shingles binary"
 
 
-def sets_table(docs: DataFrame, flags: DataFrame, n: int, t: tuple[int, int], buckets: int) -> DataFrame:
+def sets_table(docs: DataFrame, flags: DataFrame, n: int, t: tuple[int, int], buckets: int, carry: list[str]) -> DataFrame:
     """A row for each document: set size, 128-bit signature of the set, shingles that it holds alone, and, where its
-    prefix has shared shingles, these as postings and the whole set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("alone", pa.int64()), ("post", pa.binary()), ("shingles", pa.binary())])
+    prefix has shared shingles, these as postings and the whole set; and the long columns `carry` of docs."""
+    schema = pa.schema([*((c, pa.int64()) for c in carry), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("alone", pa.int64()), ("post", pa.binary()), ("shingles", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rep, words, out = Repeated(right, buckets), WordHash(), []
         for b in text_slices(left.to_batches()):
-            out_b: dict[str, list] = {f.name: [] for f in schema if f.name != "doc_id"}
+            kept = {c: b.column(c) for c in ("doc_id", *carry)}
+            out_b: dict[str, list] = {f.name: [] for f in schema if f.name not in kept}
             for s in sets_of(texts_of(b), words, n):
                 lev = rep.levels(s)
                 order = np.argsort(lev, kind="stable")[: prefix(len(s), t)] if len(s) else np.empty(0, np.int64)
@@ -85,10 +86,10 @@ def sets_table(docs: DataFrame, flags: DataFrame, n: int, t: tuple[int, int], bu
                 sig = (int(s.sum(dtype=np.uint64)), int((s * (s | np.uint64(1))).sum(dtype=np.uint64))) if len(s) else (0, 0)
                 for name, x in zip(out_b, (len(s), *(x - (1 << 64) if x >> 63 else x for x in sig), alone, blob(post) if len(post) else None, blob(s) if len(post) else None), strict=True):
                     out_b[name].append(x)
-            out.append(rows(schema, doc_id=b.column("doc_id"), **out_b))
+            out.append(rows(schema, **kept, **out_b))
         return pa.Table.from_batches(out, schema)
 
-    return docs.groupBy("k").cogroup(flags.groupBy("k")).applyInArrow(run, _SETS)
+    return docs.groupBy("k").cogroup(flags.groupBy("k")).applyInArrow(run, ", ".join([*(f"{c} long" for c in carry), _SETS]))
 
 
 def postings(sets: DataFrame, buckets: int) -> DataFrame:
@@ -292,7 +293,7 @@ def link_counts(found: DataFrame, comp: DataFrame, classes: DataFrame, reps: Dat
     """
     c = comp.where("node <> component").select("node", "component")
     member = c.union(c.select(F.col("component").alias("node"), "component").distinct())
-    member = scratch.cut(member.join(classes.select(F.col("sig_a").alias("node"), "n", "mult"), "node"), "members")
+    member = scratch.cut(member.join(classes.select("node", "n", "mult"), "node"), "members")
     have = found.join(member.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.count("*").alias("have"))
     size = member.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("words"), F.sum("mult").alias("total")).join(have, "component")
     size = scratch.cut(size.withColumn("all", 2 * F.col("have") == F.col("k") * (F.col("k") - 1)), "component-sizes")
@@ -306,25 +307,26 @@ def link_counts(found: DataFrame, comp: DataFrame, classes: DataFrame, reps: Dat
     return scratch.cut(known.union(tiles.groupBy("node").agg(F.sum("n").alias("n"))), "link-counts")
 
 
-def join(docs: DataFrame, scratch: Scratch, n: int = 5, t: tuple[int, int] = (80, 100), links: bool = False, side: int = SIDE) -> DataFrame:
-    """doc_id, n_shingles, component_id, and n_links where links are asked for: a row for each row of docs(doc_id, text).
+def join(docs: DataFrame, scratch: Scratch, n: int = 5, t: tuple[int, int] = (80, 100), links: bool = False, side: int = SIDE, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links where links are asked for, and the long columns `carry` with `component`:
+    a row for each row of docs(doc_id, text).
 
     Documents link if den * overlap >= num * union of their sets of n-word shingles (A-Z lower-cased); component_id is
-    the smallest doc_id reachable by links. Equal sets are one class, with the smallest doc_id for its name, and
-    only classes are joined. n_links is the number of other documents that a document links with, all pairs verified.
-    A text without words has an empty set and links with nothing. Rows that share a doc_id
-    are documents of their own; a null doc_id is never the smallest (a component of nulls alone has a null).
+    the smallest doc_id reachable by links. Equal sets (by a signature of 128 bits) are one class, and only classes are
+    joined; `component` is a number that tells components apart (null without words). n_links is the number of other
+    documents that a document links with, all pairs verified. A text without words has an empty set and links with
+    nothing. Rows that share a doc_id are documents of their own; a null doc_id is never the smallest (a component of
+    nulls alone has a null). Empty tables give no rows; other columns, whatever their names, are not read.
     """
-    spark = docs.sparkSession
+    spark, carry = docs.sparkSession, carry or []
     buckets = 4 * tasks(spark)
-    d = docs.select("doc_id", "text", block_of(F.col("doc_id")).alias("k"))
-    flags = repeated_keys(blocks_sent(d, n, buckets))
-    table = scratch.cut(sets_table(d, flags, n, t, buckets), "sets")
+    d = docs.select("doc_id", "text", *carry, block_of(F.col("doc_id")).alias("k"))
+    flags = repeated_keys(blocks_sent(d.select("text", "k"), n, buckets))
+    table = scratch.cut(sets_table(d, flags, n, t, buckets, carry), "sets")
     sig = ["sig_a", "sig_b", "n"]
-    classes = table.where("n > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
-    # a class is a node, named by its signature until the end
-    reps = table.where("post IS NOT NULL").groupBy(F.col("sig_a").alias("doc_id")).agg(F.first("post").alias("post"), F.first("shingles").alias("shingles"))
-    reps = scratch.cut(reps, "reps")
+    classes = table.where("n > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("post", True).alias("post"), F.first("shingles", True).alias("shingles"))
+    classes = scratch.cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so a class keeps its number
+    reps = classes.where("post IS NOT NULL").select(F.col("node").alias("doc_id"), "post", "shingles")
     posts = scratch.cut(postings(reps, buckets), "postings")
     pairs = posts.groupBy("bucket").applyInArrow(first_pairs(t), "a long, b long").distinct()
     pairs = scratch.cut(pairs, "pairs")
@@ -339,16 +341,17 @@ def join(docs: DataFrame, scratch: Scratch, n: int = 5, t: tuple[int, int] = (80
         found = found.union(more)
         comp = connected(spark, found, scratch, "last")
     scratch.drop("pairs", "postings")
-    named = classes.join(comp.withColumnRenamed("node", "sig_a"), "sig_a", "left").withColumn("component", F.coalesce("component", "sig_a"))
+    named = classes.select("node", "rep", "mult", *sig).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     more_cols = []
     if links:
         counts = link_counts(found, comp, classes, reps, scratch, t, side).withColumnRenamed("n", "_links")
-        named = named.join(counts.withColumnRenamed("node", "sig_a"), "sig_a", "left").withColumn("n_links", F.coalesce("_links", F.lit(0)) + F.col("mult") - 1)
+        named = named.join(counts, "node", "left").withColumn("n_links", F.coalesce("_links", F.lit(0)) + F.col("mult") - 1)
         more_cols = ["n_links"]
-    named = named.join(low, "component").select(*(F.col(c).alias(f"_{c}") for c in sig), "component_id", *more_cols)
-    out = table.select("doc_id", *sig).join(named, [F.col(c) == F.col(f"_{c}") for c in sig], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in more_cols))
+    named = named.join(low, "component").select(*(F.col(c).alias(f"_{c}") for c in sig), "component_id", "component", *more_cols)
+    out = table.select("doc_id", *carry, *sig).join(named, [F.col(c) == F.col(f"_{c}") for c in sig], "left")
+    more_cols = [F.coalesce(c, F.lit(0)).alias(c) for c in more_cols] + ([*carry, "component"] if carry else [])
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more_cols)
 
 
 def long_lists(t: pa.Table) -> pa.Table:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,14 +279,21 @@ def test_ngram_jaccard_counts_every_link(spark, scratch, side):
     assert plain.columns == ["doc_id", "n_shingles", "component_id"] and sorted(map(tuple, plain.collect())) == sorted(tuple(r)[:3] for r in out.collect())
 
 
-def test_components_by_rounds_and_alone_agree(spark, scratch):
-    from sondera.llm.common import connected
+def test_components(spark, scratch, monkeypatch):
+    from sondera.llm import common
 
     rng = np.random.default_rng(2)
-    e = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(7, i) for i in range(100, 140)], "a long, b long")
-    one = {r["node"]: r["component"] for r in connected(spark, e, scratch, "one").collect() if r["node"] != r["component"]}
-    many = {r["node"]: r["component"] for r in connected(spark, e, scratch, "many", 0).collect() if r["node"] != r["component"]}
-    assert one == many and one
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(7, i) for i in range(100, 140)] + [(i, i + 1) for i in range(1000, 1064)]
+    root = common.components(*np.array(pairs).T, 2000)
+    want = {i: int(r) for i, r in enumerate(root) if i != r}
+    got = common.connected(spark, spark.createDataFrame(pairs, "a long, b long").repartition(7), scratch, "some").collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+    assert common.connected(spark, spark.createDataFrame([], "a long, b long"), scratch, "none").count() == 0
+    monkeypatch.setattr(common, "FOREST_EDGES", 16)
+    a, b = np.array(pairs).T
+    cut = pa.table({"a": a, "b": b}).to_batches(max_chunksize=5)
+    f = np.concatenate([np.stack([x.column("a").to_numpy(), x.column("b").to_numpy()]) for x in common.forest(iter(cut))], axis=1)
+    assert (common.components(f[0], f[1], 2000) == root).all()
 
 
 def test_packing(docs, rows, empty):
