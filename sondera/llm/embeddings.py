@@ -147,7 +147,7 @@ def tiles(placed: DataFrame, counts: DataFrame, cell: int, scratch: Scratch) ->
     """Adds h, q, query: a cell with a crowd is dealt in tiles of home vectors (h) by queries (q), so that no task holds it
     whole; each home vector meets each query in one tile. Other cells are one tile."""
     full = (F.col("homes") > 2 * cell) | (F.col("queries") > CROWD * cell)
-    big = counts.where(full).select("dim", "grp", "cell", F.ceil(F.col("homes") / cell).cast("int").alias("hp"), F.ceil(F.col("queries") / (CROWD * cell // 2)).cast("int").alias("qp"))
+    big = counts.where(full).select("dim", "grp", "cell", F.greatest(F.lit(1), F.ceil(F.col("homes") / cell)).cast("int").alias("hp"), F.ceil(F.col("queries") / (CROWD * cell // 2)).cast("int").alias("qp"))
     big = scratch.cut(big, "crowds")
     p = placed.join(F.broadcast(big) if big.count() <= TILED else big, ["dim", "grp", "cell"], "left").na.fill(1, ["hp", "qp"])
     p = p.withColumns({"_h": F.pmod(F.xxhash64("node"), "hp").cast("int"), "_q": F.pmod(F.xxhash64("node", F.lit(1)), "qp").cast("int")})
