@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, rows, tasks, text_slices, texts_of
+from .common import Scratch, identity, rows, tasks, text_slices, texts_of
 
 #: Weights, dealt to the sources in code point order (null last), repeating; the mix's size, and the most of a source.
 WEIGHTS, TOTAL, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -27,14 +27,18 @@ BLOCK_DOCS, MOST_BLOCKS = 64, 1 << 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text_hash, size: words of each whole text (null: 0)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), ("size", pa.int64())])
+    """doc_id, source, size (words of the whole text; null: 0), id_a and id_b (identity of the row), row_key: a row for each
+    row of docs. Rows alike in every column share an identity and are told apart by row_key, a hash of identity and number."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("id_a", pa.int64()), ("id_b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            yield rows(schema, doc_id=b.column("doc_id"), source=b.column("source"), text_hash=b.column("text_hash"), size=[len(t.split()) for t in texts_of(b)])
+            yield rows(schema, size=[len(t.split()) for t in texts_of(b)], **{c: b.column(c) for c in ("doc_id", "source", "id_a", "id_b")})
 
-    return docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, source string, text_hash long, size long")
+    a, b = identity(docs)
+    out = docs.select("doc_id", "source", a.alias("id_a"), b.alias("id_b"), "text").mapInArrow(run, "doc_id long, source string, size long, id_a long, id_b long")
+    out = out.groupBy(*out.columns).agg(F.count("*").alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return out.withColumn("row_key", F.concat(F.hex(F.xxhash64("id_a", "id_b", "_k")), F.hex(F.xxhash64("id_b", "id_a", "_k")))).drop("_n", "_k")
 
 
 def water_fill(size: np.ndarray, weight: np.ndarray, total: float = TOTAL, most: float = MOST) -> np.ndarray:
@@ -97,13 +101,15 @@ def draw(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
 
 
 def mix(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, shards: int = 0, seed: int = SEED) -> DataFrame:
-    """The mix, a row for each copy of a document in it: doc_id, row_key, source, size, source_size, target, epoch, shard, place.
+    """The mix, a row for each copy of a document in it: doc_id, row_key, source, size, source_size, target, block, epoch,
+    shard, place. A shard's rows are in the order of place.
 
     sized: doc_id, source, size, and any row_key that tells rows apart. Copies come in epochs: an epoch takes a
     source's blocks in an order of its own, whole while the source's target allows, then of one block the
     documents that still fit, and the smallest left if that comes nearer. So a source's words miss its target by
     half of the smallest document left in that block at most, and a document is taken `most` times (rounded up) at most. A null source is a
-    source; rows without words are never taken. Everything follows from the seed and row_key: reruns agree.
+    source; rows without words are never taken; an empty table gives an empty mix. Everything follows from the seed and row_key:
+    reruns agree. The sources, their targets and the block counts of each are held in one place: sources can be listed.
     """
     spark, n_shards = sized.sparkSession, shards or tasks(sized.sparkSession)
     by = scratch.cut(targets(sized, weights, total, most), "targets")
@@ -150,7 +156,7 @@ def mix(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS
     part = taken.where("room IS NOT NULL").select(*cols, F.xxhash64("row_key", "epoch", F.lit(seed)).alias("_h"))
     part = part.groupBy("source", "epoch", "block").applyInPandas(fit, part.schema).select(cols)
     out = taken.where("room IS NULL").select(cols).unionByName(part)
-    return out.withColumn("place", F.xxhash64("row_key", "epoch", "shard", F.lit(seed + 1))).drop("block", "room")
+    return out.withColumn("place", F.xxhash64("row_key", "epoch", "shard", F.lit(seed + 1))).drop("room")
 
 
 def shuffled(mixed: DataFrame, n_shards: int, prefix: str = "") -> DataFrame:
@@ -159,29 +165,33 @@ def shuffled(mixed: DataFrame, n_shards: int, prefix: str = "") -> DataFrame:
     return mixed.repartition(n_shards, shard).sortWithinPartitions(shard, place, key, epoch)
 
 
-def with_row_key(df: DataFrame, *cols: str) -> DataFrame:
-    """Adds row_key, a number that tells rows apart: a hash of the columns, and of the count among rows alike in them."""
-    alike = Window.partitionBy(*cols).orderBy(*cols)
-    return df.withColumn("row_key", F.xxhash64(*cols, F.row_number().over(alike)))
-
-
 def mixed_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs as the mix takes them: a row for each copy, in the order of the output shards. Columns are those of docs."""
+    """docs as the mix takes them: a row for each copy, in the order of the output shards.
+
+    Columns are those of docs, other than __mx_a, __mx_b, __mx_epoch, __mx_shard, __mx_place and __mx_row_key, which are
+    reserved. Rows are told apart by all their columns; rows alike in all are taken as often as there are rows.
+    Null texts and texts without words are never taken; an empty table gives none.
+    """
     n = tasks(docs.sparkSession)
-    sized = scratch.cut(with_row_key(sizes(docs), "doc_id", "source", "text_hash"), "sizes")
+    sized = scratch.cut(sizes(docs), "sizes")
     mixed = mix(sized, scratch, shards=n)
-    named = sized.select("row_key", *(F.col(c).alias(f"__mx_{c}") for c in ("doc_id", "source", "text_hash")))
-    copies = mixed.select("row_key", *(F.col(c).alias(f"__mx_{c}") for c in ("epoch", "shard", "place"))).join(named, "row_key").withColumnRenamed("row_key", "__mx_row_key")
-    d = docs.withColumn("__mx_text", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__mx_text"])  # alike rows are told apart by row_key
-    on = F.col("doc_id").eqNullSafe(F.col("__mx_doc_id")) & F.col("source").eqNullSafe(F.col("__mx_source")) & (F.col("__mx_text") == F.col("__mx_text_hash"))
-    return shuffled(d.join(copies, on), n, "__mx_").select(*(F.col(f"`{c}`") for c in docs.columns))
+    copies = mixed.join(sized.select("row_key", F.col("id_a").alias("__mx_a"), F.col("id_b").alias("__mx_b")), "row_key")
+    copies = copies.select("__mx_a", "__mx_b", *(F.col(c).alias(f"__mx_{c}") for c in ("epoch", "shard", "place", "row_key")))
+    a, b = identity(docs)
+    d = docs.withColumns({"__mx_a": a, "__mx_b": b}).dropDuplicates(["__mx_a", "__mx_b"])
+    return shuffled(d.join(copies, ["__mx_a", "__mx_b"]), n, "__mx_").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: Output shards of the query's mix.
+SHARDS = 64
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    sized = scratch.cut(with_row_key(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id", "source", "text_hash"), "sizes")
-    mixed = mix(sized, scratch)
-    times = mixed.groupBy("row_key").agg(F.sum("size").alias("taken"))
+    sized = scratch.cut(sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
+    mixed = mix(sized, scratch, shards=SHARDS)
+    at = F.transform(F.array_sort(F.collect_list(F.struct("epoch", "shard", "place"))), lambda x: F.concat_ws(":", x["shard"].cast("string"), x["place"].cast("string")))
+    times = mixed.groupBy("row_key").agg(F.sum("size").alias("taken"), F.array_join(at, ",").alias("places"))
     by = scratch.spark.read.parquet(scratch.path("targets")).select(F.col("source").alias("_s"), "source_size", "target")
     out = sized.join(by, F.col("source").eqNullSafe(F.col("_s"))).join(times, "row_key", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source", F.coalesce("places", F.lit("")).alias("places"))

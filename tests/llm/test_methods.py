@@ -103,3 +103,44 @@ def test_language_is_decided_by_corrected_popcounts(docs, rows):
             assert f.langs[int(np.argmax(true))] in got[r["doc_id"]]
             checked += 1
     assert checked > 50
+
+
+def leaf_counts(quota, shards, seed):
+    """Blocks by color of each shard: the splitting tree's draws, without blocks."""
+    from sondera.llm import mixing
+
+    out, stack = np.zeros((shards, len(quota)), int), [(1, 0, shards, quota)]
+    while stack:
+        node, first, s, have = stack.pop()
+        if s == 1:
+            out[first] = have
+            continue
+        left = mixing.draw(np.random.default_rng([seed, node]), have, int(have.sum()) * (s // 2) // s)
+        stack += [(2 * node, first, s // 2, left), (2 * node + 1, first + s // 2, s - s // 2, have - left)]
+    return out
+
+
+def test_every_shard_holds_its_quota_of_every_source(spark, sf, tmp_path):
+    """The query's shards against the tree: block counts by source and epoch, nowhere a block in two shards."""
+    from collections import Counter
+
+    from sondera.llm import mixing
+    from sondera.llm.common import Scratch
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    many = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 1000)).union(docs.withColumn("doc_id", F.col("doc_id") + 2000))
+    many.write.parquet(f"{tmp_path}/documents.parquet")
+    scratch = Scratch(spark)
+    mixed = mixing.mix(scratch.cut(mixing.sizes(spark.read.parquet(f"{tmp_path}/documents.parquet")), "s"), scratch, shards=mixing.SHARDS).collect()
+    shards = {}
+    for r in mixed:
+        assert shards.setdefault((r["source"], r["epoch"], r["block"]), r["shard"]) == r["shard"]
+    quota = {(r["source"], r["epoch"]): r["n"] for r in spark.read.parquet(scratch.path("quota")).collect()}
+    colors = sorted(quota, key=lambda x: (x[0] is None, (x[0] or "").encode(), x[1]))
+    want = leaf_counts(np.array([quota[c] for c in colors]), mixing.SHARDS, mixing.SEED)
+    got = Counter((shard, c[:2]) for c, shard in shards.items())
+    assert len(shards) == sum(quota.values()) and got == Counter({(i, c): int(want[i, j]) for i in range(mixing.SHARDS) for j, c in enumerate(colors) if want[i, j]})
+    out = mixing.op5_mixing(spark, str(tmp_path)).collect()
+    assert Counter(int(x.split(":")[0]) for r in out for x in r["places"].split(",") if x) == Counter(r["shard"] for r in mixed)
+    assert all(r["taken"] == r["size"] * len([x for x in r["places"].split(",") if x]) for r in out)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.op5_mixing(spark, str(tmp_path)).collect()))

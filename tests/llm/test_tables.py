@@ -153,3 +153,24 @@ def test_count_of_collisions_decides_candidates(monkeypatch, spark, scratch):
     assert embeddings.count_cell(0.95, 0)(t).num_rows == 0 and len(q) == 20
     monkeypatch.setattr(embeddings, "plan", plan)
     assert embeddings.count_cell(0.95, 0)(t).num_rows == 20
+
+
+def test_pipeline_loses_no_rows_that_share_ids(spark):
+    """Rows of one doc_id or of none, and rows alike but for one column, are documents of their own in every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    a, b, c = text(1), text(2), text(3)
+    rows = [
+        (1, a, "en", "s", 1), (7, a + " end", "en", "s", 1), (7, b, "en", "s", 1), (None, b + " more", "en", "s", 1), (None, c, "en", "s", 1), (None, c + " tail", "en", "s", 1),
+        (9, text(4), "en", "s", 1), (9, text(4), "en", "s", 1), (10, None, "en", "s", 1), (11, "", "en", "s", 1), (12, " ", None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in pipeline.dedup_documents(spark, docs, "").collect())
+    assert got == sorted([(1, "w1x0"), (7, "w2x0"), (0, "w3x0"), (9, "w4x0"), (10, ""), (11, ""), (12, " ")])
+    alike = [(1, a, "en", "s", 1), (1, a, "fr", "s", 1), (1, a, "fr", "s", None), (1, a, None, "s", 1), (2, b, "en", "s", 1), (2, b, "en", "s", 1), (3, None, "en", "s", 1)]
+    mixed = pipeline.mix_sources(spark, spark.createDataFrame(alike, docs.schema), "")
+    n = Counter((r["doc_id"], r["lang"], r["n_chars"]) for r in mixed.collect())
+    assert sum(n.values()) == 9 and max(n[x] for x in n if x[0] == 1) <= 2  # 1.5 times six documents of one size
+    assert {x for x in n if x[0] == 1} == {(1, "en", 1), (1, "fr", 1), (1, "fr", None), (1, None, 1)} and n[2, "en", 1] <= 4
+    lines = spark.createDataFrame([(1, "one line\ntwo lines\nthree", "en", "s", 1), (1, "one line\ntwo lines\nthree", "fr", "t", 1), (2, "one line\ntwo lines", "en", "s", 1)], docs.schema)
+    assert sorted((r["doc_id"], r["lang"]) for r in pipeline.dedup_lines(spark, lines, "").collect()) == [(1, "en"), (1, "fr")]

@@ -117,7 +117,7 @@ def test_mcd_finds_planted_outliers(spark, scratch):
 
 
 def test_mixing(docs, rows, scratch, empty):
-    sized = scratch.cut(mixing.with_row_key(mixing.sizes(docs), "doc_id", "source", "text_hash"), "sizes")
+    sized = scratch.cut(mixing.sizes(docs), "sizes")
     a = mixing.mix(sized, scratch, shards=5).cache()
     size, largest = defaultdict(int), defaultdict(int)
     for r in rows:
