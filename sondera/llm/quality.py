@@ -24,8 +24,13 @@ _NOT_CHARS = SPACE + bytes(range(0x80, 0xC0))
 
 #: Transformed statistics, and the least scale of each: below it, spread is of no interest.
 FEATURES = {"x_word": 0.08, "x_symbol": 0.15, "x_dup": 0.1, "x_repeat": 0.1, "x_line": 0.5}
-#: Share of a group's rows that the estimate is concentrated on, and concentration steps.
-SUBSET, STEPS = 0.75, 4
+#: Statistics are rounded to so many parts of one, and held as integers: their sums are exact in any order.
+UNIT = 4096
+#: Share of a group's rows that the estimate is concentrated on, and concentration steps at most (they end when no
+#: determinant falls).
+SUBSET, STEPS = 0.75, 12
+#: Groups whose estimates are broadcast at most (some 400 bytes each); more are joined.
+FEW_GROUPS = 50_000
 #: Rows that a group needs for an estimate of its own.
 MIN_GROUP = 60
 #: A row is rejected if so unlikely under the chi-square law of the distance, times the slack for heavy tails.
@@ -45,7 +50,11 @@ def repeated_words(code: np.ndarray, width: int) -> int:
         return 0
     w = np.uint64(width)
     c = code.astype(np.uint64)
-    key = ((c[:-2] << w) | c[1:-1]) << w | c[2:]
+    if width <= 21:
+        key = ((c[:-2] << w) | c[1:-1]) << w | c[2:]
+    else:  # numbers of pairs first
+        _, pair = np.unique(c[:-1] << np.uint64(32) | c[1:], return_inverse=True)
+        key = pair[:-1].astype(np.uint64) << np.uint64(32) | c[2:]
     order = np.argsort(key, kind="stable")
     s = key[order]
     same = s[1:] == s[:-1]
@@ -72,14 +81,10 @@ def counts(docs: DataFrame) -> DataFrame:
                 if len(code.words) > WORD_TABLE:
                     code.reset()
                 words = t.split()
-                if len(words) > 1_500_000:  # codes must stay below 2**21
-                    code.reset()
                 lines = [x for x in t.split(b"\n") if x.strip(SPACE)]
                 c = code.of(words)
-                if len(code.words) >= 1 << 21:
-                    code.reset()
-                    _, c = np.unique(c, return_inverse=True)
-                out.append((len(words), len(t.translate(None, _NOT_CHARS)), len(t) - len(t.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(c, 21), len(lines)))
+                width = max(21, len(code.words).bit_length())
+                out.append((len(words), len(t.translate(None, _NOT_CHARS)), len(t) - len(t.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(c, width), len(lines)))
             yield rows(schema, doc_id=b.column("doc_id"), lang=b.column("lang"), source=b.column("source"), **dict(zip(_COUNTS, map(list, zip(*out, strict=True)), strict=True)))
 
     return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
@@ -88,13 +93,19 @@ def counts(docs: DataFrame) -> DataFrame:
 def with_features(c: DataFrame) -> DataFrame:
     n, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return c.withColumns({
-        "base_failed": failed, "x_word": F.log(F.greatest(F.col("word_chars") / n, F.lit(0.1))), "x_symbol": F.log1p(F.col("n_symbols") / n),
+    x = {
+        "x_word": F.log(F.greatest(F.col("word_chars") / n, F.lit(0.1))), "x_symbol": F.log1p(F.col("n_symbols") / n),
         "x_dup": F.col("n_dup_lines") / lines, "x_repeat": F.col("n_repeat_words") / n, "x_line": F.log(n / lines),
-    })
+    }
+    return c.withColumns({"base_failed": failed, **{k: F.round(v * UNIT).cast("long") for k, v in x.items()}})
+
+
+def beside(t: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """t with the columns of a table of groups, which is broadcast if it is known to be small: rows needn't be dealt by group."""
+    return t.join(F.broadcast(small) if small.count() <= FEW_GROUPS else small, on, how)
 
 
-def grouped(t: DataFrame, min_group: int) -> DataFrame:
+def grouped(t: DataFrame, min_group: int, scratch: Scratch) -> DataFrame:
     """Adds g, the group that a row is judged in: its language and source; if that has under min_group rows, the small
     groups of its language together; if these are few too, all that is left; null if even that is too few."""
     key = lambda *c: F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("0")) for x in c))
@@ -105,8 +116,8 @@ def grouped(t: DataFrame, min_group: int) -> DataFrame:
     g = F.when(F.col("n") >= min_group, F.concat(F.lit("s"), "_fine")).when(F.col("_of_lang") >= min_group, F.concat(F.lit("l"), "_lang")).otherwise("r")
     fine = fine.withColumn("g", g)
     fine = fine.withColumn("rest", F.sum("n").over(Window.partitionBy("g")))
-    fine = fine.select(F.col("_fine").alias("_f"), F.when((F.col("g") != "r") | (F.col("rest") >= 4 * P), F.col("g")).alias("g"))
-    return t.join(fine, t["_fine"] == fine["_f"], "left").drop("_fine", "_lang", "_f")
+    fine = scratch.cut(fine.select("_fine", F.when((F.col("g") != "r") | (F.col("rest") >= 4 * P), F.col("g")).alias("g")), "groups")
+    return beside(t, fine, ["_fine"], "left").drop("_fine", "_lang")
 
 
 def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +127,10 @@ def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         col = {f: b.column(f).to_numpy(zero_copy_only=False) for f in b.schema.names if f not in ("g", "start")}
         n = np.maximum(col["n"], 1.0)
-        m = np.stack([col[f"s{i}"] / n for i in range(P)], 1)
+        m = np.stack([col[f"s{i}"].astype(np.float64) / UNIT / n for i in range(P)], 1)
         cov = np.zeros((b.num_rows, P, P))
         for i, j in _PAIRS:
-            cov[:, i, j] = cov[:, j, i] = col[f"q{i}_{j}"] / n - m[:, i] * m[:, j]
+            cov[:, i, j] = cov[:, j, i] = col[f"q{i}_{j}"].astype(np.float64) / UNIT**2 / n - m[:, i] * m[:, j]
         floor = np.array(list(FEATURES.values())) ** 2
         cov[:, range(P), range(P)] = np.maximum(cov[:, range(P), range(P)], 0) + floor  # a ridge: a constant statistic keeps its least scale
         chol = np.linalg.cholesky(cov)
@@ -134,7 +145,7 @@ _PARAMS = "g string, start int, det double, " + ", ".join([f"m{i} double" for i
 
 def distance(xs: list[Column]) -> Column:
     """Squared Mahalanobis distance, a plain arithmetic expression over the parameter columns."""
-    z = [x - F.col(f"m{i}") for i, x in enumerate(xs)]
+    z = [x / F.lit(float(UNIT)) - F.col(f"m{i}") for i, x in enumerate(xs)]
     out = F.lit(0.0)
     for i in range(P):
         y = sum((F.col(f"w{i}_{j}") * z[j] for j in range(i + 1)), F.lit(0.0))
@@ -173,27 +184,34 @@ def middle(d: DataFrame) -> DataFrame:
 def mcd(t: DataFrame, scratch: Scratch) -> DataFrame:
     """Reweighted MCD estimate of each group g of t: parameter columns and `mid`, the median squared distance.
 
-    Deterministic starts (medians with MAD scales; means of all rows with their covariance), STEPS concentration
-    steps each, the start of the smaller determinant, then one reweighting step. All sums are over all rows.
+    Deterministic starts (medians with MAD scales; means of all rows with their covariance), concentration steps until no
+    determinant falls, the start of the smaller determinant (ties: the first), then one reweighting step. All sums are
+    over all rows, of integers, so estimates don't depend on partitions. A subset ends with a whole bin of distances.
     """
     xs = [F.col(x) for x in FEATURES]
-    med = t.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 10000).alias(f"c{i}") for i, x in enumerate(xs)))
-    dev = t.join(med, "g").select("g", *(F.abs(x - F.col(f"c{i}")).alias(f"a{i}") for i, x in enumerate(xs)))
+    med = scratch.cut(t.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 10000).alias(f"c{i}") for i, x in enumerate(xs))), "medians")
+    dev = beside(t, med, ["g"]).select("g", *(F.abs(x - F.col(f"c{i}")).alias(f"a{i}") for i, x in enumerate(xs)))
     mad = dev.groupBy("g").agg(*((F.percentile_approx(f"a{i}", 0.5, 10000) * 1.4826).alias(f"a{i}") for i in range(P)))
     start = scratch.cut(med.join(mad, "g"), "starts")
-    z = sum((F.pow((x - F.col(f"c{i}")) / F.greatest(F.col(f"a{i}"), F.lit(s)), 2) for i, (x, s) in enumerate(zip(xs, FEATURES.values(), strict=True))), F.lit(0.0))
-    robust = concentrate(t.join(start, "g").select("g", *FEATURES, F.lit(0).alias("start"), z.alias("d")), 0.5)
+    z = sum((F.pow((x - F.col(f"c{i}")) / F.greatest(F.col(f"a{i}"), F.lit(s * UNIT)), 2) for i, (x, s) in enumerate(zip(xs, FEATURES.values(), strict=True))), F.lit(0.0))
+    robust = concentrate(beside(t, start, ["g"]).select("g", *FEATURES, F.lit(0).alias("start"), z.alias("d")), 0.5)
     plain = moments(t.withColumn("start", F.lit(1)), "g", "start")
     params = scratch.cut(robust.unionByName(plain).mapInArrow(fit, _PARAMS), "params-0")
     for k in range(1, STEPS + 1):
-        d = t.join(params, "g").withColumn("d", distance(xs))
-        params = scratch.cut(concentrate(d, SUBSET).mapInArrow(fit, _PARAMS), f"params-{k}")
+        d = beside(t, params, ["g"]).withColumn("d", distance(xs))
+        after = scratch.cut(concentrate(d, SUBSET).mapInArrow(fit, _PARAMS), f"params-{k}")
+        falls = after.select("g", "start", F.col("det").alias("_new")).join(params, ["g", "start"]).where(F.col("_new") < F.col("det") - 1e-6)
+        # the first step goes from half of the rows, or all, to the subset; only from then on determinants compare
+        stop, params = k > 1 and falls.isEmpty(), after
+        if stop:
+            break
     params = params.groupBy("g").agg(F.min_by(F.struct(*params.columns), F.struct("det", "start")).alias("p")).select("p.*")
     params = scratch.cut(params, "best")
-    d = t.join(params, "g").withColumn("d", distance(xs))
-    near = d.join(middle(d).withColumnRenamed("start", "_s"), "g").where(F.col("d") <= F.col("mid") * (chi2(0.975) / chi2(0.5)))
+    d = beside(t, params, ["g"]).withColumn("d", distance(xs))
+    mid = scratch.cut(middle(d), "near")
+    near = beside(d, mid, ["g", "start"]).where(F.col("d") <= F.col("mid") * (chi2(0.975) / chi2(0.5)))
     params = scratch.cut(moments(near, "g", "start").mapInArrow(fit, _PARAMS), "final")
-    mid = middle(t.join(params, "g").withColumn("d", distance(xs)))
+    mid = middle(beside(t, params, ["g"]).withColumn("d", distance(xs)))
     return scratch.cut(params.join(mid, ["g", "start"]), "estimates")
 
 
@@ -201,14 +219,18 @@ def judge(docs: DataFrame, scratch: Scratch, alpha: float = ALPHA, slack: float
     """Counts, base_failed, distance2 (null where there is no estimate) and kept, a row for each row of docs.
 
     Rows that fail the fixed rules are out and take no part in the estimates. Null lang or source is a value of
-    its own. A group too small for an estimate even when pooled keeps its rows.
+    its own. A group too small for an estimate even when pooled keeps its rows. Rows of equal statistics, repeated rows
+    among them, have equal verdicts; a distance equal to the limit is kept. Long texts are counted whole. An empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
     t = scratch.cut(with_features(counts(docs)), "counts")
-    t = scratch.cut(grouped(t, min_group), "grouped")
+    t = scratch.cut(grouped(t, min_group, scratch), "grouped")
     est = mcd(t.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES), scratch)
-    d = t.join(est.withColumnRenamed("g", "_g"), t["g"] == F.col("_g"), "left").withColumn("distance2", distance([F.col(x) for x in FEATURES]) * (chi2(0.5) / F.col("mid")))
+    d = beside(t, est, ["g"], "left").withColumn("distance2", distance([F.col(x) for x in FEATURES]) * (chi2(0.5) / F.col("mid")))
     far = F.coalesce(F.col("distance2") > slack * chi2(1 - alpha), F.lit(False))
-    return d.withColumn("kept", ~F.col("base_failed") & ~far).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2", "lang", "source", *FEATURES)
+    return d.withColumn("kept", ~F.col("base_failed") & ~far).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2", "lang", "source", "g", *((F.col(x) / UNIT).alias(x) for x in FEATURES)
+    )
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

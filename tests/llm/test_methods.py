@@ -144,3 +144,78 @@ def test_every_shard_holds_its_quota_of_every_source(spark, sf, tmp_path):
     assert Counter(int(x.split(":")[0]) for r in out for x in r["places"].split(",") if x) == Counter(r["shard"] for r in mixed)
     assert all(r["taken"] == r["size"] * len([x for x in r["places"].split(",") if x]) for r in out)
     assert sorted(map(str, out)) == sorted(map(str, mixing.op5_mixing(spark, str(tmp_path)).collect()))
+
+
+def by_brute_force(x, floor):
+    """Reweighted minimum covariance determinant of rows x, as quality.mcd states it, in NumPy: squared distances."""
+    from sondera.llm import quality
+
+    p = x.shape[1]
+
+    def fit(rows):
+        m = rows.mean(0)
+        c = rows.T @ rows / len(rows) - np.outer(m, m)
+        c[range(p), range(p)] = np.maximum(c[range(p), range(p)], 0) + floor**2
+        return m, c
+
+    def far(m, c):
+        y = np.linalg.solve(np.linalg.cholesky(c), (x - m).T)
+        return (y * y).sum(0)
+
+    bins = lambda d: np.floor(np.log(d + 1e-9) * 32)
+
+    def closest(d, share):
+        b = bins(d)
+        return np.array([(b < v).sum() < share * len(b) for v in b])
+
+    def middle(d):
+        b = np.sort(bins(d))
+        return np.exp((b[int(np.ceil(len(b) / 2)) - 1] + 1) / 32)
+
+    med = np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
+    mad = np.sort(np.abs(x - med), axis=0)[(len(x) + 1) // 2 - 1] * 1.4826
+    starts = [fit(x[closest((((x - med) / np.maximum(mad, floor)) ** 2).sum(1), 0.5)]), fit(x)]
+    for k in range(quality.STEPS):
+        after = [fit(x[closest(far(*s), quality.SUBSET)]) for s in starts]
+        falls = [np.linalg.slogdet(a[1])[1] < np.linalg.slogdet(s[1])[1] - 1e-6 for a, s in zip(after, starts, strict=True)]
+        starts = after
+        if k and not any(falls):
+            break
+    m, c = min(starts, key=lambda s: np.linalg.slogdet(s[1])[1])
+    d = far(m, c)
+    m, c = fit(x[d <= middle(d) * quality.chi2(0.975) / quality.chi2(0.5)])
+    d = far(m, c)
+    return d * quality.chi2(0.5) / middle(d)
+
+
+def test_quality_verdicts_by_brute_force(spark, docs, scratch):
+    from sondera.llm import quality
+
+    out = quality.judge(docs, scratch, min_group=30).collect()
+    limit, floor = quality.SLACK * quality.chi2(1 - quality.ALPHA), np.array(list(quality.FEATURES.values()))
+    assert quality.STEPS > 4
+    groups = {}
+    for r in out:
+        if not r["base_failed"] and r["g"] is not None:
+            groups.setdefault(r["g"], []).append(r)
+    same = near = rejected = 0
+    for g in groups.values():
+        d = by_brute_force(np.array([[r[c] for c in quality.FEATURES] for r in g]), floor)
+        for r, v in zip(g, d, strict=True):
+            near += abs(v - r["distance2"]) > 1e-3 * v + 1e-6
+            same += 1
+            if abs(v / limit - 1) > 1e-3:
+                assert r["kept"] == (v <= limit)
+            rejected += not r["kept"]
+    assert same > 100 and near == 0 and rejected
+    again = quality.judge(docs.repartition(7), scratch, min_group=30).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))  # exact sums: no verdict hangs on partitions
+
+
+def test_repeated_words_of_more_words_than_a_key_holds():
+    from sondera.llm import quality
+
+    code = np.arange(4000, dtype=np.int64)
+    code[2000:2003] = code[100:103]
+    big = code + (1 << 25)
+    assert quality.repeated_words(code, 21) == quality.repeated_words(big, 26) == 6
