@@ -40,44 +40,63 @@ def write_archive(pages: DataFrame, to: str, min_revisit: int = MIN_REVISIT) ->
     Null html is an empty payload. Of records with one payload of min_revisit bytes or more, that with the
     largest page_id is the response and the others revisit it; rows that tie for the largest id (repeats of
     one row) are all responses, and so is a payload whose ids are all null. Grouping is by SHA-256 with
-    partial maxima, so a payload that a third of the pages share is sent once per map task. Other columns
-    are ignored; an empty table gives an empty archive.
+    partial maxima, so a payload that a third of the pages share is sent once per map task; records meet its digest and
+    size, not its bytes. Long payloads are whole. Other columns, whatever their names, are ignored; an empty table gives
+    an empty archive.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("sha256", F.unhex(F.sha2("payload", 256)))
     store = p.groupBy("sha256").agg(F.max("page_id").alias("holder"), F.first("payload").alias("payload"))
     store.write.mode("overwrite").option("compression", "zstd").parquet(f"{to}/payloads")
     spark = pages.sparkSession
-    held = spark.read.parquet(f"{to}/payloads").select("sha256", "holder")
-    slim = p.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
-    r = slim.join(held, "sha256")
+    held = facts(spark, to)
+    r = p.select("page_id", "url", "sha256").join(held, "sha256")
     r = r.withColumn("kind", F.when((F.col("size") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("holder")), "revisit").otherwise("response"))
     head = _header(F.col("kind"), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("holder"), F.col("size"))
-    r.select("page_id", "sha256", "size", head.cast("binary").alias("header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{to}/records")
+    r.select("page_id", "sha256", F.col("kind") == "revisit", head.cast("binary")).toDF("page_id", "sha256", "revisit", "header").write.mode("overwrite").option("compression", "zstd").parquet(f"{to}/records")
+
+
+def facts(spark: SparkSession, at: str) -> DataFrame:
+    """sha256, holder, sha1, size: what is known of each stored payload, found from its bytes. A payload whose bytes no longer
+    give their digest raises."""
+    pay = spark.read.parquet(f"{at}/payloads")
+    whole = F.unhex(F.sha2("payload", 256)) == F.col("sha256")
+    sha1 = F.when(whole, F.sha1("payload")).otherwise(F.raise_error(F.lit("payload does not match its digest")))
+    return pay.select("sha256", "holder", sha1.alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
 
 
 def read_archive(spark: SparkSession, at: str) -> DataFrame:
-    """Records rebuilt by the join: page_id, header, payload, and record (a response's exact bytes, a revisit's header and end).
+    """Records rebuilt: page_id, record (the exact bytes: header, payload of a response, end mark), and the sha1 and size of
+    the whole payload, which a revisit holds elsewhere.
 
-    A payload whose bytes no longer give their digest raises.
+    Headers meet the digests of their payloads by a join; the payloads themselves are joined with responses alone.
     """
-    pay = spark.read.parquet(f"{at}/payloads").select("sha256", F.when(F.unhex(F.sha2("payload", 256)) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("payload does not match its digest"))).alias("payload"))
-    r = spark.read.parquet(f"{at}/records").join(pay, "sha256")
-    is_revisit = F.col("header").cast("string").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
-    block = F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload"))
-    return r.select("page_id", "header", "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
+    r = spark.read.parquet(f"{at}/records").join(facts(spark, at).drop("holder"), "sha256")
+    end = F.lit(b"\r\n\r\n")
+    pay = spark.read.parquet(f"{at}/payloads").select("sha256", "payload")
+    full = r.where("NOT revisit").join(pay, "sha256").select("page_id", F.concat("header", "payload", end).alias("record"), "sha1", "size")
+    return full.union(r.where("revisit").select("page_id", F.concat("header", end), "sha1", "size"))
 
 
 def describe(records: DataFrame) -> DataFrame:
-    """What each rebuilt record says, parsed from its bytes: payload size and SHA-1, type, target of a revisit."""
-    head = F.col("header").cast("string")
-    field = lambda k, rx: F.regexp_extract(head, rf"\r\n{k}: {rx}\r\n", 1)
-    kind, claimed = field("WARC-Type", "([a-z]+)"), field("WARC-Payload-Digest", "sha1:([0-9a-f]{40})")
-    found = F.sha1("payload")
-    return records.select(
-        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(found == claimed, found).otherwise(F.raise_error(F.lit("record does not match its digest"))).alias("payload_digest"),
-        kind.alias("record_type"), F.when(kind == "revisit", field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long")).alias("refers_to"),
+    """What each rebuilt record says, parsed from its bytes: payload size and SHA-1, type, target of a revisit.
+
+    A block that is not as long as its header says, or whose SHA-1 is not the one claimed, raises.
+    """
+    text = F.col("record").cast("string")
+    cut = F.instr(text, F.lit(f"{CRLF}{CRLF}"))
+    r = records.withColumn("_head", F.substring(text, F.lit(1), cut + 1))
+    field = lambda k, rx: F.regexp_extract("_head", rf"\r\n{k}: {rx}\r\n", 1)
+    r = r.withColumns({"_n": field("Content-Length", "([0-9]+)").cast("int"), "_kind": field("WARC-Type", "([a-z]+)"), "_claimed": field("WARC-Payload-Digest", "sha1:([0-9a-f]{40})")})
+    at = F.octet_length("_head") + 3
+    r = r.withColumn("_block", F.substring("record", at, F.col("_n")))
+    whole = (F.octet_length("record") == at + F.col("_n") + 3) & (F.octet_length("_block") == F.col("_n"))
+    found = F.when(F.col("_kind") == "revisit", F.col("sha1")).otherwise(F.sha1("_block"))
+    fine = whole & (found == F.col("_claimed")) & (F.col("sha1") == F.col("_claimed"))
+    size = F.when(F.col("_kind") == "revisit", F.col("size")).otherwise(F.col("_n")).cast("long")
+    return r.select(
+        "page_id", size.alias("payload_bytes"), F.when(fine, found).otherwise(F.raise_error(F.lit("record does not match its digest"))).alias("payload_digest"),
+        F.col("_kind").alias("record_type"), F.when(F.col("_kind") == "revisit", field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long")).alias("refers_to"),
     )
 
 

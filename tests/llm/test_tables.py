@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sondera.llm import embeddings, warc
 
@@ -36,6 +37,8 @@ def test_archive_round_trip(spark, scratch):
                 assert h["WARC-Payload-Digest"] == f"sha1:{hashlib.sha1(block).hexdigest()}"
             else:
                 assert not block and h["WARC-Refers-To"] == "<urn:page:7>"
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.describe(back.where("page_id = 7").withColumn("record", F.expr("concat(substring(record, 1, octet_length(record) - 9), X'414243444546474849')"))).collect()
     warc.write_archive(pages.where("false"), scratch.path("none"))
     assert warc.describe(warc.read_archive(spark, scratch.path("none"))).count() == 0
 
