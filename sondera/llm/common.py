@@ -55,6 +55,23 @@ def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of input that a task of a grouped step is meant for.
+PIECE_BYTES = 32 << 20
+
+
+def pieces(df: DataFrame) -> int:
+    """Groups to deal the rows of a stored table in: the session's shuffle partitions, more if the table's files say so. It
+    only sizes work; results don't depend on it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = tasks(df.sparkSession)
+    return max(n, min(-(-size // PIECE_BYTES), 4096 * n))
+
+
+def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """df dealt by a key over n partitions, if that is more than the session's; the grouping that follows keeps it."""
+    return df.repartition(n, key) if n > tasks(df.sparkSession) else df
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with at most `limit` bytes of text, one row at least."""
     for b in batches:
@@ -270,7 +287,8 @@ class KeyRows:
         """blocks: (block, its distinct hashes, how often it holds each)."""
         k = np.repeat(np.array([x[0] for x in blocks], np.int64), [len(x[1]) for x in blocks])
         b, key = place(np.concatenate([np.empty(0, np.uint64), *(x[1] for x in blocks)]), self.buckets)
-        times = np.minimum(np.concatenate([np.empty(0, np.int64), *(x[2] for x in blocks)]), 255).astype(np.uint8)
+        times = np.concatenate([np.empty(0, np.int64), *(x[2] for x in blocks)])
+        times = times.astype(np.uint8 if times.max(initial=0) < 256 else np.uint32)
         order = np.lexsort((k, b))
         b, k, key, times = b[order], k[order], key[order], times[order]
         out: dict[str, list] = {c: [] for c in self.SCHEMA.names}
@@ -281,12 +299,12 @@ class KeyRows:
         return rows(self.SCHEMA, **out)
 
 
-def repeated_keys(sent: DataFrame) -> DataFrame:
+def repeated_keys(sent: DataFrame, n: int = 0) -> DataFrame:
     """(k, bucket, keys, level): of the keys that each block sent, those that all blocks together hold twice or more.
 
     level is the rounded-down binary logarithm of the total. A key comes once from each block and task at most, however
     often the block holds it, so a key that a third of all documents share is pre-aggregated. A bucket answers
-    each block in one row, wherever the block's documents were read.
+    each block in one row, wherever the block's documents were read. n: partitions, if more than the session's.
     """
     schema = pa.schema([("k", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("level", pa.binary())])
 
@@ -297,14 +315,16 @@ def repeated_keys(sent: DataFrame) -> DataFrame:
         k = np.repeat(join(t.column("ks"), np.int64), join(t.column("sizes"), np.uint32))
         key = join(t.column("keys"), np.uint32)
         _, inv = np.unique(key, return_inverse=True)
-        total = np.bincount(inv, join(t.column("counts"), np.uint8))[inv].astype(np.int64)
+        wide = [len(c) > len(x) // 4 for c, x in zip(t.column("counts").to_pylist(), t.column("keys").to_pylist(), strict=True)]  # four bytes a count, or one
+        times = np.concatenate([np.frombuffer(c, np.uint32 if w else np.uint8).astype(np.int64) for c, w in zip(t.column("counts").to_pylist(), wide, strict=True)])
+        total = np.bincount(inv, times)[inv].astype(np.int64)
         hit = np.flatnonzero(total > 1)
         hit = hit[np.argsort(k[hit], kind="stable")]
         k, key, level = k[hit], key[hit], np.minimum(np.frexp(total[hit])[1] - 1, 60).astype(np.uint8)
         at, bucket = list(runs(k)), t.column("bucket")[0].as_py()
         return pa.Table.from_batches([rows(schema, k=[int(k[x]) for x, _ in at], bucket=[bucket] * len(at), keys=[blob(key[x:y]) for x, y in at], level=[blob(level[x:y]) for x, y in at])], schema)
 
-    return sent.groupBy("bucket").applyInArrow(count, "k long, bucket int, keys binary, level binary")
+    return dealt(sent, n, "bucket").groupBy("bucket").applyInArrow(count, "k long, bucket int, keys binary, level binary")
 
 
 class Repeated:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK, KeyRows, Repeated, Scratch, WordHash, blob, block_of, connected, gram_hashes, repeated_keys, rows, runs, tasks, text_slices, texts_of
+from .common import BLOCK, KeyRows, Repeated, Scratch, WordHash, blob, block_of, connected, dealt, gram_hashes, pieces, repeated_keys, rows, runs, text_slices, texts_of
 
 #: A posting list up to this length gives all its pairs at once; a longer one first pairs its documents with a leader.
 SMALL = 6
@@ -319,15 +319,16 @@ def join(docs: DataFrame, scratch: Scratch, n: int = 5, t: tuple[int, int] = (80
     nulls alone has a null). Empty tables give no rows; other columns, whatever their names, are not read.
     """
     spark, carry = docs.sparkSession, carry or []
-    buckets = 4 * tasks(spark)
+    p = pieces(docs)
+    buckets = 4 * p
     d = docs.select("doc_id", "text", *carry, block_of(F.col("doc_id")).alias("k"))
-    flags = repeated_keys(blocks_sent(d.select("text", "k"), n, buckets))
+    flags = repeated_keys(blocks_sent(d.select("text", "k"), n, buckets), p)
     table = scratch.cut(sets_table(d, flags, n, t, buckets, carry), "sets")
     sig = ["sig_a", "sig_b", "n"]
     classes = table.where("n > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("post", True).alias("post"), F.first("shingles", True).alias("shingles"))
     classes = scratch.cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so a class keeps its number
     reps = classes.where("post IS NOT NULL").select(F.col("node").alias("doc_id"), "post", "shingles")
-    posts = scratch.cut(postings(reps, buckets), "postings")
+    posts = dealt(scratch.cut(postings(reps, buckets), "postings"), p, "bucket")
     pairs = posts.groupBy("bucket").applyInArrow(first_pairs(t), "a long, b long").distinct()
     pairs = scratch.cut(pairs, "pairs")
     found = scratch.cut(verified(pairs, reps, t), "links")

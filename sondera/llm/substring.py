@@ -3,9 +3,10 @@
 A window of 20 words belongs to the shard that its minimizer chooses, the least hash of its 8-word grams: equal
 windows meet in one shard, whatever surrounds them. A document goes to the shards in fragments, runs of windows with
 one minimizer. Fragments whose minimizer occurs only once in the corpus can't repeat and stay behind. Each shard
-builds a compressed FM-index (the Burrows-Wheeler transform in a wavelet matrix of bit vectors) and streams its
-fragments through backward search, from right to left with a parent step at 20 words: the matching statistics
-against all that the shard holds. Intervals of windows whose earliest match is another place are reported.
+builds a compressed FM-index (the Burrows-Wheeler transform in a wavelet matrix of bit vectors), lets the suffix order
+go, and streams its fragments through backward search, from right to left with a parent step at 20 words: the
+matching statistics, up to the threshold, against all that the shard holds. Intervals of windows whose earliest match
+is another place are reported.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyRows, Repeated, Scratch, WordHash, blob, block_of, gram_hashes, repeated_keys, rows, runs, tasks, text_slices, texts_of
+from .common import KeyRows, Repeated, Scratch, WordHash, blob, block_of, dealt, gram_hashes, pieces, repeated_keys, rows, runs, text_slices, texts_of
 
 WINDOW, GRAM = 20, 8
 #: A fragment, or a run of windows to delete: document, hash of its text, first window, windows.
@@ -115,36 +116,93 @@ class Bits:
         w = i >> 6
         return self.before[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def last(self, i: np.ndarray) -> np.ndarray:
+        """Place of the last one at or before i (there is one)."""
+        w, at = i >> 6, np.empty(len(i), np.int64)
+        x = self.words[w] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (63 - (i & 63)).astype(np.uint64))
+        todo = np.arange(len(i))
+        while len(todo):
+            hit = x != 0
+            at[todo[hit]] = (w[hit] << 6) + _top(x[hit])
+            todo, w = todo[~hit], w[~hit] - 1
+            x = self.words[w]
+        return at
+
+    def next(self, i: np.ndarray, n: int) -> np.ndarray:
+        """Place of the first one after i, n if there is none."""
+        w, at = i >> 6, np.full(len(i), n, np.int64)
+        x = self.words[w] & (np.uint64(0xFFFFFFFFFFFFFFFE) << (i & 63).astype(np.uint64))
+        todo = np.arange(len(i))
+        while len(todo):
+            hit = x != 0
+            at[todo[hit]] = (w[hit] << 6) + _top(x[hit] & (~x[hit] + np.uint64(1)))
+            left = ~hit & (w + 1 < len(self.words))
+            todo, w = todo[left], w[left] + 1
+            x = self.words[w]
+        return at
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.before.nbytes
+
+
+def _top(x: np.ndarray) -> np.ndarray:
+    """Number of the highest bit of each non-zero word."""
+    high = x >> np.uint64(32)
+    return np.where(high > 0, 31 + np.frexp(high.astype(np.float64))[1], np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1] - 1).astype(np.int64)
+
+
+#: What stream() says of a window that the index doesn't hold, or holds at one place that it doesn't keep.
+NONE, ONCE = -1, -2
+
 
 class FMIndex:
-    """FM-index of an integer text (values 1 and up), sorted to the given depth at least."""
-
-    def __init__(self, text: np.ndarray, depth: int):
-        n, self.depth = len(text), depth
-        rank, names, h = text.astype(np.int64), {}, 1
-        while True:  # prefix doubling: rank of the next h symbols
-            names[h] = rank
-            if h > depth:
-                break
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - h] = rank[h:] + 1
-            key = rank * (int(rank.max()) + 2) + ahead
-            order = np.argsort(key)
+    """Compressed FM-index of an integer text (values 1 and up) for windows of `depth` symbols.
+
+    Kept are the Burrows-Wheeler transform in a wavelet matrix, bit vectors of the rows where the first depth - 1 and the
+    first depth symbols change, and the earliest place of each window that occurs twice or more (of every window with
+    `every`). Suffixes are sorted to `depth` symbols, by prefix doubling, and their order is let go.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, every: bool = False):
+        n, self.depth, self.n = len(text), depth, len(text)
+        rank, short, h = text.astype(np.int64), None, 1
+
+        def ahead(r: np.ndarray, by: int) -> np.ndarray:
+            out = np.zeros(n, np.int64)
+            out[: max(0, n - by)] = r[by:] + 1
+            return out
+
+        order = None
+        while h < depth:  # ranks of the next h symbols; the last step overlaps
+            if h >= depth - 1:
+                short = rank
+            step = min(h, depth - h)
+            key = rank * (int(rank.max()) + 2) + ahead(rank, step)
+            if h + step == depth and short is None:
+                other = rank * (int(rank.max()) + 2) + ahead(rank, step - 1)  # depth - 1 symbols
+            order = np.argsort(key, kind="stable")
             s = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
-            h *= 2
-        self.sa = np.argsort(rank, kind="stable")
-        # rows with the same first `depth` symbols, by the names of two overlapping powers of two
-        half = 1 << (depth.bit_length() - 1)
-        a = names[half][self.sa]
-        b = names[half][np.minimum(self.sa + depth - half, n - 1)]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        self.group = np.cumsum(new) - 1
-        self.start = np.flatnonzero(new)
-        self.end = np.append(self.start[1:], n)
-        self.first_place = np.minimum.reduceat(self.sa, self.start)
-        bwt = text[self.sa - 1]
+            h += step
+        if order is None:
+            order = np.argsort(rank, kind="stable")
+        s = rank[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        s = (short if short is not None else other)[order] if depth > 1 else np.zeros(n, np.int64)
+        self.shorter, self.heads = Bits(np.concatenate([[True], s[1:] != s[:-1]])), Bits(new)
+        start = np.flatnonzero(new)
+        held = np.diff(np.append(start, n)) > 1
+        if every:
+            held[:] = True
+        self.held = Bits(held)
+        self.place = np.minimum.reduceat(order, start)[held].astype(np.int32 if n < 1 << 31 else np.int64)
+        bwt = text[order - 1]
+        del rank, short, order, s, new, start
         sigma = int(text.max()) + 1
         self.c = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.levels, self.zeros = [], []
@@ -155,6 +213,10 @@ class FMIndex:
             bwt = np.concatenate([bwt[ones == 0], bwt[ones == 1]])
         self.origin = self._descend(np.arange(sigma), np.zeros(sigma, np.int64))
 
+    @property
+    def nbytes(self) -> int:
+        return sum(b.nbytes for _, b in self.levels) + self.shorter.nbytes + self.heads.nbytes + self.held.nbytes + self.place.nbytes + self.c.nbytes + self.origin.nbytes
+
     def _descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for (bit, bits), z in zip(self.levels, self.zeros, strict=True):
             one = bits.rank1(i)
@@ -162,36 +224,58 @@ class FMIndex:
         return i
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward step: intervals of the patterns c + X from those of X."""
+        """Backward step: intervals of the patterns c + X from those of X; empty for symbols that the text doesn't have."""
+        known = (c > 0) & (c < len(self.c) - 1)
+        c = np.where(known, c, 1)
         base = self.c[c] - self.origin[c]
-        return base + self._descend(c, lo), base + self._descend(c, hi)
+        lo, hi = base + self._descend(c, lo), base + self._descend(c, hi)
+        return lo, np.where(known, hi, lo)
 
     def parent(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Interval of the first `depth` symbols of rows."""
-        g = self.group[row]
-        return self.start[g], self.end[g]
-
-
-def matches(text: np.ndarray, at: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
-    """Earliest place in `text` of each window of the fragments at `at`; fragments are streamed side by side, from the
-    right, and windows are returned fragment by fragment, from the left."""
-    fm = FMIndex(text, window)
-    first = np.cumsum(windows) - windows
-    out = np.empty(int(windows.sum()), np.int64)
-    length = windows + window - 1
-    live = np.argsort(-length, kind="stable")
-    lo = hi = None
-    for j in range(int(length.max())):
-        live = live[: np.searchsorted(-length[live], -j, "left")]  # those longer than j
-        c = text[at[live] + length[live] - 1 - j]
-        if lo is None:
-            lo, hi = fm.c[c], fm.c[c + 1]
-        else:
-            lo, hi = fm.extend(c, lo[: len(live)], hi[: len(live)])
-        if j >= window - 1:
-            lo, hi = fm.parent(lo)  # matched to 20 words; more is let go
-            out[first[live] + windows[live] - 1 - (j - window + 1)] = fm.first_place[fm.group[lo]]
-    return out
+        """Interval of the first depth - 1 symbols of rows."""
+        return self.shorter.last(row), self.shorter.next(row, self.n)
+
+    def earliest(self, row: np.ndarray) -> np.ndarray:
+        """Earliest place of the window at the head of rows, ONCE where it isn't kept."""
+        g = self.heads.rank1(row + 1) - 1
+        out = np.full(len(row), ONCE, np.int64)
+        held = self.held.get(g)
+        out[held] = self.place[self.held.rank1(g[held])]
+        return out
+
+    def stream(self, text: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Earliest place of each window of the stretches of `text` at `at`, NONE where the index doesn't hold it; stretch by
+        stretch, from the left.
+
+        Stretches are streamed side by side, from the right: a lane holds the interval of the symbols matched so far, at most
+        a window. At a full window the interval's place is noted and the last symbol let go by a parent step. A symbol
+        that can't be matched ends all windows over it; the lane starts anew with the next window to the left.
+        """
+        first = np.cumsum(windows) - windows
+        out = np.full(int(windows.sum()), NONE, np.int64)
+        lane = np.flatnonzero(windows > 0)
+        i = at[lane] + windows[lane] + self.depth - 2  # symbol that comes next
+        have = np.zeros(len(lane), np.int64)
+        lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), self.n, np.int64)
+        while len(lane):
+            lo, hi = self.extend(text[i], lo, hi)
+            ok = hi > lo
+            have += 1
+            full = ok & (have == self.depth)
+            if full.any():
+                f = np.flatnonzero(full)
+                out[first[lane[f]] + i[f] - at[lane[f]]] = self.earliest(lo[f])
+                lo[f], hi[f] = self.parent(lo[f])
+                have[f] -= 1
+            i = i - 1
+            if not ok.all():
+                f = np.flatnonzero(~ok)
+                i[f] += have[f] - 1  # all windows over the stretch that failed are out: the one that ends before its end is next
+                have[f], lo[f], hi[f] = 0, 0, self.n
+            going = i - self.depth + 1 + have >= at[lane]
+            if not going.all():
+                lane, i, have, lo, hi = lane[going], i[going], have[going], lo[going], hi[going]
+        return out
 
 
 _LATER = pa.schema([("k", pa.int64()), ("runs", pa.binary())])
@@ -233,10 +317,10 @@ def search_shard(window: int):
         inside = np.arange(len(text)) - np.repeat(place, size) < np.repeat(length[f], size)
         text[inside] = code[pick[inside]]
         n = r["w"][f].astype(np.int64)
-        found = matches(text, place, n, window)
+        found = FMIndex(text, window).stream(text, place, n)
         from_ = np.cumsum(n) - n
         own = np.repeat(place - from_, n) + np.arange(len(found))
-        dup = found != own
+        dup = (found != own) & (found != ONCE)
         # runs of deleted windows: all of a later copy, what has an earlier match of a first place
         d, s = r["d"], r["s"].astype(np.int64)
         copy = np.flatnonzero((d != d[f][which]) | (s != s[f][which]))
@@ -309,13 +393,15 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gr
     Words are runs without ASCII space, from whole texts (null: none). A window is `window` words of one document;
     earlier means a smaller doc_id (null first), or the same and an earlier start. Windows are judged on the input.
     Rows that share a doc_id are one document: at the same start neither is earlier. Kept words are joined by
-    one space; shorter documents stay whole. Words are compared by 64-bit hashes.
+    one space; shorter documents stay whole, as do long ones in memory: a document is handled in one task. Words are
+    compared by 64-bit hashes. An empty table gives no rows; other columns, whatever their names, are not read.
     """
-    n = 4 * tasks(docs.sparkSession)
+    p = pieces(docs)
+    n = 4 * p
     d = docs.select("doc_id", "text", block_of(F.col("doc_id")).alias("k"))
-    flags = repeated_keys(blocks_sent(d, window, gram, n))
+    flags = repeated_keys(blocks_sent(d, window, gram, n), p)
     frag = fragments(d, flags, window, gram, n, n // 2)
-    later = scratch.cut(frag.groupBy("shard").applyInArrow(search_shard(window), "k long, runs binary"), "later")
+    later = scratch.cut(dealt(frag, p, "shard").groupBy("shard").applyInArrow(search_shard(window), "k long, runs binary"), "later")
     return rebuild(d, later, window, digest)
 
 

@@ -43,16 +43,35 @@ def test_substring_dedup(docs, rows, scratch, empty):
     assert substring.dedup_substrings(empty, scratch).count() == 0
 
 
-def test_fm_index_matches_by_brute_force():
-    rng = np.random.default_rng(1)
-    text = np.concatenate([rng.integers(2, 6, 400), [1], rng.integers(2, 6, 300), [1]]).astype(np.int32)
-    at, n = np.array([0, 401]), np.array([400 - 4, 300 - 4])
-    got = substring.matches(text, at, n, 5)
-    places = [*range(396), *range(401, 401 + 296)]
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 8, 20])
+def test_fm_index_matches_by_brute_force(depth):
+    """Its own text, and a foreign one of which some windows are in the index, some symbols are unknown."""
+    rng = np.random.default_rng(depth)
+    text = np.concatenate([np.tile(rng.integers(2, 6, 60), 7)[:400], [1], rng.integers(2, 6, 300), [1]]).astype(np.int32)
+    text[390:400] = text[3:13]
     first = {}
-    for p in places:
-        first.setdefault(tuple(text[p : p + 5]), p)
-    assert got.tolist() == [first[tuple(text[p : p + 5])] for p in places]
+    for p in range(len(text) - depth + 1):
+        first.setdefault(tuple(text[p : p + depth]), p)
+    fm = substring.FMIndex(text, depth, every=True)
+    at, n = np.array([0, 401]), np.array([400 - depth + 1, 300 - depth + 1])
+    places = [p for a, k in zip(at, n, strict=True) for p in range(a, a + k)]
+    assert fm.stream(text, at, n).tolist() == [first[tuple(text[p : p + depth])] for p in places]
+    other = np.concatenate([text[30:200], rng.integers(2, 9, 80), text[405:500], [7], text[10:40]]).astype(np.int32)
+    got = fm.stream(other, np.array([0, 100]), np.array([100 - depth + 1, len(other) - 100 - depth + 1]))
+    places = [*range(100 - depth + 1), *range(100, len(other) - depth + 1)]
+    assert got.tolist() == [first.get(tuple(other[p : p + depth]), substring.NONE) for p in places]
+    few = substring.FMIndex(text, depth).stream(text, at, n)
+    times = Counter(tuple(text[p : p + depth]) for p in range(len(text) - depth + 1))
+    places = [p for a, k in zip(at, n, strict=True) for p in range(a, a + k)]
+    assert few.tolist() == [first[w] if times[w] > 1 else substring.ONCE for w in (tuple(text[p : p + depth]) for p in places)]
+
+
+def test_fm_index_is_compressed():
+    text = np.random.default_rng(1).integers(2, 5000, 200_000).astype(np.int32)
+    text[100_000:110_000] = text[:10_000]
+    fm = substring.FMIndex(text, 20)
+    kept = [v.nbytes for v in vars(fm).values() if hasattr(v, "nbytes")]
+    assert fm.nbytes < 4 * len(text) and max(kept) < 8 * 11_000 and not {"sa", "group", "names"} & set(vars(fm))
 
 
 @pytest.mark.parametrize("min_lines", [2, 3])
