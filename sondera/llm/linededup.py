@@ -1,9 +1,12 @@
 """Line dedup: suffixes of line-ID sequences are sorted by distributed prefix doubling.
 
 A position's rank at depth h is the rank of its next h lines among all such sequences. Doubling pairs the ranks of
-positions h apart and ranks the pairs anew, by a range sort of the distinct pairs. Positions whose sequence is
-alone have no repeat at any greater depth and are dropped from the next rounds. Positions of equal rank at depth
-h form the LCP interval of depth h; unions of overlapping windows are the maximal repeated runs.
+positions h apart and ranks the pairs anew, by a range sort of the distinct pairs, until no sequence occurs twice.
+Positions whose sequence is alone have no repeat at any greater depth and drop out of the next rounds. Positions of
+equal rank at depth h form an LCP interval of at least h. The longest common prefix of a position with an earlier one
+lies between two powers of two and is found bit by bit: a sequence of h + s lines is named by the ranks, at depth h, of
+its first and of its last h lines. Prefixes that aren't the tail of the one before are the maximal repeated runs; later
+copies are deleted.
 """
 
 from __future__ import annotations
@@ -28,35 +31,96 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("__ld_th"), F.explode(words).alias("l")).select(*DOC, "l.*")
 
 
-def ranked(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """Distinct keys that occur at least twice, with their rank r in key order: partial counts, a range sort, and offsets by partition."""
+def ranked(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """Distinct keys that occur at least twice, with their rank r in key order, and how many there are: partial counts, a range
+    sort, and offsets by partition."""
     n = tasks(rows.sparkSession)
     twice = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
     placed = twice.repartitionByRange(n, *key).sortWithinPartitions(*key).select(*key, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_k"))
     placed = scratch.cut(placed, name)
-    offset, total = {}, 0
-    for r in placed.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # a number for each partition
-        offset[r["_p"]], total = total, total + r["n"]
-    pairs = [x for p, o in offset.items() for x in (F.lit(p), F.lit(o))] or [F.lit(0), F.lit(0)]
-    return placed.select(*key, (F.create_map(*pairs)[F.col("_p")] + F.col("_k")).alias("r"))
+    size, total, offset = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()}, 0, []
+    for p in range(n):  # a number for each partition
+        offset.append(total)
+        total += size.get(p, 0)
+    return placed.select(*key, (F.element_at(F.lit(offset), F.col("_p") + 1) + F.col("_k")).alias("r")), total
 
 
-def doubled(a: DataFrame, step: int, scratch: Scratch, name: str) -> DataFrame:
-    """Ranks at the depth of `a` plus `step`: each position is paired with that `step` lines on in its document."""
+def doubled(a: DataFrame, step: int, scratch: Scratch, name: str) -> DataFrame | None:
+    """Ranks at the depth of `a` plus `step`: each position is paired with that `step` lines on in its document. None if no
+    pair occurs twice."""
     ahead = Window.partitionBy(*DOC).orderBy("pos").rangeBetween(step, step)
     p = a.withColumn("r2", F.first("r").over(ahead)).where("r2 IS NOT NULL").withColumnRenamed("r", "r1")
-    names = ranked(p, ["r1", "r2"], scratch, f"{name}-names")
-    return scratch.cut(p.join(names, ["r1", "r2"]).select(*DOC, "pos", "r"), name)
+    names, n = ranked(p, ["r1", "r2"], scratch, f"{name}-names")
+    return scratch.cut(p.join(names, ["r1", "r2"]).select(*DOC, "pos", "r"), name) if n else None
+
+
+def me():
+    return F.struct(*DOC, "pos")
+
+
+def levels(one: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(h, doc_id, __ld_th, pos, r) at the depths h = 1, 2, 4, ... until no sequence occurs twice, and the greatest depth."""
+    a, h = one.select(*DOC, "pos", "r"), 1
+    parts = []
+    while a is not None:
+        parts.append(a.select(F.lit(h).alias("h"), *DOC, "pos", "r"))
+        a = doubled(a, h, scratch, f"lines-{2 * h}")
+        h *= 2
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out, h // 2
+
+
+def same_place(a: str, b: str):
+    """Equality of places under two prefixes (a null doc_id is a doc_id)."""
+    return F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}__ld_th") == F.col(f"{b}__ld_th")) & (F.col(f"{a}pos") == F.col(f"{b}pos"))
+
+
+def prefixes(one: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, __ld_th, pos, n: the lines that the sequence at a position shares at most with one that starts earlier (smaller
+    doc_id, then text hash, then place); positions that share none are missing."""
+    ranks, top = levels(one, scratch)
+    first = ranks.groupBy("h", "r").agg(F.min(me()).alias("_first"))
+    later = ranks.join(first, ["h", "r"]).where(~me().eqNullSafe(F.col("_first")))
+    p = later.groupBy(*DOC, "pos").agg(F.max(F.struct("h", "r")).alias("x")).select(*DOC, "pos", "x.h", "x.r", F.lit(0).alias("s"))
+    p, b = scratch.cut(p, "prefix-0"), top // 2
+    other = ranks.select(F.col("h").alias("_h"), *(F.col(c).alias(f"_{c}") for c in (*DOC, "pos")), F.col("r").alias("r2"))
+    while b:
+        asked = p.where(F.col("h") > b).select("h", "r", (F.col("s") + b).alias("t")).distinct()
+        x = ranks.where(F.col("h") > b).join(asked, ["h", "r"]).withColumn("_at", F.col("pos") + F.col("t"))
+        x = x.join(other, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("__ld_th") == F.col("___ld_th")) & (F.col("_at") == F.col("_pos")))
+        x = x.select("h", "r", "t", "r2", *DOC, "pos")
+        first = x.groupBy("h", "r", "t", "r2").agg(F.min(me()).alias("_first"))
+        longer = x.join(first, ["h", "r", "t", "r2"]).where(~me().eqNullSafe(F.col("_first")))
+        longer = longer.select(F.col("h").alias("_h"), F.col("t").alias("_t"), *(F.col(c).alias(f"_{c}") for c in (*DOC, "pos")))
+        p = p.join(longer, same_place("", "_") & (F.col("h") == F.col("_h")) & (F.col("s") + b == F.col("_t")), "left")
+        p = scratch.cut(p.select(*DOC, "pos", "h", "r", F.coalesce("_t", "s").alias("s")), f"prefix-{b}")
+        b //= 2
+    return p.select(*DOC, "pos", (F.col("h") + F.col("s")).alias("n"))
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, __ld_th, pos, at, chars, n: lines with a word that occur twice or more, with the greatest common prefix n of their
+    sequence with an earlier one (0: none)."""
+    lines = lines_of(docs)
+    names, _ = ranked(lines, ["a", "b"], scratch, "lines-1-names")
+    one = scratch.cut(lines.join(names, ["a", "b"]).select(*DOC, "pos", "at", "chars", "r").distinct(), "lines-1")
+    n = prefixes(one, scratch).select(*(F.col(c).alias(f"_{c}") for c in (*DOC, "pos")), "n")
+    out = one.join(n, same_place("", "_"), "left").select(*DOC, "pos", "at", "chars", F.coalesce("n", F.lit(0)).alias("n"))
+    return scratch.cut(out, "prefixes")
 
 
-def later(a: DataFrame) -> DataFrame:
-    """Positions of a rank whose sequence also starts earlier (smaller doc_id, then text hash, then place)."""
-    me = F.struct(*DOC, "pos")
-    first = a.groupBy("r").agg(F.min(me).alias("_first"))
-    return a.join(first, "r").where(~me.eqNullSafe(F.col("_first"))).select(*DOC, "pos")
+def maximal_runs(found: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, __ld_th, pos, n: the maximal repeated runs of min_lines lines or more, those that don't continue the run of the
+    line before."""
+    before = F.lag("n").over(Window.partitionBy(*DOC).orderBy("pos"))
+    last = F.lag("pos").over(Window.partitionBy(*DOC).orderBy("pos"))
+    tail = F.coalesce((last == F.col("pos") - 1) & (before == F.col("n") + 1), F.lit(False))
+    return found.withColumn("_tail", tail).where(~F.col("_tail") & (F.col("n") >= min_lines)).select(*DOC, "pos", "n")
 
 
-def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeats(found: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, __ld_th, at: the lines that a later copy of a repeated run covers.
 
     A run is of consecutive lines with a word; lines without one are passed over and stay. It counts if it has
@@ -64,51 +128,56 @@ def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_c
     earlier, in another document or the same. What counts is the input, not what is left of it. Rows equal in
     doc_id and text are one document.
     """
-    lines = lines_of(docs)
-    names = ranked(lines, ["a", "b"], scratch, "lines-1-names")
-    one = scratch.cut(lines.join(names, ["a", "b"]).select(*DOC, "pos", "at", "chars", "r"), "lines-1")
-    a, depth = one.select(*DOC, "pos", "r"), 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        a = doubled(a, step, scratch, f"lines-{depth + step}")
-        depth += step
-    covered = later(a).select(*DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
-    long = later(one.where(F.col("chars") >= min_chars).select(*DOC, "pos", "r"))
-    hit = covered.union(long).distinct().select(F.col("doc_id").alias("__ld_d"), F.col("__ld_th").alias("__ld_t"), F.col("pos").alias("_p"))
-    places = one.select(*DOC, "pos", "at").distinct()
-    return places.join(hit, F.col("doc_id").eqNullSafe(F.col("__ld_d")) & (F.col("__ld_th") == F.col("__ld_t")) & (F.col("pos") == F.col("_p"))).select(*DOC, "at")
+    ends = F.when(F.col("n") >= min_lines, F.col("pos") + F.col("n")).otherwise(0)
+    covered = F.max(ends).over(Window.partitionBy(*DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) > F.col("pos")
+    long = (F.col("chars") >= min_chars) & (F.col("n") > 0)
+    return found.withColumn("_gone", covered | long).where("_gone").select(*DOC, "at")
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with later copies of repeated line runs deleted from `text`, and __ld_lines and __ld_removed.
+    """docs with later copies of repeated line runs deleted from `text`, and __ld_lines, __ld_removed, and __ld_runs and
+    __ld_longest, the maximal runs deleted and the lines of the longest.
 
-    Other columns are unchanged. A null text stays null (0 lines); a text that loses all lines becomes empty.
+    Other columns are unchanged; names that begin with __ld_ are reserved. A null text stays null (0 lines); a text that
+    loses all lines becomes empty. Of copies that tie in doc_id the smaller text hash is the earlier. Long texts are
+    handled whole; an empty table gives no rows. Rows of a null doc_id are documents of their own by their texts.
     """
-    gone = repeats(docs, scratch, min_lines, min_chars).groupBy(*DOC).agg(F.sort_array(F.collect_set("at")).alias("__ld_gone"))
-    gone = gone.select(F.col("doc_id").alias("__ld_d"), F.col("__ld_th").alias("__ld_t"), "__ld_gone")
+    found = repeated_lines(docs, scratch)
+    gone = repeats(found, min_lines, min_chars).groupBy(*DOC).agg(F.sort_array(F.collect_set("at")).alias("__ld_gone"))
+    runs = maximal_runs(found, min_lines).groupBy(*DOC).agg(F.count("*").alias("__ld_runs"), F.max("n").cast("long").alias("__ld_longest"))
+    runs = runs.select(F.col("doc_id").alias("_d"), F.col("__ld_th").alias("_t"), "__ld_runs", "__ld_longest")
+    gone = gone.join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("__ld_th") == F.col("_t")), "left")
+    gone = gone.select(F.col("doc_id").alias("__ld_d"), F.col("__ld_th").alias("__ld_t"), "__ld_gone", "__ld_runs", "__ld_longest")
     d = docs.withColumn("__ld_th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__ld_d")) & (F.col("__ld_th") == F.col("__ld_t")), "left")
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ld_gone")), lambda j: F.get(lines, j))
     d = d.withColumns({
         "__ld_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "__ld_removed": F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long"),
+        "__ld_runs": F.coalesce("__ld_runs", F.lit(0)), "__ld_longest": F.coalesce("__ld_longest", F.lit(0)),
         "text": F.when(F.col("__ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
     })
-    return d.select(*(F.col(f"`{c}`") for c in docs.columns), "__ld_lines", "__ld_removed")
+    return d.select(*(F.col(f"`{c}`") for c in docs.columns), "__ld_lines", "__ld_removed", "__ld_runs", "__ld_longest")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
-    return out.select("doc_id", F.col("__ld_lines").alias("n_lines"), F.col("__ld_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("__ld_lines").alias("n_lines"), F.col("__ld_removed").alias("n_removed"), F.col("__ld_runs").alias("n_runs"), F.col("__ld_longest").alias("longest_run"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: The same by growing all repeated sequences line by line.
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n FROM documents),
 l AS (SELECT doc_id, unnest(generate_series(0, len(string_split(t, chr(10))) - 1)) AS j, unnest(string_split(t, chr(10))) AS x FROM d),
-p AS (SELECT doc_id, j, x, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-w AS (SELECT *, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y, lead(j) OVER (PARTITION BY doc_id ORDER BY i) AS j2 FROM p),
-one AS (SELECT doc_id, j, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM p WHERE length(x) >= 100),
-two AS (SELECT doc_id, j, j2, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, i) AS k FROM w WHERE y IS NOT NULL),
-gone AS (SELECT doc_id, j FROM one WHERE k > 1 UNION SELECT doc_id, j FROM two WHERE k > 1 UNION SELECT doc_id, j2 FROM two WHERE k > 1),
+p AS (SELECT doc_id, j, x, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i, dense_rank() OVER (ORDER BY x) AS id FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+s AS (SELECT 1 AS n, doc_id, i, id AS g FROM p WHERE id IN (SELECT id FROM p GROUP BY id HAVING count(*) > 1)
+  UNION ALL SELECT n, doc_id, i, g FROM (SELECT s.n + 1 AS n, s.doc_id, s.i, dense_rank() OVER (ORDER BY s.g, p.id) AS g, count(*) OVER (PARTITION BY s.g, p.id) AS c FROM s JOIN p ON p.doc_id = s.doc_id AND p.i = s.i + s.n) WHERE c > 1),
+later AS (SELECT n, doc_id, i, row_number() OVER (PARTITION BY n, g ORDER BY doc_id, i) AS k FROM s),
+lcp AS (SELECT doc_id, i, max(n) AS n FROM later WHERE k > 1 GROUP BY ALL),
+run AS (SELECT a.* FROM lcp a LEFT JOIN lcp b ON b.doc_id = a.doc_id AND b.i = a.i - 1 AND b.n = a.n + 1 WHERE b.n IS NULL AND a.n >= 2),
+runs AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest FROM run GROUP BY 1),
+hit AS (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS i FROM run UNION SELECT doc_id, i FROM lcp JOIN p USING (doc_id, i) WHERE length(x) >= 100),
+gone AS (SELECT doc_id, j FROM hit JOIN p USING (doc_id, i)),
 kept AS (SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.j) FILTER (g.j IS NULL) AS t, count(g.j) AS r FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.j = g.j GROUP BY l.doc_id)
-SELECT d.doc_id, n::BIGINT AS n_lines, r::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d JOIN kept ON d.doc_id = kept.doc_id
+SELECT d.doc_id, d.n::BIGINT AS n_lines, r::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(longest, 0)::BIGINT AS longest_run, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN runs ON runs.doc_id = d.doc_id
 """

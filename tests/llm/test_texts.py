@@ -79,6 +79,7 @@ def test_line_dedup(docs, rows, scratch, empty, min_lines):
     out = linededup.dedup_lines(docs, scratch, min_lines, 100)
     got = Counter((r["doc_id"], r["text"], r["__ld_lines"], r["__ld_removed"]) for r in out.collect())
     assert out.columns[: len(docs.columns)] == docs.columns
+    best = {(r["doc_id"], r["text"] is None, r["__ld_lines"]): (r["__ld_runs"], r["__ld_longest"]) for r in out.collect()}
     seqs = {}
     for r in rows:
         if r["text"] is not None:
@@ -101,6 +102,23 @@ def test_line_dedup(docs, rows, scratch, empty, min_lines):
         lines = t.split("\n") if t is not None else []
         want[r["doc_id"], None if t is None else "\n".join(x for j, x in enumerate(lines) if j not in gone[d]), len(lines), len(gone[d])] += 1
     assert got == want
+    longest, n = {}, 1  # greatest prefix shared with an earlier sequence, length by length
+    while True:
+        seen, hit = {}, False
+        for d in order:
+            for i in range(len(seqs[d]) - n + 1):
+                if seen.setdefault(tuple(x for _, x in seqs[d][i : i + n]), (d, i)) != (d, i):
+                    longest[d, i], hit = n, True
+        if not hit:
+            break
+        n += 1
+    maximal = defaultdict(list)
+    for (d, i), k in longest.items():
+        if k >= min_lines and longest.get((d, i - 1)) != k + 1:
+            maximal[d].append(k)
+    assert max(map(max, maximal.values())) > 8
+    for d in seqs:
+        assert best[d[0], False, len(d[1].split("\n"))] == (len(maximal[d]), max(maximal[d], default=0))
     assert linededup.dedup_lines(empty, scratch).count() == 0
 
 
