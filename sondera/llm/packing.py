@@ -7,6 +7,7 @@ is a sliding-window minimum, kept in a monotone queue, so a chunk of documents t
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
@@ -35,8 +36,21 @@ WORDS, STEMS, STORED = 400_000, 300_000, 2_000_000
 _PLAIN = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)|(.*))$", re.M)
 
 
+#: The tokeniser's rules (as its file states them) under which words can be encoded each for itself.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+_SENTENCE = re.compile(r"\n|[.!?](?=\s|$)")
+
+
 class Tokens:
-    """Token ids of ASCII-space-separated words, each encoded once. The tokeniser never joins what such a space parts."""
+    """Token ids of ASCII-space-separated words, each encoded once, if the tokeniser's rules are known never to join what such a
+    space parts; under other rules whole texts are encoded."""
 
     def __init__(self, path: str):
         import os
@@ -45,6 +59,9 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_word = all(rules.get(k) == v for k, v in _BY_WORD.items()) and rules["model"].get("end_of_word_suffix") == "</w>" and rules["model"].get("dropout") is None
         vocab = self.tk.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a stem
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -124,6 +141,14 @@ class Tokens:
 
     def of(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, places in them where a sentence or line ends) of each text, without the end id."""
+        if not self.by_word:
+            for t in texts:
+                text = t.decode("utf-8", "replace")
+                e = self.tk.encode(text, add_special_tokens=False)
+                ends = np.array([m.end() for m in _SENTENCE.finditer(text)], np.int64)
+                starts = np.array([a for a, _ in e.offsets], np.int64)
+                yield np.array(e.ids, np.uint32), np.unique(np.searchsorted(starts, ends, "left"))
+            return
         self._make_room()
         known = len(self.code.words)
         words, breaks, ends = [], [], []

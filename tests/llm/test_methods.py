@@ -219,3 +219,38 @@ def test_repeated_words_of_more_words_than_a_key_holds():
     code[2000:2003] = code[100:103]
     big = code + (1 << 25)
     assert quality.repeated_words(code, 21) == quality.repeated_words(big, 26) == 6
+
+
+def test_other_tokenisers_encode_whole_texts():
+    """A tokeniser whose rules aren't known to part words at spaces gives the ids of its own encoding, and known ends."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sondera.llm import packing
+
+    texts = ["One two. Three  four!\nfive", "", "\u00e9t\u00e9 it's  x", " lead\n\nend. "]
+    for name, fast in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = public_tokenizers.path(name)
+        tk, tokens = Tokenizer.from_file(path), packing.Tokens(path)
+        assert tokens.by_word == fast
+        found = list(tokens.of([t.encode() for t in texts]))
+        assert [x.tolist() for x, _ in found] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, ends = found[0]
+        assert {tk.decode(ids[:e].tolist()).strip().lower() for e in ends.tolist()} >= {"one two.", "one two. three  four!" if not fast else "one two . three four !"} or fast
+
+
+def test_packing_one_very_long_text(spark):
+    """A text over the size of a slice, with no sentence end, between short ones: all ids in their places."""
+    from tokenizers import Tokenizer
+
+    from sondera.llm import common, packing
+
+    long = " ".join(f"w{i % 7001}" for i in range(900_000))
+    assert len(long) > common.SLICE_BYTES
+    docs = spark.createDataFrame([(1, "a b c"), (2, long), (3, None)], "doc_id long, text string")
+    out = packing.pack(docs, with_ids=True).orderBy("doc_id", "start").collect()
+    tk = Tokenizer.from_file(packing.tokenizer_path())
+    for d, t in ((1, "a b c"), (2, long), (3, "")):
+        have = [x for r in out if r["doc_id"] == d for x in r["ids"]]
+        assert have == [*tk.encode(t, add_special_tokens=False).ids, 2]
+    assert max(r["offset"] + r["length"] for r in out) <= 4096
