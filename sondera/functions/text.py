@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Forms of a technical token, tried in this order: a ratio, a percentage, a word with inner joints.
-TOKEN = r"(\d+(?:[.,]\d+)?\s*:\s*\d+(?:[.,]\d+)?|\d+(?:[.,]\d+)?\s*%|[\p{L}\p{N}]+(?:[./·_-][\p{L}\p{N}]+)*)"
+TOKEN = r"(\d+(?:[.,]\d+)?\s*:\s*\d+(?:[.,]\d+)?|\d+(?:[.,]\d+)?%|[\p{L}\p{N}][\p{L}\p{N}_]*(?:[./·_-][\p{L}\p{N}_]+)*)"
 CITATION = r"\[Source ([1-9][0-9]*)\]"
 NUMBER = r"([0-9]+(?:[.,][0-9]+)?)"
 
@@ -48,7 +48,7 @@ def plain_markdown(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Technical tokens of a text, folded, without inner spaces."""
-    return F.transform(F.regexp_extract_all(folded(c), F.lit(TOKEN), 1), lambda t: F.regexp_replace(t, r"\s+", ""))
+    return F.transform(F.regexp_extract_all(folded(c), F.lit(TOKEN), 1), lambda t: F.translate(t, " \t\n\x0b\f\r", ""))
 
 
 def estimated_tokens(c: Column) -> Column:
@@ -120,3 +120,10 @@ def page_ranges(pages: Column) -> Column:
     start = F.filter(p, lambda x: ~F.array_contains(p, x - 1))
     end = F.filter(p, lambda x: ~F.array_contains(p, x + 1))
     return F.array_join(F.zip_with(start, end, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string")))), ", ")
+
+
+def merged_paragraphs(*cs: Column) -> Column:
+    """Paragraphs of the texts in order, each once (spaces and case don't tell them apart)."""
+    p = F.filter(F.transform(F.split(F.concat_ws("\n\n", *cs), r"\n\s*\n"), strip), lambda x: x != "")
+    key = F.transform(p, lambda x: F.lower(F.regexp_replace(x, r"\s+", " ")))
+    return F.filter(p, lambda x, i: F.array_position(key, F.lower(F.regexp_replace(x, r"\s+", " "))) == i + 1)

@@ -152,7 +152,7 @@ def chunks(docs: DataFrame, target: int = 500, overlap: int = 80, least: int = 8
             out += [(d, i, t) for i, t in enumerate(made)]
         return pd.DataFrame(out, columns=["doc_id", "chunk_no", "text"])
 
-    c = docs.select("doc_id", "text").groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_no long, text string")
+    c = docs.select("doc_id", "text").mapInPandas(lambda parts: map(run, parts), "doc_id long, chunk_no long, text string")
     return c.withColumns({"n_tokens": estimated_tokens(F.col("text")), "chunk_id": stable_id(F.col("doc_id").cast("string"), F.col("chunk_no").cast("string"), F.col("text"))})
 
 

@@ -25,7 +25,12 @@ def weight(weights: dict[str, float] | None) -> Column:
     return out
 
 
-def rrf(long: DataFrame, k: int, weights: dict[str, float] | None = None, rrf_k: int = RRF_K) -> DataFrame:
+def first_ranks(ranked: DataFrame, k: int | None) -> DataFrame:
+    """Ranks 1 to k, all where k is None."""
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def rrf(long: DataFrame, k: int | None, weights: dict[str, float] | None = None, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion: sum of weight / (rrf_k + rank) over the retrievers that hit; a retriever that misses adds nothing.
 
     Order: score, number of retrievers, best rank, id. One shuffle: the full outer merge of the runs is a union with a
@@ -33,7 +38,7 @@ def rrf(long: DataFrame, k: int, weights: dict[str, float] | None = None, rrf_k:
     """
     s = long.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight(weights) / (rrf_k + F.col("rank"))), 9).alias("score"), F.count("*").alias("n_retrievers"), F.min("rank").alias("best_rank"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("n_retrievers"), "best_rank", "doc_id")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return first_ranks(s.withColumn("rank", F.row_number().over(w).cast("long")), k)
 
 
 def min_max(long: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:
@@ -70,12 +75,12 @@ def round_robin(long: DataFrame, order: list[str], k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).drop("_o")
 
 
-def reserve_then_fill(reserved: DataFrame, fused: DataFrame, k: int) -> DataFrame:
+def reserve_then_fill(reserved: DataFrame, fused: DataFrame, k: int | None) -> DataFrame:
     """Reserved documents in their order, then fused ones in theirs, each once, k in all."""
     both = reserved.select("query_id", "doc_id", F.lit(1).alias("tier"), "rank").union(fused.select("query_id", "doc_id", F.lit(2).alias("tier"), "rank"))
     first = both.groupBy("query_id", "doc_id").agg(F.min(F.struct("tier", "rank")).alias("_o"))
     w = Window.partitionBy("query_id").orderBy("_o", "doc_id")
-    return first.select("query_id", "doc_id", F.col("_o.tier").cast("long").alias("tier"), F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
+    return first_ranks(first.select("query_id", "doc_id", F.col("_o.tier").cast("long").alias("tier"), F.row_number().over(w).cast("long").alias("rank")), k)
 
 
 def safeguard(reranked: DataFrame, lexical: DataFrame, k: int, slots: int) -> DataFrame:

@@ -36,12 +36,26 @@ def plan_roles(queries: DataFrame, hints: DataFrame, kind: str = "kind") -> Data
     return j.select("query_id", F.coalesce("role_no", F.lit(1)).cast("long").alias("role_no"), F.coalesce("role", F.lit("primary")).alias("role"), collapse(F.concat_ws(" ", "text", "hint")).alias("role_query"))
 
 
+def named(df: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
+    """Rows of df with each row of aliases(alias, ...) whose alias stands in the text as whole words. The text's runs of words,
+    as long as aliases are, meet the aliases in an equi-join. text: normalised, words parted by one space."""
+    a = aliases.withColumn("_a", F.trim(F.regexp_replace(folded(F.col("alias")), r"[^\p{L}\p{N}]+", " "))).distinct()
+    most = a.agg(F.max(F.size(F.split("_a", " ")))).first()[0] or 1  # words of the longest alias
+    words = F.split(F.trim(text), " ")
+
+    def grams(n: int) -> Column:
+        g = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.when(F.size(words) >= n, g).otherwise(F.array().cast("array<string>"))
+
+    return df.withColumn("_a", F.explode(F.array_distinct(F.concat(*(grams(n) for n in range(1, most + 1)))))).join(a, "_a")
+
+
 def route(queries: DataFrame, aliases: DataFrame, trigger: str) -> DataFrame:
     """(query_id, source): the source that a query names after a trigger word, as a whole word, longest alias first; none if
     two sources are named. aliases(source, alias)."""
     f = folded(F.col("text"))
     q = queries.where(f.rlike(trigger)).select("query_id", F.concat(F.lit(" "), F.regexp_replace(f, r"[^\p{L}\p{N}]+", " "), F.lit(" ")).alias("_f"))
-    m = q.join(aliases.select("source", folded(F.col("alias")).alias("_a")).distinct(), F.col("_f").contains(F.concat(F.lit(" "), F.col("_a"), F.lit(" "))))
+    m = named(q, aliases, "_f").select("query_id", "source")
     return m.groupBy("query_id").agg(F.countDistinct("source").alias("n"), F.min("source").alias("source")).where("n = 1").drop("n")
 
 

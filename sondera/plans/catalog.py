@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpora, more, planning, retrieval, stores
+from . import assembly, corpora, more, planning, retrieval, stores
 from .registry import QUERIES, SQL
 from .retrieval import flagship
 
-__all__ = ["QUERIES", "SQL", "corpora", "flagship", "more", "planning", "retrieval", "stores"]
+__all__ = ["QUERIES", "SQL", "assembly", "corpora", "flagship", "more", "planning", "retrieval", "stores"]

@@ -39,9 +39,9 @@ def p14(spark, sf):
     return h.select("page_id", F.when(n >= 3, at(-3)).when(n >= 1, F.get("h", F.lit(0))).alias("chapter"), F.when(n >= 3, at(-2)).when(n == 2, F.get("h", F.lit(1))).alias("section"), F.when(n >= 3, at(-1)).alias("subsection"))
 
 
-@query("p16_text_with_context", "SELECT conv_id, turn, sha256(concat_ws(chr(10), role, substring(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 40), text)) AS digest FROM conversations")
+@query("p16_text_with_context", "SELECT conv_id, turn, sha256(concat_ws(chr(10), role, right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 40), text)) AS digest FROM conversations")
 def p16(spark, sf):
-    before = F.substring(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), 1, 40)
+    before = F.right(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(40))
     return conv(spark, sf).select("conv_id", "turn", F.sha2(F.concat_ws("\n", "role", before, "text"), 256).alias("digest"))
 
 
@@ -56,9 +56,9 @@ def p25(spark, sf):
     return conv(spark, sf).groupBy("conv_id").agg(F.sum(F.size(span)).alias("n_pages"))
 
 
-@query("p30_truncation_salvage", r"SELECT conv_id, turn, sha256(CASE WHEN length(text) >= 200 AND NOT regexp_matches(text, '[.!?]\z') THEN coalesce(nullif(regexp_extract(text, '^((?s:.*)[.!?])', 1), ''), text) ELSE text END) AS digest FROM (SELECT conv_id, turn, substring(text, 1, 200) AS text FROM conversations)")
+@query("p30_truncation_salvage", r"SELECT conv_id, turn, sha256(CASE WHEN length(text) >= 200 AND NOT regexp_matches(text, '[.!?]\z') THEN coalesce(nullif(regexp_extract(text, '^((?s:.*)[.!?])', 1), ''), text) ELSE text END) AS digest FROM conversations")
 def p30(spark, sf):
-    c = conv(spark, sf).select("conv_id", "turn", F.substring("text", 1, 200).alias("text"))
+    c = conv(spark, sf).select("conv_id", "turn", "text")
     cut = F.coalesce(F.nullif(F.regexp_extract("text", r"^((?s:.*)[.!?])", 1), F.lit("")), F.col("text"))
     return c.select("conv_id", "turn", F.sha2(F.when((F.length("text") >= 200) & ~F.col("text").rlike(r"[.!?]\z"), cut).otherwise(F.col("text")), 256).alias("digest"))
 
@@ -81,9 +81,9 @@ def p34(spark, sf):
     return j.select("query_id", F.when(F.col("f") == 1, "rank_1").when(F.col("f") <= 5, "top_5").when(F.col("c").isNotNull(), "ranking_miss").otherwise("candidate_miss").alias("outcome"))
 
 
-@query("p36_input_variants", "SELECT doc_id, variant, length(t)::BIGINT AS n FROM (SELECT doc_id, 'text' AS variant, text AS t FROM documents UNION ALL SELECT doc_id, 'titled', source || ': ' || text FROM documents UNION ALL SELECT doc_id, 'short', substring(text, 1, 100) FROM documents)")
+@query("p36_input_variants", "SELECT doc_id, variant, length(t)::BIGINT AS n FROM (SELECT doc_id, 'text' AS variant, text AS t FROM documents UNION ALL SELECT doc_id, 'titled', source || ': ' || text FROM documents UNION ALL SELECT doc_id, 'sectioned', lang || chr(10) || text FROM documents UNION ALL SELECT doc_id, 'full', 'Document: ' || source || chr(10) || 'Section: ' || lang || chr(10) || 'Passage: ' || text FROM documents)")
 def p36(spark, sf):
-    v = F.array(F.struct(F.lit("text").alias("variant"), F.col("text").alias("t")), F.struct(F.lit("titled").alias("variant"), F.concat("source", F.lit(": "), "text").alias("t")), F.struct(F.lit("short").alias("variant"), F.substring("text", 1, 100).alias("t")))
+    v = F.array(F.struct(F.lit("text").alias("variant"), F.col("text").alias("t")), F.struct(F.lit("titled").alias("variant"), F.concat("source", F.lit(": "), "text").alias("t")), F.struct(F.lit("sectioned").alias("variant"), F.concat("lang", F.lit("\n"), "text").alias("t")), F.struct(F.lit("full").alias("variant"), F.concat(F.lit("Document: "), "source", F.lit("\nSection: "), "lang", F.lit("\nPassage: "), "text").alias("t")))
     return documents(spark, sf).select("doc_id", F.explode(v).alias("v")).select("doc_id", "v.variant", F.length("v.t").cast("long").alias("n"))
 
 
@@ -132,7 +132,7 @@ def o6(spark, sf):
 
 @query("o12_three_tier_composition", ALL + ", t AS (SELECT query_id, doc_id, 1 AS t, rank FROM bmr WHERE rank <= 3 UNION ALL SELECT query_id, doc_id, 2, rank FROM spr WHERE rank <= 3 UNION ALL SELECT query_id, doc_id, 3, rank FROM fr WHERE rank <= 20), g AS (SELECT query_id, doc_id, min(t * 1000 + rank) AS o FROM t GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id) AS rank FROM g) SELECT query_id, doc_id, rank FROM n WHERE rank <= 12")
 def o12(spark, sf):
-    a = fu.reserve_then_fill(bm25(spark, sf, 3), sparse(spark, sf, 3), 1000)
+    a = fu.reserve_then_fill(bm25(spark, sf, 3), sparse(spark, sf, 3), None)
     return fu.reserve_then_fill(a, fused(spark, sf), 12).select("query_id", "doc_id", "rank")
 
 

@@ -51,11 +51,13 @@ def p9(spark, sf):
     return pl.plan_roles(q, hints)
 
 
-@query("p13_source_route", r"WITH a AS (SELECT DISTINCT 's' || (n_nationkey % 4) AS source, lower(substring(n_name, 1, 2)) AS alias FROM nation), q AS (SELECT page_id, ' ' || regexp_replace(lower(url), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS f FROM pages WHERE regexp_matches(lower(url), '/(en|fr|de|es)/')), m AS (SELECT page_id, source FROM q JOIN a ON contains(f, ' ' || alias || ' ')) SELECT page_id AS query_id, min(source) AS source FROM m GROUP BY 1 HAVING count(DISTINCT source) = 1")
+#: (source, alias): names by which a question may ask for a source.
+ALIASES = [("s0", "the"), ("s0", "of the"), ("s1", "und"), ("s1", "der"), ("s2", "les"), ("s3", "los"), ("s3", "de los")]
+
+
+@query("p13_source_route", "WITH a(source, alias) AS (VALUES " + ", ".join(map(str, ALIASES)) + r"), q AS (SELECT item_id, ' ' || regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS f FROM benchmark WHERE regexp_matches(lower(text), '(^|[^\p{L}])(of|de|in|zu)([^\p{L}]|$)')), m AS (SELECT item_id, source FROM q JOIN a ON contains(f, ' ' || alias || ' ')) SELECT item_id AS query_id, min(source) AS source FROM m GROUP BY 1 HAVING count(DISTINCT source) = 1")
 def p13(spark, sf):
-    a = table(spark, sf, "nation").select(F.concat(F.lit("s"), (F.col("n_nationkey") % 4).cast("string")).alias("source"), F.lower(F.substring("n_name", 1, 2)).alias("alias"))
-    q = table(spark, sf, "pages").select(F.col("page_id").alias("query_id"), F.col("url").alias("text"))
-    return pl.route(q, a, "/(en|fr|de|es)/")
+    return pl.route(questions(spark, sf), spark.createDataFrame(ALIASES, "source string, alias string"), r"(^|[^\p{L}])(of|de|in|zu)([^\p{L}]|$)")
 
 
 @query("p28_clean_query", r"SELECT item_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)^(please|the|and)\s+', ''), '[.,;:!?]+$', ''), '\s+', ' ', 'g') AS clean FROM benchmark")
@@ -111,11 +113,11 @@ def t14(spark, sf):
     return claims(spark, sf).groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max(F.length("claim")).cast("long").alias("longest"))
 
 
-@query("j18_claims_and_evidence", f"WITH c AS {_CLAIMS}, e AS (SELECT conv_id, text FROM conversations WHERE role = 'user') SELECT c.conv_id, c.turn, count(*) AS n_pairs, count(*) FILTER (contains(e.text, substring(c.claim, 1, 10))) AS n_supported FROM c LEFT JOIN e USING (conv_id) GROUP BY ALL")
+@query("j18_claims_and_evidence", f"WITH c AS {_CLAIMS}, e AS (SELECT conv_id, text FROM conversations WHERE role = 'user') SELECT c.conv_id, c.turn, count(*) AS n_pairs, count(*) FILTER (contains(e.text, c.claim)) AS n_supported FROM c LEFT JOIN e USING (conv_id) GROUP BY ALL")
 def j18(spark, sf):
     e = turns(spark, sf).where("role = 'user'").select("conv_id", "text")
     j = claims(spark, sf).join(e, "conv_id", "left")
-    return j.groupBy("conv_id", "turn").agg(F.count("*").alias("n_pairs"), F.count(F.when(F.col("text").contains(F.substring("claim", 1, 10)), 1)).alias("n_supported"))
+    return j.groupBy("conv_id", "turn").agg(F.count("*").alias("n_pairs"), F.count(F.when(F.col("text").contains(F.col("claim")), 1)).alias("n_supported"))
 
 
 @query("a28_number_grounding", r"WITH n AS (SELECT doc_id, list_distinct(list_transform(list_transform(regexp_extract_all(text, '([0-9]+(?:[.,][0-9]+)?)', 1), lambda x: replace(x, ',', '.')), lambda x: regexp_replace(CASE WHEN contains(x, '.') THEN regexp_replace(x, '0+$', '') ELSE x END, '\.$', ''))) AS n, source FROM documents), e AS (SELECT source, list_distinct(flatten(list(n))) AS h FROM n WHERE doc_id % 2 = 0 GROUP BY 1), c AS (SELECT source, list_distinct(flatten(list(n))) AS n FROM n WHERE doc_id % 2 = 1 GROUP BY 1) SELECT source, len(n)::BIGINT AS n_numbers, len(list_filter(n, lambda x: NOT list_contains(coalesce(h, []), x)))::BIGINT AS n_missing FROM c LEFT JOIN e USING (source)")
@@ -166,9 +168,9 @@ def t11(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(F.sort_array(F.array_distinct(t)), " ").alias("terms"))
 
 
-@query("p18_passages", r"SELECT doc_id, sha256('Document: ' || source || chr(10) || 'Section: ' || lang || chr(10) || 'Passage: ' || substring(text, 1, 200)) AS digest FROM documents")
+@query("p18_passages", r"SELECT doc_id, sha256('Document: ' || source || chr(10) || 'Section: ' || lang || chr(10) || 'Passage: ' || regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
 def p18(spark, sf):
-    p = F.concat(F.lit("Document: "), "source", F.lit("\nSection: "), "lang", F.lit("\nPassage: "), F.substring("text", 1, 200))
+    p = F.concat(F.lit("Document: "), "source", F.lit("\nSection: "), "lang", F.lit("\nPassage: "), tx.collapse(F.col("text")))
     return table(spark, sf, "documents").select("doc_id", F.sha2(p, 256).alias("digest"))
 
 

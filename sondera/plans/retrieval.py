@@ -9,7 +9,7 @@ from ..functions.text import TOKEN
 from ..operators import evaluation as ev
 from ..operators import fusion as fu
 from ..operators import search as se
-from ..sources.tables import table
+from ..sources.tables import Derived, table
 from .registry import query
 
 #: Every 20th vector is a query of the dense searches.
@@ -51,19 +51,24 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return ev.gold_by_containment(docs(spark, sf), questions(spark, sf))
 
 
+def index(spark: SparkSession, sf: str) -> se.Index:
+    """The index of documents: tokenised once in a session, read by every search."""
+    return se.Index.build(docs(spark, sf), Derived(spark, f"{sf}/documents.parquet", "index"))
+
+
 def bm25(spark: SparkSession, sf: str, k: int | None = 20) -> DataFrame:
-    return se.bm25(docs(spark, sf), questions(spark, sf), k)
+    return se.bm25(index(spark, sf), questions(spark, sf), k)
 
 
-def sparse(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    return se.sparse(se.sparse_vectors(docs(spark, sf), "doc_id"), se.sparse_vectors(questions(spark, sf), "query_id"), k)
+def sparse(spark: SparkSession, sf: str, k: int | None = 20) -> DataFrame:
+    return se.sparse(se.sparse_vectors(index(spark, sf)), se.sparse_vectors(questions(spark, sf), "query_id"), k)
 
 
 def long(spark: SparkSession, sf: str) -> DataFrame:
     return fu.runs(bm25=bm25(spark, sf), sparse=sparse(spark, sf))
 
 
-def fused(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
+def fused(spark: SparkSession, sf: str, k: int | None = 20) -> DataFrame:
     return fu.rrf(long(spark, sf), k)
 
 
@@ -80,23 +85,18 @@ def r1(spark, sf):
 
 @query("a3_token_statistics", f"WITH {BM25} SELECT count(*) AS n_tokens, sum(df)::BIGINT AS n_postings, max(df) AS max_df, (SELECT round(a, 6) FROM st) AS avgdl FROM df")
 def a3(spark, sf):
-    from ..functions.text import tokens
-
-    d = docs(spark, sf).select("doc_id", tokens(F.col("text")).alias("t"))
-    p = d.select("doc_id", F.explode(F.array_distinct("t")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    avg = d.agg(F.round(F.avg(F.size("t")), 6).alias("avgdl"))
-    return p.agg(F.count("*").alias("n_tokens"), F.sum("df").alias("n_postings"), F.max("df").alias("max_df")).join(avg)
+    x = index(spark, sf)
+    return x.frequencies.agg(F.count("*").alias("n_tokens"), F.sum("df").alias("n_postings"), F.max("df").alias("max_df")).withColumn("avgdl", F.round(F.lit(x.avgdl), 6))
 
 
 @query("f1_bm25_allowed_documents", f"WITH {BM25}, al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm WHERE score > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) SELECT query_id, doc_id, score, r AS rank FROM al WHERE r <= 10")
 def f1(spark, sf):
-    d = docs(spark, sf)
-    return se.bm25(d, questions(spark, sf), 10, allowed=d.where("lang = 'en'")).select("query_id", "doc_id", "score", "rank")
+    return se.bm25(index(spark, sf), questions(spark, sf), 10, allowed=docs(spark, sf).where("lang = 'en'")).select("query_id", "doc_id", "score", "rank")
 
 
 @query("f2_bm25_threshold", f"WITH {BM25} SELECT query_id, count(*) AS n FROM bm WHERE score > 5 GROUP BY 1")
 def f2(spark, sf):
-    return se.bm25_scores(docs(spark, sf), questions(spark, sf)).where("score > 5").groupBy("query_id").agg(F.count("*").alias("n"))
+    return se.bm25_scores(index(spark, sf), questions(spark, sf)).where("score > 5").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 _DENSE = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -178,7 +178,7 @@ def o10(spark, sf):
 
 @query("o11_reserve_then_fill", ALL + ", u AS (SELECT query_id, doc_id, 1 AS tier, rank FROM spr WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, 2, rank FROM fr), g AS (SELECT query_id, doc_id, min(tier * 1000 + rank) AS o FROM u GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id) AS rank FROM g) SELECT query_id, doc_id, (o // 1000)::BIGINT AS tier, rank FROM n WHERE rank <= 20")
 def o11(spark, sf):
-    return fu.reserve_then_fill(sparse(spark, sf, 5), fused(spark, sf, 1000), 20)
+    return fu.reserve_then_fill(sparse(spark, sf, 5), fused(spark, sf, None), 20)
 
 
 @query("o8_lexical_safeguard", ALL + ", u AS (SELECT query_id, doc_id, 'reranker' AS tier, 1 AS t, rank FROM fr WHERE rank <= 4 UNION ALL SELECT query_id, doc_id, 'lexical', 2, rank FROM bmr WHERE rank <= 1 UNION ALL SELECT query_id, doc_id, 'fill', 3, rank FROM fr WHERE rank <= 20), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY t, rank) AS n FROM u), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY t, rank, doc_id) AS position FROM o WHERE n = 1) SELECT query_id, doc_id, tier, position FROM p WHERE position <= 5")
@@ -233,7 +233,7 @@ def a15(spark, sf):
 @query("p31_failure_classes", ALL + ", j AS (SELECT g.query_id, g.doc_id, b.rank AS b, f.rank AS f FROM gold g LEFT JOIN bmr b ON b.query_id = g.query_id AND b.doc_id = g.doc_id LEFT JOIN fr f ON f.query_id = g.query_id AND f.doc_id = g.doc_id) SELECT query_id, doc_id, CASE WHEN b IS NULL THEN 'not_retrieved' WHEN b > 30 THEN 'outside_window' WHEN f IS NULL OR f > 20 THEN 'dropped' ELSE 'kept' END AS class FROM j")
 def p31(spark, sf):
     b = bm25(spark, sf, None).select("query_id", "doc_id", F.col("rank").alias("b"))
-    f = fused(spark, sf, 1000).select("query_id", "doc_id", F.col("rank").alias("f"))
+    f = fused(spark, sf, None).select("query_id", "doc_id", F.col("rank").alias("f"))
     j = gold(spark, sf).join(b, ["query_id", "doc_id"], "left").join(f, ["query_id", "doc_id"], "left")
     return j.select("query_id", "doc_id", ev.failure_class(F.col("b"), F.when(F.col("b") <= 30, F.col("b")), F.col("f"), 20).alias("class"))
 

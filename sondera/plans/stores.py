@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as tx
 from ..functions import vectors as ve
 from ..functions.text import estimated_tokens
 from ..operators import conversation as cv
 from ..operators import corpus as co
 from ..operators import evaluation as ev
+from ..operators import planning as pl
 from ..operators import store as st
 from ..sources.tables import table
+from .planning import ALIASES
 from .registry import query
 
 
@@ -152,13 +155,13 @@ def j12(spark, sf):
     return st.cached(new.select(F.col("doc_id").alias("id"), F.col("d").alias("digest")), cache, legacy, o.withColumn("value", F.col("id") + 1_000_000)).select(F.col("id").alias("doc_id"), "value", "hit")
 
 
-@query("j9_alias_in_text", "WITH a AS (SELECT DISTINCT lower(n_name) AS alias, n_nationkey FROM nation), m AS (SELECT page_id, n_nationkey FROM pages JOIN a ON contains(lower(url), '/' || substring(alias, 1, 2))) SELECT page_id, count(DISTINCT n_nationkey) AS n, CASE WHEN count(DISTINCT n_nationkey) = 1 THEN min(n_nationkey) END AS found FROM m GROUP BY 1")
+@query("j9_alias_in_text", "WITH a(source, alias) AS (VALUES " + ", ".join(map(str, ALIASES)) + r"), q AS (SELECT conv_id, turn, ' ' || regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS f FROM conversations), m AS (SELECT conv_id, turn, source, max(length(alias)) AS longest FROM q JOIN a ON contains(f, ' ' || alias || ' ') GROUP BY ALL) SELECT conv_id, turn, count(*) AS n, CASE WHEN count(*) = 1 THEN min(source) END AS found, max(longest)::BIGINT AS longest FROM m GROUP BY ALL")
 def j9(spark, sf):
-    """Aliases are a small dimension; AQE broadcasts it if its size allows."""
-    a = table(spark, sf, "nation").select(F.lower("n_name").alias("alias"), "n_nationkey").distinct()
-    m = table(spark, sf, "pages").select("page_id", F.lower("url").alias("u")).join(a, F.col("u").contains(F.concat(F.lit("/"), F.substring("alias", 1, 2))))
-    n = F.countDistinct("n_nationkey")
-    return m.groupBy("page_id").agg(n.alias("n"), F.when(n == 1, F.min("n_nationkey")).alias("found"))
+    a = spark.createDataFrame(ALIASES, "source string, alias string")
+    f = F.regexp_replace(tx.folded(F.col("text")), r"[^\p{L}\p{N}]+", " ")
+    m = pl.named(table(spark, sf, "conversations").select("conv_id", "turn", f.alias("f")), a, "f").groupBy("conv_id", "turn", "source").agg(F.max(F.length("alias")).alias("longest"))
+    n = F.count("*")
+    return m.groupBy("conv_id", "turn").agg(n.alias("n"), F.when(n == 1, F.min("source")).alias("found"), F.max("longest").cast("long").alias("longest"))
 
 
 @query("j10_neighbours_within_two", "SELECT a.conv_id, a.turn, count(*) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND abs(a.turn - b.turn) BETWEEN 1 AND 2 AND a.role = b.role GROUP BY ALL")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Derived:
+    """Tables that follow from a stored table, such as an index: built once in a session, then read by all queries.
+
+    They lie in the folder of spark.checkpoint.dir, which the cluster shares (a folder of the warehouse where that is
+    unset), until the driver's Python ends. The key holds the source's length and time of change, so a source
+    that was written anew gets its tables anew.
+    """
+
+    _held: dict[tuple, str] = {}
+
+    def __init__(self, spark: SparkSession, source: str, kind: str):
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(source)
+        fs = p.getFileSystem(conf)
+        self.spark, self.key = spark, (spark.sparkContext.applicationId, source, kind, fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime())
+        self.dir, self.known = self._held.get(self.key) or f"{base.rstrip('/')}/sondera-{kind}-{uuid.uuid4().hex}", self.key in self._held
+
+    def write(self, name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.dir}/{name}")
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}")
+
+    def keep(self) -> None:
+        """The tables are complete: from now on they are read."""
+        self._held[self.key] = self.dir
+        atexit.register(self.drop)
+
+    def drop(self) -> None:
+        self._held.pop(self.key, None)
+        with contextlib.suppress(Exception):  # the session may be gone
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.dir)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """One record per line. strict: a malformed line fails the read; otherwise blank lines and a BOM are passed over and
     malformed lines come back in `_malformed`."""
