@@ -216,7 +216,7 @@ def w8(spark, sf):
     return co.consecutive_groups(table(spark, sf, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "group_no")
 
 
-@query("w9_parent_groups")
+@query("w9_parent_groups", "WITH RECURSIVE c AS (SELECT conv_id, turn, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4)) END::BIGINT AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), r AS (SELECT conv_id, turn, n, k AS have, 0::BIGINT AS no FROM c WHERE n = 1 UNION ALL SELECT c.conv_id, c.turn, c.n, CASE WHEN r.have + c.k > 90 OR r.have >= 60 THEN c.k ELSE r.have + c.k END, r.no + CASE WHEN r.have + c.k > 90 OR r.have >= 60 THEN 1 ELSE 0 END FROM r JOIN c ON c.conv_id = r.conv_id AND c.n = r.n + 1) SELECT conv_id AS doc_id, turn AS pos, no AS parent_no FROM r")
 def w9(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.lit("k").alias("key"), tx.estimated_tokens(F.col("text")).alias("tokens"))
     return co.parent_groups(c, 60, 90)
@@ -275,7 +275,7 @@ def g5(spark, sf):
     return evi.pack_evidence(a, c, 200, 900)
 
 
-@query("g7_fair_share")
+@query("g7_fair_share", "WITH RECURSIVE c AS (SELECT conv_id, turn, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4)) END::BIGINT AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations), r AS (SELECT conv_id, turn, n, size, least(size, 100 // k) AS share, 100 - least(size, 100 // k) AS rest FROM c WHERE n = 1 UNION ALL SELECT c.conv_id, c.turn, c.n, c.size, least(c.size, r.rest // (c.k - c.n + 1)), r.rest - least(c.size, r.rest // (c.k - c.n + 1)) FROM r JOIN c ON c.conv_id = r.conv_id AND c.n = r.n + 1) SELECT conv_id, turn, size, share::BIGINT AS share FROM r")
 def g7(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", tx.estimated_tokens(F.col("text")).alias("size"))
     return evi.fair_share(c, "conv_id", "turn", "size", 100)

@@ -236,7 +236,7 @@ def w5(spark, sf):
     return fu.two_caps(h, "source", "lang", 2, 5, 12)
 
 
-@query("o9_one_per_role")
+@query("o9_one_per_role", ALL + ", a AS (SELECT query_id, doc_id FROM lng WHERE retriever = 'bm25' AND rank = 1), b0 AS (SELECT s.query_id, s.doc_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.doc_id IS NOT DISTINCT FROM a.doc_id, s.rank) AS n FROM lng s LEFT JOIN a USING (query_id) WHERE retriever = 'sparse'), t AS (SELECT query_id, doc_id, 1 AS o, 'role 1' AS origin FROM a UNION ALL SELECT query_id, doc_id, 2, 'role 2' FROM b0 WHERE n = 1 UNION ALL SELECT query_id, doc_id, 10 + rank, 'fill' FROM fr WHERE rank <= 20), g AS (SELECT query_id, doc_id, min(o) AS o, CASE WHEN count(*) FILTER (o <= 2) = 2 THEN 'role 1+2' ELSE min_by(origin, o) END AS origin FROM t GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, doc_id) AS position FROM g) SELECT query_id, doc_id, position, origin FROM p WHERE position <= 8")
 def o9(spark, sf):
     from .retrieval import long
 

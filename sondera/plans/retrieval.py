@@ -165,7 +165,7 @@ def r6(spark, sf):
     return fu.planned(roles(spark, sf), 30).select("query_id", "doc_id", "score", "n_roles", "best_rank", "rank")
 
 
-@query("w3_reserved_by_role")
+@query("w3_reserved_by_role", _ROLES + ", a AS (SELECT query_id, role, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS pick FROM ro WHERE retriever = 'bm25' AND role = 0 QUALIFY pick <= 3), b AS (SELECT query_id, role, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS pick FROM ro WHERE retriever = 'bm25' AND role = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = ro.query_id AND a.doc_id = ro.doc_id) QUALIFY pick <= 3) SELECT query_id, role::BIGINT AS role_no, doc_id, pick FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
 def w3(spark, sf):
     r = roles(spark, sf).where("retriever = 'bm25'").withColumn("role_no", F.col("role").cast("long"))
     return fu.reserve_by_role(r, 3)
