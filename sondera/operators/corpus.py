@@ -138,18 +138,19 @@ def chunks(docs: DataFrame, target: int = 500, overlap: int = 80, least: int = 8
                             k += 1
                         units.append(" ".join(words[:k]))
                         words = words[k:]
-            made, have = [], []
+            made, have, again = [], [], 0
             for u in units:
                 if have and size("\n".join([*have, u])) > target:
-                    made.append("\n".join(have))
+                    made.append(have)
                     tail = have[-1] if size(have[-1]) <= overlap else ""
                     have = [tail] if tail and size(tail) + size(u) <= target else []
+                    again = len(have)
                 have.append(u)
             if have:
-                made.append("\n".join(have))
-            if len(made) > 1 and size(made[-1]) < least:
-                made[-2:] = ["\n".join(made[-2:])]
-            out += [(d, i, t) for i, t in enumerate(made)]
+                made.append(have)
+            if len(made) > 1 and size("\n".join(made[-1])) < least:
+                made[-2:] = [made[-2] + made[-1][again:]]  # its tail is there already
+            out += [(d, i, "\n".join(t)) for i, t in enumerate(made)]
         return pd.DataFrame(out, columns=["doc_id", "chunk_no", "text"])
 
     c = docs.select("doc_id", "text").mapInPandas(lambda parts: map(run, parts), "doc_id long, chunk_no long, text string")
