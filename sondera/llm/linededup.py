@@ -25,10 +25,11 @@ DOC = ("doc_id", "__ld_th")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, __ld_th (hash of the text), pos (number among the lines with a word), at (number among all lines), a 128-bit line ID, chars."""
+    """doc_id, __ld_th (hash of the text), pos (number among the lines with a word), at (number among all lines), a 128-bit line
+    ID, chars, and left, the lines with a word from here to the end."""
     numbered = F.transform(F.split("text", "\n"), lambda x, j: F.struct(x.alias("x"), j.alias("j")))
     words = F.transform(F.filter(numbered, lambda y: y["x"].rlike(WORD)), lambda y, i: F.struct(i.alias("pos"), y["j"].alias("at"), F.xxhash64(y["x"]).alias("a"), F.xxhash64(F.lit("line"), y["x"]).alias("b"), F.length(y["x"]).alias("chars")))
-    return docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("__ld_th"), F.explode(words).alias("l")).select(*DOC, "l.*")
+    return docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("__ld_th"), words.alias("w")).select(*DOC, F.size("w").alias("_k"), F.explode("w").alias("l")).select(*DOC, "l.*", (F.col("_k") - F.col("l.pos")).alias("left"))
 
 
 def ranked(rows: DataFrame, key: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, int]:
@@ -84,30 +85,49 @@ def prefixes(one: DataFrame, scratch: Scratch) -> DataFrame:
     first = ranks.groupBy("h", "r").agg(F.min(me()).alias("_first"))
     later = ranks.join(first, ["h", "r"]).where(~me().eqNullSafe(F.col("_first")))
     p = later.groupBy(*DOC, "pos").agg(F.max(F.struct("h", "r")).alias("x")).select(*DOC, "pos", "x.h", "x.r", F.lit(0).alias("s"))
-    p, b = scratch.cut(p, "prefix-0"), top // 2
+    p, rest = scratch.cut(p, "prefix-0"), top.bit_length() - 1
     other = ranks.select(F.col("h").alias("_h"), *(F.col(c).alias(f"_{c}") for c in (*DOC, "pos")), F.col("r").alias("r2"))
-    while b:
-        asked = p.where(F.col("h") > b).select("h", "r", (F.col("s") + b).alias("t")).distinct()
-        x = ranks.where(F.col("h") > b).join(asked, ["h", "r"]).withColumn("_at", F.col("pos") + F.col("t"))
+    while rest:  # two bits a round: of the longer sequences that are tried, each holds the ones before
+        bits = 1 if rest % 2 else 2
+        rest -= bits
+        tried = F.array(*(F.col("s") + (k << rest) for k in range(1, 1 << bits)))
+        asked = p.select("h", "r", F.explode(tried).alias("t")).where("t < h").distinct()
+        x = ranks.where(F.col("h") > (1 << rest)).join(asked, ["h", "r"]).withColumn("_at", F.col("pos") + F.col("t"))
         x = x.join(other, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("__ld_th") == F.col("___ld_th")) & (F.col("_at") == F.col("_pos")))
         x = x.select("h", "r", "t", "r2", *DOC, "pos")
         first = x.groupBy("h", "r", "t", "r2").agg(F.min(me()).alias("_first"))
-        longer = x.join(first, ["h", "r", "t", "r2"]).where(~me().eqNullSafe(F.col("_first")))
-        longer = longer.select(F.col("h").alias("_h"), F.col("t").alias("_t"), *(F.col(c).alias(f"_{c}") for c in (*DOC, "pos")))
-        p = p.join(longer, same_place("", "_") & (F.col("h") == F.col("_h")) & (F.col("s") + b == F.col("_t")), "left")
-        p = scratch.cut(p.select(*DOC, "pos", "h", "r", F.coalesce("_t", "s").alias("s")), f"prefix-{b}")
-        b //= 2
+        longer = x.join(first, ["h", "r", "t", "r2"]).where(~me().eqNullSafe(F.col("_first"))).select("h", "t", *DOC, "pos")
+        near = p.select(F.col("h").alias("_h"), F.col("s").alias("_s"), *(F.col(c).alias(f"_{c}") for c in (*DOC, "pos")))
+        mine = longer.join(near, same_place("", "_") & (F.col("h") == F.col("_h")) & (F.col("t") > F.col("_s")) & (F.col("t") < F.col("_s") + (1 << (rest + bits))))
+        mine = mine.groupBy(*DOC, "pos").agg(F.max("t").alias("_t")).select(*(F.col(c).alias(f"_{c}") for c in (*DOC, "pos")), "_t")
+        p = p.join(mine, same_place("", "_"), "left")
+        p = scratch.cut(p.select(*DOC, "pos", "h", "r", F.coalesce("_t", "s").alias("s")), f"prefix-{1 << rest}")
     return p.select(*DOC, "pos", (F.col("h") + F.col("s")).alias("n"))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """_doc_id, ___ld_th: documents whose whole text an earlier document (smaller doc_id) has too."""
+    key = ["__ld_th", "_t2"]
+    d = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("__ld_th"), F.xxhash64(F.lit("text"), "text").alias("_t2")).distinct()
+    first = d.groupBy(*key).agg(F.min(F.struct("doc_id")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    later = d.join(first, key).where(~F.struct("doc_id").eqNullSafe(F.col("_first")))
+    return later.select(F.col("doc_id").alias("_doc_id"), F.col("__ld_th").alias("___ld_th"))
+
+
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, __ld_th, pos, at, chars, n: lines with a word that occur twice or more, with the greatest common prefix n of their
-    sequence with an earlier one (0: none)."""
+    sequence with an earlier one (0: none).
+
+    A copy of a whole text shares all that is left of it with the first; only first copies have their suffixes sorted.
+    """
     lines = lines_of(docs)
     names, _ = ranked(lines, ["a", "b"], scratch, "lines-1-names")
-    one = scratch.cut(lines.join(names, ["a", "b"]).select(*DOC, "pos", "at", "chars", "r").distinct(), "lines-1")
-    n = prefixes(one, scratch).select(*(F.col(c).alias(f"_{c}") for c in (*DOC, "pos")), "n")
-    out = one.join(n, same_place("", "_"), "left").select(*DOC, "pos", "at", "chars", F.coalesce("n", F.lit(0)).alias("n"))
+    again = scratch.cut(copies(docs), "copies")
+    one = lines.join(names, ["a", "b"]).select(*DOC, "pos", "at", "chars", "left", "r").distinct()
+    of_doc = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("__ld_th") == F.col("___ld_th"))
+    one = scratch.cut(one.join(again, of_doc, "left").withColumn("copy", F.col("___ld_th").isNotNull()).drop(*again.columns), "lines-1")
+    n = prefixes(one.where("NOT copy"), scratch).select(*(F.col(c).alias(f"_{c}") for c in (*DOC, "pos")), "n")
+    out = one.join(n, same_place("", "_"), "left").select(*DOC, "pos", "at", "chars", F.when(F.col("copy"), F.col("left")).otherwise(F.coalesce("n", F.lit(0))).alias("n"))
     return scratch.cut(out, "prefixes")
 
 
