@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, langid, linededup, mixing, packing, quality, secrets, substring, warc
+from . import alignment, embeddings, jaccard, langid, linededup, mixing, packing, pieces, quality, ranked, secrets, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_embedding_dedup": embeddings.op9_embedding_dedup,
     "op10_language_id": langid.op10_language_id,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_ranked_search": ranked.op12_ranked_search,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
-SQL = {"op2_line_dedup": linededup.OP2_SQL, "op3_warc": warc.OP3_SQL}
+SQL = {"op2_line_dedup": linededup.OP2_SQL, "op3_warc": warc.OP3_SQL, "op12_ranked_search": ranked.OP12_SQL}
