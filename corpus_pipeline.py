@@ -47,8 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in token sequences; a null text is empty, repeated rows are packed each for itself."""
-    return packing.pack(docs)
+    """Pieces of the documents in token sequences, in the order in which the mix stored them, so that a shard's shuffle
+    holds in the sequences; a null text is empty, repeated rows are packed each for itself."""
+    return packing.pack(docs, as_stored=True)
 
 
 STAGES = [("language ID", identify), ("line dedup", dedup_lines), ("n-gram Jaccard join", dedup_documents), ("mixing", mix_sources), ("packing", pack)]

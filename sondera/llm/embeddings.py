@@ -69,6 +69,7 @@ def project(x: np.ndarray, dim: int, cosine: float = COSINE) -> np.ndarray:
 
 def unit(b: pa.RecordBatch, dim: int) -> np.ndarray:
     x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small components leave the range of doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -260,11 +260,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False, as_stored: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens, a row for each piece.
 
-    Documents are dealt by ranges of doc_id (nulls first, repeated rows one after the other) and kept in order.
-    A document's ids are those of its whole text and the end id; null and empty texts have the end id alone. Each
+    Documents are dealt by ranges of doc_id (nulls first, repeated rows one after the other) and kept in order; with
+    as_stored they are packed in the order and the partitions in which docs are read, without a shuffle (a mix stored in
+    the order of its shards keeps it). Other columns are left aside; an empty table gives no rows. A document's ids are those of its whole text and the end id; null and empty texts have the end id alone. Each
     chunk of documents ends with sequences whose lengths are powers of two, or one padded sequence. with_ids adds
     each piece's ids.
     """
@@ -309,8 +310,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False)
         if docs_in:
             yield flush()
 
-    n = tasks(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = docs.select("doc_id", "text")
+    if not as_stored:
+        dealt = dealt.repartitionByRange(tasks(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return dealt.mapInArrow(run, ", ".join(f"{c.name} long" for c in _SCHEMA) + ", ids array<int>" * with_ids)
 
 

@@ -177,3 +177,25 @@ def test_pipeline_loses_no_rows_that_share_ids(spark):
     assert {x for x in n if x[0] == 1} == {(1, "en", 1), (1, "fr", 1), (1, "fr", None), (1, None, 1)} and n[2, "en", 1] <= 4
     lines = spark.createDataFrame([(1, "one line\ntwo lines\nthree", "en", "s", 1), (1, "one line\ntwo lines\nthree", "fr", "t", 1), (2, "one line\ntwo lines", "en", "s", 1)], docs.schema)
     assert sorted((r["doc_id"], r["lang"]) for r in pipeline.dedup_lines(spark, lines, "").collect()) == [(1, "en"), (1, "fr")]
+
+
+def test_packing_keeps_the_order_of_the_mix(spark, sf, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pipeline.mix_sources(spark, docs, sf).write.parquet(f"{tmp_path}/mix")
+    stored = spark.read.parquet(f"{tmp_path}/mix")
+    want = [r["doc_id"] for r in stored.select("doc_id", F.monotonically_increasing_id().alias("at")).orderBy("at").collect()]
+    got = pipeline.pack(spark, stored, sf).orderBy("sequence_id", "offset").collect()
+    assert [r["doc_id"] for r in got if r["start"] == 0] == want
+    assert want != sorted(want)
+    twice = [i for i, n in Counter(want).items() if n > 1]
+    inside = Counter((r["doc_id"], r["sequence_id"]) for r in got if r["start"] == 0)
+    assert len(twice) > 20 and sum(n > 1 for n in inside.values()) < len(twice) / 3
+
+
+def test_parallel_vectors_of_all_magnitudes_link(spark, scratch):
+    rng = np.random.default_rng(1)
+    v, w = rng.standard_normal((2, 64))
+    rows = [(k, [float(x) for x in s * y]) for k, (s, y) in enumerate((s, y) for y in (v, w) for s in (1.0, 2.0, 1e-200, 3e-180, 1e200))]
+    got = embeddings.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scratch).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(k, 4, k // 5 * 5) for k in range(10)]
