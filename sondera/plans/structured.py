@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import sections as sx
 from ..operators import structure as st
 from ..sources.tables import Derived, table
 from .registry import query
+from .retrieval import _TOKS, questions
 
 #: Legal lines of first pages, as the queries exclude them.
 LEGAL = r"(?i)\b(?:all rights reserved|isbn|copyright|library of congress)\b"
@@ -82,7 +84,7 @@ def stored(spark, sf):
     held = Derived(spark, f"{sf}/pages.parquet", "structure")
 
     def keep(df, name):
-        if not held.known:
+        if df is not None and not held.known:
             held.write(name, df)
         return held.read(name)
 
@@ -123,3 +125,75 @@ def q6_built(spark, sf):
     fine = (F.col("k") == 1) & (F.col("in_parent") == F.col("parent_id")) & (F.col("of") == F.col("section_id")) & F.col("known") & F.col("from").eqNullSafe(F.col("previous_chunk_id"))
     out = j.agg(F.count("*").alias("n_children"), F.countDistinct("chunk_id").alias("n_ids"), F.countDistinct("parent_id").alias("n_parents"), F.countDistinct("section_id").alias("n_sections"), F.count(F.when(~F.coalesce(fine, F.lit(False)), 1)).alias("n_wrong"))
     return out
+
+
+#: Paths of little value, as the section queries leave them out.
+LOW_VALUE = r"(?i)\b(?:contents|index|bibliography|references)\b"
+_BM = "round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / a))), 6)"
+_SECTIONS = _REC + rf""",
+k AS (SELECT DISTINCT section_id, kind FROM c), kk AS (SELECT section_id, list(kind) AS kinds FROM k GROUP BY 1),
+sec AS (SELECT c.section_id, doc, hierarchy_path, min(page) AS page_start FROM c GROUP BY ALL),
+ct AS (SELECT chunk_id, section_id, {_TOKS} AS toks FROM c), cp AS (SELECT chunk_id, section_id, len(toks) AS dl, unnest(toks) AS tok FROM ct),
+ctf AS (SELECT chunk_id, section_id, dl, tok, count(*) AS tf FROM cp GROUP BY ALL),
+pt AS (SELECT section_id, unnest({_TOKS.replace("text", "hierarchy_path")}) AS tok FROM sec),
+stf0 AS (SELECT section_id, tok, sum(tf) AS tf FROM (SELECT section_id, tok, tf FROM ctf UNION ALL SELECT section_id, tok, 3 FROM pt) GROUP BY ALL),
+stf AS (SELECT *, sum(tf) OVER (PARTITION BY section_id) AS dl FROM stf0), sdf AS (SELECT tok, count(*) AS df FROM stf GROUP BY 1),
+sst AS (SELECT (SELECT count(*) FROM sec)::DOUBLE AS n, (SELECT sum(tf) FROM stf) / (SELECT count(*) FROM sec) AS a),
+qt AS (SELECT item_id AS query_id, unnest({_TOKS}) AS tok FROM benchmark), q AS (SELECT query_id, tok, count(*) AS qtf FROM qt GROUP BY ALL),
+b0 AS (SELECT query_id, section_id, {_BM} AS score FROM q JOIN stf USING (tok) JOIN sdf USING (tok), sst GROUP BY ALL),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM b0 WHERE score > 0),
+qw0 AS (SELECT query_id, tok, 1 + ln(qtf) AS w FROM q), qw AS (SELECT query_id, tok, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS w FROM qw0),
+sw0 AS (SELECT section_id, tok, 1 + ln(tf) AS w FROM stf), sw AS (SELECT section_id, tok, w / sqrt(sum(w * w) OVER (PARTITION BY section_id)) AS w FROM sw0),
+v0 AS (SELECT query_id, section_id, round(sum(qw.w * sw.w), 6) AS score FROM qw JOIN sw USING (tok) GROUP BY ALL),
+v1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM v0 WHERE score > 0),
+lr AS (SELECT query_id, section_id, rank, NULL::DOUBLE AS sp FROM b1 WHERE rank <= 30 UNION ALL SELECT query_id, section_id, rank, score FROM v1 WHERE rank <= 30),
+fu AS (SELECT query_id, section_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, max(sp) AS sp FROM lr GROUP BY ALL),
+te AS (SELECT query_id, list(DISTINCT tok) AS terms FROM qt GROUP BY 1),
+fb AS (SELECT query_id, section_id, doc, page_start, sp, round(rrf + CASE WHEN list_contains(kinds, CASE WHEN query_id % 2 = 0 THEN 'table' ELSE 'paragraph' END) THEN 0.045 ELSE 0.0 END
+  + CASE WHEN query_id % 2 = 1 AND list_contains(kinds, 'caption') THEN -0.06 ELSE 0.0 END
+  + least(0.06, 0.02 * len(list_intersect(terms, list_distinct({_TOKS.replace("text", "hierarchy_path")}))))::DOUBLE, 9) AS score
+  FROM fu JOIN sec USING (section_id) JOIN kk USING (section_id) JOIN te USING (query_id) WHERE NOT regexp_matches(hierarchy_path, '{LOW_VALUE}')),
+fd AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY score DESC, coalesce(sp, -1) DESC, doc, page_start, section_id) AS per FROM fb),
+win0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(sp, -1) DESC, doc, page_start, section_id) AS rank FROM fd WHERE per <= 3),
+win AS (SELECT query_id, section_id, doc, score, rank FROM win0 WHERE rank <= 8)"""
+
+
+def sections(spark, sf):
+    """Chunks, their postings, the index of sections, and the sections, stored once a session."""
+    c, _, s = built(spark, sf)
+    _, keep = stored(spark, sf)
+    held = Derived(spark, f"{sf}/pages.parquet", "sections")
+    if not held.known:
+        texts = c.select("doc", "page", "unit_no", "chunk_id", "section_id").join(keep(None, "units").select("doc", "page", "unit_no", "text"), ["doc", "page", "unit_no"])
+        held.write("chunk", sx.chunk_postings(texts))
+        kinds = c.groupBy("section_id").agg(F.collect_set("kind").alias("kinds"))
+        held.write("sections", s.select("section_id", "doc", "hierarchy_path", "page_start").join(kinds, "section_id"))
+        held.write("section", sx.section_postings(held.read("chunk"), held.read("sections")))
+        held.keep()
+    return c, held.read("chunk"), held.read("section"), held.read("sections")
+
+
+def profiled(spark, sf):
+    """Questions with the kinds of content that their profile prefers and penalises."""
+    even = F.col("query_id") % 2 == 0
+    return questions(spark, sf).withColumns({"preferred": F.when(even, F.array(F.lit("table"))).otherwise(F.array(F.lit("paragraph"))), "penalised": F.when(~even, F.array(F.lit("caption")))})
+
+
+def won(spark, sf):
+    _, _, postings, s = sections(spark, sf)
+    return sx.search_sections(sx.index_of(postings, s.count()), s, profiled(spark, sf), low_value=LOW_VALUE)
+
+
+@query("r7_section_search", _SECTIONS + " SELECT query_id, section_id, doc, score, rank FROM win")
+def r7_sections(spark, sf):
+    return won(spark, sf)
+
+
+@query("r7_chunks_of_sections", _SECTIONS + f""", cdf AS (SELECT tok, count(*) AS df FROM ctf GROUP BY 1),
+cst AS (SELECT (SELECT count(*) FROM c)::DOUBLE AS n, (SELECT sum(tf) FROM ctf) / (SELECT count(*) FROM c) AS a),
+h AS (SELECT win.query_id, chunk_id, {_BM} AS score FROM win JOIN q ON q.query_id = win.query_id JOIN ctf ON ctf.section_id = win.section_id AND ctf.tok = q.tok JOIN cdf ON cdf.tok = q.tok, cst GROUP BY ALL),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM h WHERE score > 0)
+SELECT query_id, chunk_id, score, rank FROM hr WHERE rank <= 10""")
+def r7_chunks(spark, sf):
+    c, postings, _, _ = sections(spark, sf)
+    return sx.search_chunks(postings, sx.index_of(postings, c.count()), won(spark, sf), questions(spark, sf), 10).withColumnRenamed("doc_id", "chunk_id")
