@@ -25,17 +25,18 @@ from .common import PIECE_BYTES, Scratch, blob, mix, rows, runs, tasks, text_sli
 from .pieces import BYTE, NORMAL, SPACE, loaded, model_path
 
 #: Chunks of text that a worker remembers with their alignment; longer ones than LONG characters are not remembered.
-CHUNKS, LONG = 400_000, 64
+CHUNKS, LONG, MOST_LINKS = 600_000, 64, 8_000_000
 #: A block of documents ends with so many links or documents.
 BLOCK_LINKS, BLOCK_DOCS = 2_000_000, 8192
 #: Groups of side ids. All pairs of an id are in one group.
 BUCKETS = 64
 #: Rules of side A (as its file states them) under which no token crosses a border between a sign and white space.
 _BY_CHUNK = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}}
-_CHUNK = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_CHUNK = re.compile("[ \t\n]*[^ \t\n]+|[ \t\n]+")
 #: White space beyond that; in texts with such signs only a border behind what is surely none counts.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
-_BORDER = re.compile("(?<=[^\\s\u180e\u200b])(?=[ \t\n\r])")
+_ODD_SPACE = re.compile("[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+_PLAIN = re.compile("[ \t\n][^▁]*[^\\s\u180e\u200b▁]")
+_BORDER = re.compile("(?<=[^\\s\u180e\u200b])(?=[ \t\n])")
 
 
 def byte_signs() -> dict[str, int]:
@@ -46,31 +47,38 @@ def byte_signs() -> dict[str, int]:
 
 
 class Aligner:
-    """Groups and links of texts; chunks that neither side's tokens cross are aligned once."""
+    """Groups and links of texts; chunks that neither side's tokens cross are aligned once, many at a time."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         with open(path_a, encoding="utf-8") as f:
             rules = json.load(f)
-        signs = byte_signs()
-        self.bytes_a = {i: bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        signs, names = byte_signs(), self.a.get_vocab()
+        self.bytes_a = [b""] * (max(names.values()) + 1)
+        for t, i in names.items():
+            self.bytes_a[i] = bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode()
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.b, _ = loaded(path_b)
         m = self.b.m
         self.bytes_b = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b"" for p, k in zip(m.pieces, m.kinds, strict=True)]
+        self.len_a, self.len_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        #: Decimal ids with the sign that follows them within a side, and at a side's end.
+        self.text = [[f"{i}{z}" for i in range(n)] for n, z in ((len(self.bytes_a), ","), (len(self.bytes_a), "|"), (len(self.bytes_b), ","), (len(self.bytes_b), ";"))]
         pre = {k: v for k, v in (rules.get("pre_tokenizer") or {}).items() if (k, v) != ("use_regex", True)}
-        apart = m.by_word and not any(re.search("[^ \t\n\r▁][\t\n\r]", p) for p in m.ids)
+        apart = m.by_word and not any(re.search("[^ \t\n▁][\t\n]", p) for p in m.ids)
         self.by_chunk = apart and {"normalizer": rules.get("normalizer"), "pre_tokenizer": pre} == _BY_CHUNK and rules["model"].get("dropout") is None
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.said: list[str | None] = []
-        self.size: list[tuple[int, int, int]] = []
-        self.links: list[list[int]] = []
+        self.size, self.links = np.zeros((1 << 12, 3), np.int32), np.zeros(1 << 14, np.int64)
+        self.at, self.used = np.zeros(1 << 12, np.int64), 0
 
     def chunks(self, text: str) -> list[str]:
         if not self.by_chunk:
@@ -79,33 +87,73 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> None:
         """Align new chunks. One whose tokens are not its bytes says None."""
-        coded = self.a.encode_batch(chunks, add_special_tokens=False)
-        for chunk, e in zip(chunks, coded, strict=True):
-            a, b = e.ids, self.b.ids_of(chunk.replace(" ", SPACE))
-            said, size, links = self.align(chunk.encode(), a, b)
-            self.known[chunk] = len(self.said)
-            self.said.append(said)
-            self.size.append(size)
-            self.links.append(links)
-
-    def align(self, data: bytes, a: list[int], b: list[int]) -> tuple[str | None, tuple[int, int, int], list[int]]:
-        of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(of_a) != data or b"".join(of_b) != data:
-            return None, (0, 0, 0), []
-        groups, links = [], []
-        i = j = at_a = at_b = first_a = first_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += len(of_a[i])
-                i += 1
-            else:
-                at_b += len(of_b[j])
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                links.append(b[j - 1] << 32 | a[i - 1])
-                first_a, first_b = i, j
-        return ";".join(groups), (len(a), len(b), len(groups)), links
+        plain = [c for c in chunks if self.by_chunk and _PLAIN.fullmatch(c)]
+        have = set(plain)
+        for at in range(0, len(plain), 4096):
+            self._align(plain[at : at + 4096])
+        for c in chunks:
+            if c not in have:
+                ids = self.a.encode(c, add_special_tokens=False).ids, self.b.ids_of(c.replace(" ", SPACE))
+                self._store([c], *(np.array(x, np.int64) for x in ids))
+
+    def _align(self, chunks: list[str]) -> None:
+        """Chunks that begin with white space and end without are tokenised one behind the other."""
+        text = " ." + "".join(chunks)
+        a, b = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), np.array(self.library.encode(text[1:]), np.int64)
+        a, b = (x[np.searchsorted(np.cumsum(n[x]), 2) + 1 :] for x, n in ((a, self.len_a), (b, self.len_b)))
+        self._store(chunks, a, b)
+
+    def _store(self, chunks: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Take in chunks with the ids of their joined text."""
+        data = [c.encode() for c in chunks]
+        whole = b"".join(data)
+        if not (b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))):
+            if len(chunks) == 1:
+                return self._append(chunks, [None], np.zeros((1, 3), np.int64), np.empty(0, np.int64))
+            for c in chunks:
+                self._align([c])
+            return None
+        end_a, end_b, end = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]), np.cumsum([len(x) for x in data])
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        last_a, last_b = np.isin(end_a, common, assume_unique=True), np.isin(end_b, common, assume_unique=True)
+        group = np.concatenate([np.searchsorted(common, end_a) * 2, np.searchsorted(common, end_b) * 2 + 1])
+        order = np.argsort(group, kind="stable")
+        kind, ids = np.concatenate([last_a.astype(np.int8), last_b + np.int8(2)])[order].tolist(), np.concatenate([a, b])[order].tolist()
+        parts = [self.text[k][i] for k, i in zip(kind, ids, strict=True)]
+        n = np.diff(np.stack([np.searchsorted(x, end, "right") for x in (end_a, end_b, common)], 1), axis=0, prepend=0)
+        cut = np.cumsum(n[:, 0] + n[:, 1]).tolist()
+        said = ["".join(parts[x:y])[:-1] for x, y in zip([0, *cut], cut, strict=False)]
+        return self._append(chunks, said, n, b[last_b] << 32 | a[last_a])
+
+    def _append(self, chunks: list[str], said: list, n: np.ndarray, links: np.ndarray) -> None:
+        first = len(self.said)
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.said += said
+        while len(self.at) < len(self.said):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while len(self.links) < self.used + len(links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.at[first : len(self.said)], self.size[first : len(self.said)] = self.used + np.cumsum(n[:, 2]) - n[:, 2], n
+        self.links[self.used : self.used + len(links)] = links
+        self.used += len(links)
+
+    def aligned(self, texts: list[list[str]]) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
+        """Of texts in known chunks: numbers of tokens and groups, digests, links."""
+        numbers, digests, links = np.zeros((len(texts), 3), np.int64), [], []
+        for k, t in enumerate(texts):
+            at = list(map(self.known.__getitem__, t))
+            said = list(map(self.said.__getitem__, at))
+            if not at or None in said:
+                digests.append("")
+                links.append(np.empty(0, np.int64))
+                continue
+            digests.append(hashlib.sha256(";".join(said).encode()).hexdigest())
+            at = np.array(at)
+            size = self.size[at]
+            numbers[k] = size.sum(0, dtype=np.int64)
+            n = size[:, 2].astype(np.int64)
+            links.append(self.links[np.repeat(self.at[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        return numbers, digests, links
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -171,26 +219,21 @@ def postings(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for b in text_slices(batches):
             texts = [al.chunks(" " + t) if t else [] for t in b.column("text").to_pylist()]
             new = {c for t in texts for c in t if c not in al.known}
-            if len(al.said) + len(new) > CHUNKS and al.said:
+            if (len(al.said) + len(new) > CHUNKS or al.used > MOST_LINKS) and al.said:
                 al._reset()
                 new = {c for t in texts for c in t}
             al.learn(sorted(new))
-            for i, t in zip(b.column("doc_id").to_pylist(), texts, strict=True):
-                at = [al.known[c] for c in t]
-                said = [al.said[k] for k in at]
-                if None in said:
-                    at, said = [], []
+            for i, n, h, x in zip(b.column("doc_id").to_pylist(), *al.aligned(texts), strict=True):
                 ids.append(i)
-                sizes.append(tuple(map(sum, zip(*(al.size[k] for k in at), strict=True))) or (0, 0, 0))
-                digests.append(hashlib.sha256(";".join(said).encode()).hexdigest() if at else "")
-                held.append(np.array([x for k in at for x in al.links[k]], np.int64))
-                links += len(held[-1])
+                sizes.append(n)
+                digests.append(h)
+                held.append(x)
+                links += len(x)
                 if links >= BLOCK_LINKS or len(ids) >= BLOCK_DOCS:
                     yield flush()
             for c in new:
                 if len(c) > LONG:  # said once; its place in the lists goes with the next reset
-                    k = al.known.pop(c)
-                    al.said[k], al.links[k] = "", []
+                    al.said[al.known.pop(c)] = ""
         if ids:
             yield flush()
 

@@ -107,6 +107,7 @@ def test_alignment(docs, odd, library, scratch, monkeypatch, limits):
     for name, x in zip(("BLOCK_LINKS", "BLOCK_DOCS", "CHUNKS", "PIECE_BYTES"), limits, strict=True):
         monkeypatch.setattr(alignment, name, x)
     alignment._LOADED.clear()
+    assert alignment.aligner(alignment.path_a(), alignment.model_path()).by_chunk
     d = odd.select("doc_id", "text").union(docs.select("doc_id", "text").limit(60))
     given = [tuple(r) for r in d.collect()]
     got = alignment.align(d.selectExpr("*", "1 AS code", "2 AS bucket"), scratch)
