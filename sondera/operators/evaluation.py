@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,29 +17,38 @@ PASSAGES = 100_000
 
 
 def gold_by_containment(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, doc_id): documents that contain a passage. One pass over the texts with an automaton of all passages."""
+    """(query_id, doc_id): documents that contain a passage, by an automaton of the passages. Beyond PASSAGES of them each block of
+    passages is a pass over the texts of its own."""
     import ahocorasick
 
     spark, schema = docs.sparkSession, pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64())])
-    p = passages.select("query_id", "text").where("length(text) > 0").limit(PASSAGES + 1).collect()
-    if len(p) > PASSAGES:
-        raise ValueError(f"more than {PASSAGES} passages; split them")
-    by_text: dict[str, list[int]] = {}
-    for r in p:
-        by_text.setdefault(r["text"], []).append(r["query_id"])
-    shared = spark.sparkContext.broadcast(by_text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = ahocorasick.Automaton()
-        for text, ids in shared.value.items():
-            a.add_word(text, ids)
-        a.make_automaton()
-        for b in batches:
-            found = [(q, d) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t and len(a) for q in sorted({i for _, ids in a.iter(t) for i in ids})]
-            q, d = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(q), pa.int64()), pa.array(list(d), pa.int64())], schema=schema)
+    def found_in(by_text: dict[str, list[int]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(by_text)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a = ahocorasick.Automaton()
+            for text, ids in shared.value.items():
+                a.add_word(text, ids)
+            a.make_automaton()
+            for b in batches:
+                found = [(q, d) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t and len(a) for q in sorted({i for _, ids in a.iter(t) for i in ids})]
+                q, d = zip(*found, strict=True) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(list(q), pa.int64()), pa.array(list(d), pa.int64())], schema=schema)
+
+        return docs.select("doc_id", "text").mapInArrow(run, "query_id long, doc_id long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "query_id long, doc_id long")
+    parts: list[DataFrame] = []
+    by_text: dict[str, list[int]] = {}
+    for r in passages.select("query_id", "text").where("length(text) > 0").toLocalIterator():
+        if r["text"] not in by_text and len(by_text) == PASSAGES:
+            parts.append(found_in(by_text))
+            by_text = {}
+        by_text.setdefault(r["text"], []).append(r["query_id"])
+    parts.append(found_in(by_text))
+    if len(parts) == 1:
+        return parts[0]
+    return functools.reduce(DataFrame.union, parts).distinct()  # a question with passages in two blocks
 
 
 def per_query(hits: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
@@ -103,6 +113,39 @@ def bootstrap(a: DataFrame, b: DataFrame, metric: str, draws: int = 10_000, seed
     return j.groupBy("_one").applyInPandas(run, "low double, high double")
 
 
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Adds no: 0, 1, ... in the order of the MD5 of the key, then the key; no task sees all rows."""
+    h = F.md5(F.col(key).cast("string"))
+    df = df.withColumns({"_h": h, "_b": F.substring(h, 1, 2)})
+    before = df.groupBy("_b").agg(F.count("*").alias("_n"))  # 256 rows at most
+    before = before.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    return df.withColumn("no", own - 1).join(before, "_b").withColumn("no", (F.col("no") + F.col("_before")).cast("long")).drop("_h", "_b", "_before")
+
+
+def bootstrap_interval(a: DataFrame, b: DataFrame, metric: str, draws: int = 10_000, seed: int = 7) -> DataFrame:
+    """(n, low, high): 95 % interval of the mean difference by a paired bootstrap over queries.
+
+    Position p of draw r takes the question numbered by a hash of (seed, r, p), so any engine repeats the draws and any task
+    can make its part of them; differences are summed as integers of 1e-9, draw by draw. No questions give no row; null metrics
+    are left out.
+    """
+    j = a.select("query_id", F.col(metric).alias("x")).join(b.select("query_id", F.col(metric).alias("y")), "query_id").where("x IS NOT NULL AND y IS NOT NULL")
+    d = numbered(j.select("query_id", F.round((F.col("y") - F.col("x")) * 1e9).cast("long").alias("d")), "query_id").select("no", "d")
+    n = d.count()
+    spark = d.sparkSession
+    if not n:
+        return spark.createDataFrame([], "n long, low double, high double")
+    of = lambda *x: F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(y).cast("string") if isinstance(y, str) else y for y in x))), 1, 8), 16, 10).cast("long")
+    drawn = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
+    drawn = drawn.select("draw", (of(F.lit(str(seed)), "draw", "pos") % n).alias("no"))
+    means = drawn.join(d, "no").groupBy("draw").agg(F.sum("d").alias("s"))
+    order = F.row_number().over(Window.orderBy("s", "draw"))  # a row for a draw
+    at = means.withColumn("k", order).where(F.col("k").isin(int(draws * 0.025), int(draws * 0.975)))
+    mean = lambda f: F.round(f("s") / F.lit(n) / 1e9, 6)
+    return at.agg(F.lit(n).cast("long").alias("n"), mean(F.min).alias("low"), mean(F.max).alias("high"))
+
+
 def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """Pearson correlation, null with fewer than two pairs or no variance."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")

@@ -255,6 +255,15 @@ def a25b(spark, sf):
     return ev.bootstrap(ev.per_query(bm25(spark, sf), g), ev.per_query(fused(spark, sf), g), "rr", 2000)
 
 
+@query("a25_reproducible_interval", _PAIRED + """, dn AS (SELECT row_number() OVER (ORDER BY md5(query_id::VARCHAR), query_id) - 1 AS no, round((y - x) * 1e9)::BIGINT AS d FROM jj), nn AS (SELECT count(*) AS n FROM dn),
+dr AS (SELECT r AS draw, ('0x' || substring(md5('7:' || r || ':' || p), 1, 8))::BIGINT % n AS no FROM nn, (SELECT unnest(range(10000)) AS r), LATERAL (SELECT unnest(range(n)) AS p)),
+ms AS (SELECT draw, sum(d)::BIGINT AS s FROM dr JOIN dn USING (no) GROUP BY 1), mk AS (SELECT s, row_number() OVER (ORDER BY s, draw) AS k FROM ms)
+SELECT n, round(min(s) / n / 1e9, 6) AS low, round(max(s) / n / 1e9, 6) AS high FROM mk, nn WHERE k IN (250, 9750) GROUP BY n""")
+def a25c(spark, sf):
+    g = gold(spark, sf)
+    return ev.bootstrap_interval(ev.per_query(bm25(spark, sf), g), ev.per_query(fused(spark, sf), g), "rr")
+
+
 @query("p33_outcomes", _PAIRED + "SELECT query_id, CASE WHEN y > x THEN 'improved' WHEN y < x THEN 'regressed' ELSE 'unchanged' END AS outcome FROM jj")
 def p33(spark, sf):
     g = gold(spark, sf)
