@@ -49,13 +49,15 @@ u AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY no) A
 
 @query("t26_heading_paths", "WITH " + _PATHS.rstrip(",") + " SELECT doc, page, ln AS line_no, level, array_to_string(path, ' > ') AS path FROM s WHERE level IS NOT NULL")
 def t26_paths(spark, sf):
-    x = st.under_headings(st.lines(site_pages(spark, sf)).where("level IS NOT NULL"))
-    return x.select("doc", "page", F.col("at").cast("long").alias("line_no"), "level", F.array_join("path", " > ").alias("path"))
+    x = st.headings(site_pages(spark, sf))
+    return x.select("doc", "page", F.col("at").cast("long").alias("line_no"), F.size("path").alias("level"), F.array_join("path", " > ").alias("path"))
 
 
 @query("g1_structured_units", "WITH " + _UNITS + " SELECT doc, page, unit_no, kind, array_to_string(path, ' > ') AS path, sha256(text) AS digest FROM u")
 def g1_units(spark, sf):
-    return st.units(site_pages(spark, sf)).select("doc", "page", "unit_no", "kind", F.array_join("path", " > ").alias("path"), F.sha2("text", 256).alias("digest"))
+    built(spark, sf)
+    _, keep = stored(spark, sf)
+    return keep(None, "units").select("doc", "page", "unit_no", "kind", F.array_join("path", " > ").alias("path"), F.sha2("text", 256).alias("digest"))
 
 
 _X = "chr(31)"
@@ -82,10 +84,14 @@ _REC = "WITH RECURSIVE " + _CHILDREN
 def stored(spark, sf):
     """A place for the tables of the structure, which are made once a session and read by all its queries."""
     held = Derived(spark, f"{sf}/pages.parquet", "structure")
+    done = {"units": ("pages", "headings"), "children": ("linked",)}  # read by nothing after these
 
     def keep(df, name):
+        if held.known and any(name in x for x in done.values()):
+            return df  # not read: what is made from it is stored
         if df is not None and not held.known:
             held.write(name, df)
+            held.forget(*done.get(name, ()))
         return held.read(name)
 
     return held, keep
@@ -93,7 +99,7 @@ def stored(spark, sf):
 
 def built(spark, sf):
     held, keep = stored(spark, sf)
-    out = st.hierarchy(site_pages(spark, sf), LEGAL, keep)
+    out = st.hierarchy(keep(site_pages(spark, sf), "pages"), LEGAL, keep)
     if not held.known:
         held.keep()
     return out
@@ -101,7 +107,9 @@ def built(spark, sf):
 
 @query("g3_children", _REC + " SELECT chunk_id, parent_id, c.section_id, doc, page, unit_no, hierarchy_path, previous_chunk_id, next_chunk_id, c.tokens FROM c JOIN pa USING (doc, parent_no)")
 def g3_children(spark, sf):
-    return built(spark, sf)[0].select("chunk_id", "parent_id", "section_id", "doc", "page", "unit_no", "hierarchy_path", "previous_chunk_id", "next_chunk_id", "tokens")
+    c, _, s = built(spark, sf)
+    c = c.join(s.select("section_id", "hierarchy_path"), "section_id")
+    return c.select("chunk_id", "parent_id", "section_id", "doc", "page", "unit_no", "hierarchy_path", "previous_chunk_id", "next_chunk_id", "tokens")
 
 
 @query("g3_parents", _REC + " SELECT parent_id, section_id, page_start, page_end, tokens, child_chunk_ids FROM pa")
@@ -111,7 +119,7 @@ def g3_parents(spark, sf):
 
 @query("g3_sections", _REC + " SELECT section_id, hierarchy_path, chapter, section, subsection, count(*) AS n_children, min(page) AS page_start, max(page) AS page_end, sum(tokens)::BIGINT AS tokens, min_by(chunk_id, n) AS first_chunk_id FROM c GROUP BY ALL")
 def g3_sections(spark, sf):
-    return built(spark, sf)[2].drop("doc")
+    return built(spark, sf)[2].drop("doc", "kinds")
 
 
 @query("q6_built_hierarchy", _REC + " SELECT count(*) AS n_children, count(DISTINCT chunk_id) AS n_ids, (SELECT count(*) FROM pa) AS n_parents, count(DISTINCT section_id) AS n_sections, 0::BIGINT AS n_wrong FROM c")
@@ -159,18 +167,16 @@ win AS (SELECT query_id, section_id, doc, score, rank FROM win0 WHERE rank <= 8)
 
 
 def sections(spark, sf):
-    """Chunks, their postings, the index of sections, and the sections, stored once a session."""
+    """Chunks, their postings, the postings of sections, and the sections, stored once a session."""
     c, _, s = built(spark, sf)
     _, keep = stored(spark, sf)
     held = Derived(spark, f"{sf}/pages.parquet", "sections")
     if not held.known:
         texts = c.select("doc", "page", "unit_no", "chunk_id", "section_id").join(keep(None, "units").select("doc", "page", "unit_no", "text"), ["doc", "page", "unit_no"])
         held.write("chunk", sx.chunk_postings(texts))
-        kinds = c.groupBy("section_id").agg(F.collect_set("kind").alias("kinds"))
-        held.write("sections", s.select("section_id", "doc", "hierarchy_path", "page_start").join(kinds, "section_id"))
-        held.write("section", sx.section_postings(held.read("chunk"), held.read("sections")))
+        held.write("section", sx.section_postings(held.read("chunk"), s))
         held.keep()
-    return c, held.read("chunk"), held.read("section"), held.read("sections")
+    return c, held.read("chunk"), held.read("section"), s
 
 
 def profiled(spark, sf):

@@ -40,6 +40,12 @@ class Derived:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}")
 
+    def forget(self, *names: str) -> None:
+        """Delete tables that only later ones were made from."""
+        for name in names:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def keep(self) -> None:
         """The tables are complete: from now on they are read."""
         self._held[self.key] = self.dir

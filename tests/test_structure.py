@@ -49,7 +49,7 @@ def test_heading_stack_across_pages(spark, monkeypatch, size):
     """Small blocks make many prefixes; levels are skipped and popped."""
     monkeypatch.setattr(st, "PAGES", size)
     pages = made_pages(60, 1)
-    x = st.under_headings(st.lines(spark.createDataFrame([(*p, "x", 1) for p in pages], DDL))).where("level IS NOT NULL")
+    x = st.headings(spark.createDataFrame([(*p, "x", 1) for p in pages], DDL))
     assert {(r["doc"], r["page"], r["at"]): r["path"] for r in x.collect()} == stack_paths(pages)
 
 
@@ -75,22 +75,28 @@ def test_children_parents_and_sections(spark, monkeypatch, size):
     assert len({r["chunk_id"] for r in rows}) == len(rows)
     listed = Counter(i for x in parents.values() for i in x["child_chunk_ids"])
     assert listed == Counter(r["chunk_id"] for r in rows)
-    before, no, have = None, None, 0
+    heads = {k: (x["chapter"], x["section"]) for k, x in sections.items()}
+    before, have = None, 0
     members = defaultdict(list)
     for r in rows:  # the fold, in the order of each document
         fresh = before is None or (before["doc"], before["section_id"]) != (r["doc"], r["section_id"]) or have + r["tokens"] > 1700 or have >= 1250
         assert fresh == (before is None or before["parent_id"] != r["parent_id"])
         have = r["tokens"] if fresh else have + r["tokens"]
-        near = before is not None and before["doc"] == r["doc"] and (before["chapter"], before["section"]) == (r["chapter"], r["section"])
+        near = before is not None and before["doc"] == r["doc"] and heads[before["section_id"]] == heads[r["section_id"]]
         assert r["previous_chunk_id"] == (before["chunk_id"] if near else None)
         if before is not None:
             assert before["next_chunk_id"] == (r["chunk_id"] if near else None)
         members[r["parent_id"]].append(r["chunk_id"])
         before = r
     assert {k: list(x["child_chunk_ids"]) for k, x in parents.items()} == members
+    texts = {(u["doc"], u["page"], u["unit_no"]): u["text"] for u in units}
+    joined = defaultdict(list)
+    for r in rows:
+        joined[r["parent_id"]].append(texts[order(r)])
+    assert {r["parent_id"]: r["text"] for r in st.parent_texts(st.units(df), c).collect()} == {k: "\n\n".join(x) for k, x in joined.items()}
     assert {k: x["n_children"] for k, x in sections.items()} == Counter(r["section_id"] for r in rows)
     assert all(parents[r["parent_id"]]["section_id"] == r["section_id"] for r in rows)
-    assert any("Unlabelled pages 1-5" in r["hierarchy_path"] for r in rows) and any("Unlabelled pages 6-10" in r["hierarchy_path"] for r in rows)
+    assert all(any(f"Unlabelled pages {x}" in r["hierarchy_path"] for r in sections.values()) for x in ("1-5", "6-10"))
 
 
 def test_nothing_gives_nothing(spark):
