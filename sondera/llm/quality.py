@@ -1,7 +1,7 @@
 """Quality rules: fixed rules, then robust multivariate outliers.
 
 Minimum-covariance-determinant estimates for each language and source, by deterministic concentration steps over
-all rows; a document is rejected if its transformed statistics are far by Mahalanobis distance.
+all rows; small groups lean on their language. A document is rejected if its transformed statistics are far by Mahalanobis distance.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ UNIT = 4096
 SUBSET, STEPS = 0.75, 12
 #: Groups whose estimates are broadcast at most (some 400 bytes each); more are joined.
 FEW_GROUPS = 50_000
-#: Rows that a group needs for an estimate of its own.
-MIN_GROUP = 60
+#: Rows' worth of its language that a source's estimate takes in, and of all rows that a language's does.
+PRIOR = 60.0
 #: A row is rejected if so unlikely under the chi-square law of the distance, times the slack for heavy tails.
 ALPHA, SLACK = 1e-5, 3.0
 P = len(FEATURES)
@@ -100,24 +100,30 @@ def with_features(c: DataFrame) -> DataFrame:
     return c.withColumns({"base_failed": failed, **{k: F.round(v * UNIT).cast("long") for k, v in x.items()}})
 
 
-def beside(t: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def beside(t: DataFrame, small: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
     """t with the columns of a table of groups, which is broadcast if it is known to be small: rows needn't be dealt by group."""
-    return t.join(F.broadcast(small) if small.count() <= FEW_GROUPS else small, on, how)
+    return t.join(F.broadcast(small) if few else small, on, how)
 
 
-def grouped(t: DataFrame, min_group: int, scratch: Scratch) -> DataFrame:
-    """Adds g, the group that a row is judged in: its language and source; if that has under min_group rows, the small
-    groups of its language together; if these are few too, all that is left; null if even that is too few."""
+def grouped(t: DataFrame) -> DataFrame:
+    """Adds g, the language and source of a row, and l, its language; null is a value of its own."""
     key = lambda *c: F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("0")) for x in c))
-    t = t.withColumns({"_fine": key("lang", "source"), "_lang": key("lang")})
-    fine = t.where(~F.col("base_failed")).groupBy("_fine", "_lang").agg(F.count("*").alias("n"))
-    fine = fine.withColumn("_small", F.when(F.col("n") < min_group, F.col("n")).otherwise(0))
-    fine = fine.withColumn("_of_lang", F.sum("_small").over(Window.partitionBy("_lang")))
-    g = F.when(F.col("n") >= min_group, F.concat(F.lit("s"), "_fine")).when(F.col("_of_lang") >= min_group, F.concat(F.lit("l"), "_lang")).otherwise("r")
-    fine = fine.withColumn("g", g)
-    fine = fine.withColumn("rest", F.sum("n").over(Window.partitionBy("g")))
-    fine = scratch.cut(fine.select("_fine", F.when((F.col("g") != "r") | (F.col("rest") >= 4 * P), F.col("g")).alias("g")), "groups")
-    return beside(t, fine, ["_fine"], "left").drop("_fine", "_lang")
+    return t.withColumns({"g": key("lang", "source"), "l": key("lang")})
+
+
+def leaning(m: DataFrame, prior: float) -> DataFrame:
+    """Moments (g, l, start, n, sums) of each group with `prior` more rows of its language's mean moments, which in turn
+    have as many rows of the mean moments of all: an estimate of n rows is its own by n / (n + prior), at every n."""
+    names = [c for c in m.columns if c not in ("g", "l", "start")]
+    exact = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in names]
+    lang = m.groupBy("l", "start").agg(*exact)
+    every = lang.groupBy("start").agg(*exact)
+    mean = lambda c: F.col(f"{c}").cast("double") / F.col("n").cast("double")
+    every = every.select("start", *(mean(c).alias(f"a_{c}") for c in names))
+    lang = lang.join(F.broadcast(every), "start")  # a row for each start
+    of_lang = lambda c: (F.col(c).cast("double") + prior * F.col(f"a_{c}")) / (F.col("n").cast("double") + prior)
+    lang = lang.select("l", "start", *(of_lang(c).alias(f"l_{c}") for c in names))
+    return m.join(lang, ["l", "start"]).select("g", "l", "start", *((F.col(c).cast("double") + prior * F.col(f"l_{c}")).alias(c) for c in names))
 
 
 def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +131,7 @@ def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        col = {f: b.column(f).to_numpy(zero_copy_only=False) for f in b.schema.names if f not in ("g", "start")}
+        col = {f: b.column(f).to_numpy(zero_copy_only=False) for f in b.schema.names if f not in ("g", "l", "start")}
         n = np.maximum(col["n"], 1.0)
         m = np.stack([col[f"s{i}"].astype(np.float64) / UNIT / n for i in range(P)], 1)
         cov = np.zeros((b.num_rows, P, P))
@@ -135,12 +141,12 @@ def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cov[:, range(P), range(P)] = np.maximum(cov[:, range(P), range(P)], 0) + floor  # a ridge: a constant statistic keeps its least scale
         chol = np.linalg.cholesky(cov)
         inv = np.linalg.inv(chol)
-        out = {"g": b.column("g"), "start": b.column("start"), "det": 2 * np.log(chol[:, range(P), range(P)]).sum(1)}
+        out = {"g": b.column("g"), "l": b.column("l"), "start": b.column("start"), "det": 2 * np.log(chol[:, range(P), range(P)]).sum(1)}
         out |= {f"m{i}": m[:, i] for i in range(P)} | {f"w{i}_{j}": inv[:, i, j] for i, j in _PAIRS}
         yield pa.RecordBatch.from_pydict(out)
 
 
-_PARAMS = "g string, start int, det double, " + ", ".join([f"m{i} double" for i in range(P)] + [f"w{i}_{j} double" for i, j in _PAIRS])
+_PARAMS = "g string, l string, start int, det double, " + ", ".join([f"m{i} double" for i in range(P)] + [f"w{i}_{j} double" for i, j in _PAIRS])
 
 
 def distance(xs: list[Column]) -> Column:
@@ -166,40 +172,54 @@ def in_bins(d: DataFrame) -> DataFrame:
 
 def concentrate(d: DataFrame, share: float) -> DataFrame:
     """Moments of the `share` of each (g, start)'s rows with the least d: one pass with partial sums by bin, no sort of rows."""
-    bins = moments(in_bins(d), "g", "start", "bin")
+    bins = moments(in_bins(d), "g", "l", "start", "bin")
     w = Window.partitionBy("g", "start")
     bins = bins.withColumns({"_before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "_all": F.sum("n").over(w)})
     kept = bins.where(F.col("_before") < share * F.col("_all"))
-    return kept.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in bins.columns if c not in ("g", "start", "bin", "_before", "_all")))
+    return kept.groupBy("g", "l", "start").agg(*(F.sum(c).alias(c) for c in bins.columns if c not in ("g", "l", "start", "bin", "_before", "_all")))
 
 
-def middle(d: DataFrame) -> DataFrame:
-    """(g, start, mid): median of d by bins (their upper ends)."""
-    w = Window.partitionBy("g", "start")
-    n = in_bins(d).groupBy("g", "start", "bin").agg(F.count("*").alias("n"))
-    n = n.withColumns({"_upto": F.sum("n").over(w.orderBy("bin")), "_all": F.sum("n").over(w)})
-    return n.where(2 * F.col("_upto") >= F.col("_all")).groupBy("g", "start").agg(F.exp((F.min("bin") + 1) / 32.0).alias("mid"))
+def middle(d: DataFrame, prior: float, scratch: Scratch, name: str) -> DataFrame:
+    """(g, mid): median of d by bins (their upper ends); as moments do, its logarithm leans on the language's and that on all rows'."""
+    bins = scratch.cut(in_bins(d).groupBy("g", "l", "bin").agg(F.count("*").alias("n")), name)
+
+    def median(*by: str) -> DataFrame:
+        w = Window.partitionBy(*by)
+        n = bins.groupBy(*by, "bin").agg(F.sum("n").alias("n")).withColumns({"_upto": F.sum("n").over(w.orderBy("bin")), "_all": F.sum("n").over(w)})
+        return n.where(2 * F.col("_upto") >= F.col("_all")).groupBy(*by).agg(F.first("_all").cast("double").alias("n"), ((F.min("bin") + 1) / 32.0).alias("mid"))
+
+    every = bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
+    w = Window.partitionBy("one")  # a row a bin: a thousand or two, whatever the rows
+    every = every.withColumns({"_upto": F.sum("n").over(w.orderBy("bin")), "_all": F.sum("n").over(w)})
+    every = every.where(2 * F.col("_upto") >= F.col("_all")).groupBy("one").agg(((F.min("bin") + 1) / 32.0).alias("of_all"))
+    lean = lambda up: (F.col("n") * F.col("mid") + prior * F.col(up)) / (F.col("n") + prior)
+    lang = median("l").withColumn("one", F.lit(1)).join(F.broadcast(every), "one").select("l", lean("of_all").alias("of_lang"))
+    return median("g", "l").join(lang, "l").select("g", F.exp(lean("of_lang")).alias("mid"))
 
 
-def mcd(t: DataFrame, scratch: Scratch) -> DataFrame:
-    """Reweighted MCD estimate of each group g of t: parameter columns and `mid`, the median squared distance.
+def mcd(t: DataFrame, scratch: Scratch, prior: float = PRIOR) -> DataFrame:
+    """Reweighted MCD estimate of each group g of t(g, l, statistics): parameter columns and `mid`, the median squared distance.
 
-    Deterministic starts (medians with MAD scales; means of all rows with their covariance), concentration steps until no
-    determinant falls, the start of the smaller determinant (ties: the first), then one reweighting step. All sums are
-    over all rows, of integers, so estimates don't depend on partitions. A subset ends with a whole bin of distances.
+    Deterministic starts (the group's medians with its language's MAD scales; means of all its rows with their covariance),
+    concentration steps until no determinant falls, the start of the smaller determinant (ties: the first), then one
+    reweighting step. Every estimate leans on its language's and on all rows' by `prior` rows, so that a group of any
+    size has one of its own. All sums are over all rows, of integers, so estimates don't depend on partitions. A
+    subset ends with a whole bin of distances.
     """
     xs = [F.col(x) for x in FEATURES]
     med = scratch.cut(t.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 10000).alias(f"c{i}") for i, x in enumerate(xs))), "medians")
-    dev = beside(t, med, ["g"]).select("g", *(F.abs(x - F.col(f"c{i}")).alias(f"a{i}") for i, x in enumerate(xs)))
-    mad = dev.groupBy("g").agg(*((F.percentile_approx(f"a{i}", 0.5, 10000) * 1.4826).alias(f"a{i}") for i in range(P)))
-    start = scratch.cut(med.join(mad, "g"), "starts")
+    few = med.count() <= FEW_GROUPS  # every table of groups below has a row, or two, for each
+    fitted = lambda m, name: scratch.cut(leaning(scratch.cut(m, f"moments-{name}"), prior).mapInArrow(fit, _PARAMS), f"params-{name}")
+    dev = beside(t, med, ["g"], few).select("l", *(F.abs(x - F.col(f"c{i}")).alias(f"a{i}") for i, x in enumerate(xs)))
+    mad = scratch.cut(dev.groupBy("l").agg(*((F.percentile_approx(f"a{i}", 0.5, 10000) * 1.4826).alias(f"a{i}") for i in range(P))), "scales")
     z = sum((F.pow((x - F.col(f"c{i}")) / F.greatest(F.col(f"a{i}"), F.lit(s * UNIT)), 2) for i, (x, s) in enumerate(zip(xs, FEATURES.values(), strict=True))), F.lit(0.0))
-    robust = concentrate(beside(t, start, ["g"]).select("g", *FEATURES, F.lit(0).alias("start"), z.alias("d")), 0.5)
-    plain = moments(t.withColumn("start", F.lit(1)), "g", "start")
-    params = scratch.cut(robust.unionByName(plain).mapInArrow(fit, _PARAMS), "params-0")
+    start = beside(beside(t, med, ["g"], few), mad, ["l"], few)
+    robust = concentrate(start.select("g", "l", *FEATURES, F.lit(0).alias("start"), z.alias("d")), 0.5)
+    plain = moments(t.withColumn("start", F.lit(1)), "g", "l", "start")
+    params = fitted(robust.unionByName(plain), "0")
     for k in range(1, STEPS + 1):
-        d = beside(t, params, ["g"]).withColumn("d", distance(xs))
-        after = scratch.cut(concentrate(d, SUBSET).mapInArrow(fit, _PARAMS), f"params-{k}")
+        d = beside(t, params.drop("l"), ["g"], few).withColumn("d", distance(xs))
+        after = fitted(concentrate(d, SUBSET), str(k))
         falls = after.select("g", "start", F.col("det").alias("_new")).join(params, ["g", "start"]).where(F.col("_new") < F.col("det") - 1e-6)
         # the first step goes from half of the rows, or all, to the subset; only from then on determinants compare
         stop, params = k > 1 and falls.isEmpty(), after
@@ -207,26 +227,29 @@ def mcd(t: DataFrame, scratch: Scratch) -> DataFrame:
             break
     params = params.groupBy("g").agg(F.min_by(F.struct(*params.columns), F.struct("det", "start")).alias("p")).select("p.*")
     params = scratch.cut(params, "best")
-    d = beside(t, params, ["g"]).withColumn("d", distance(xs))
-    mid = scratch.cut(middle(d), "near")
-    near = beside(d, mid, ["g", "start"]).where(F.col("d") <= F.col("mid") * (chi2(0.975) / chi2(0.5)))
-    params = scratch.cut(moments(near, "g", "start").mapInArrow(fit, _PARAMS), "final")
-    mid = middle(beside(t, params, ["g"]).withColumn("d", distance(xs)))
-    return scratch.cut(params.join(mid, ["g", "start"]), "estimates")
+    d = beside(t, params.drop("l"), ["g"], few).withColumn("d", distance(xs))
+    mid = scratch.cut(middle(d, prior, scratch, "bins"), "near")
+    near = beside(d, mid, ["g"], few).where(F.col("d") <= F.col("mid") * (chi2(0.975) / chi2(0.5)))
+    # a small group may have no row so near: it has its language's moments alone
+    m = params.select("g", "l", F.lit(0).alias("start")).join(moments(near, "g"), "g", "left").na.fill(0)
+    params = fitted(m, "final").drop("l", "start", "det")
+    mid = middle(beside(t, params, ["g"], few).withColumn("d", distance(xs)), prior, scratch, "last-bins")
+    return scratch.cut(params.join(mid, "g"), "estimates")
 
 
-def judge(docs: DataFrame, scratch: Scratch, alpha: float = ALPHA, slack: float = SLACK, min_group: int = MIN_GROUP) -> DataFrame:
-    """Counts, base_failed, distance2 (null where there is no estimate) and kept, a row for each row of docs.
+def judge(docs: DataFrame, scratch: Scratch, alpha: float = ALPHA, slack: float = SLACK, prior: float = PRIOR) -> DataFrame:
+    """Counts, base_failed, distance2 (null in a group without a row that passes the fixed rules) and kept, a row for each row of docs.
 
     Rows that fail the fixed rules are out and take no part in the estimates. Null lang or source is a value of
-    its own. A group too small for an estimate even when pooled keeps its rows. Rows of equal statistics, repeated rows
+    its own. Every group of language and source has an estimate: it leans on that of its language by n / (n + prior), so
+    that no size switches to another rule. Rows of equal statistics, repeated rows
     among them, have equal verdicts; a distance equal to the limit is kept. Long texts are counted whole. An empty table
     gives no rows; other columns, whatever their names, are not read.
     """
     t = scratch.cut(with_features(counts(docs)), "counts")
-    t = scratch.cut(grouped(t, min_group, scratch), "grouped")
-    est = mcd(t.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES), scratch)
-    d = beside(t, est, ["g"], "left").withColumn("distance2", distance([F.col(x) for x in FEATURES]) * (chi2(0.5) / F.col("mid")))
+    t = grouped(t)
+    est = mcd(t.where(~F.col("base_failed")).select("g", "l", *FEATURES), scratch, prior)
+    d = beside(t, est, ["g"], est.count() <= FEW_GROUPS, "left").withColumn("distance2", distance([F.col(x) for x in FEATURES]) * (chi2(0.5) / F.col("mid")))
     far = F.coalesce(F.col("distance2") > slack * chi2(1 - alpha), F.lit(False))
     return d.withColumn("kept", ~F.col("base_failed") & ~far).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2", "lang", "source", "g", *((F.col(x) / UNIT).alias(x) for x in FEATURES)

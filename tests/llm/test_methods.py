@@ -146,19 +146,29 @@ def test_every_shard_holds_its_quota_of_every_source(spark, sf, tmp_path):
     assert sorted(map(str, out)) == sorted(map(str, mixing.op5_mixing(spark, str(tmp_path)).collect()))
 
 
-def by_brute_force(x, floor):
-    """Reweighted minimum covariance determinant of rows x, as quality.mcd states it, in NumPy: squared distances."""
+def by_brute_force(groups, floor, prior):
+    """Reweighted minimum covariance determinant as quality.mcd states it, in NumPy, of {(language, source): rows}: squared distances."""
     from sondera.llm import quality
 
-    p = x.shape[1]
-
-    def fit(rows):
-        m = rows.mean(0)
-        c = rows.T @ rows / len(rows) - np.outer(m, m)
-        c[range(p), range(p)] = np.maximum(c[range(p), range(p)], 0) + floor**2
-        return m, c
-
-    def far(m, c):
+    p = len(floor)
+    moments = lambda x: (len(x), x.sum(0), x.T @ x)
+
+    def fit(kept):
+        """{group: kept rows} -> {group: (centre, covariance)}, each leaning on its language, and that on all."""
+        own = {g: moments(x) for g, x in kept.items()}
+        add = lambda ms: [sum(m[i] for m in ms) for i in range(3)]
+        every = add(own.values())
+        lang = {k: add([m for g, m in own.items() if g[0] == k]) for k in {g[0] for g in own}}
+        lang = {k: [(v + prior * a / every[0]) / (m[0] + prior) for v, a in zip(m, every, strict=True)] for k, m in lang.items()}
+        out = {}
+        for g, m in own.items():
+            n, s, q = (v + prior * v2 for v, v2 in zip(m, lang[g[0]], strict=True))
+            c = q / n - np.outer(s / n, s / n)
+            c[range(p), range(p)] = np.maximum(c[range(p), range(p)], 0) + floor**2
+            out[g] = (s / n, c)
+        return out
+
+    def far(x, m, c):
         y = np.linalg.solve(np.linalg.cholesky(c), (x - m).T)
         return (y * y).sum(0)
 
@@ -169,49 +179,72 @@ def by_brute_force(x, floor):
         return np.array([(b < v).sum() < share * len(b) for v in b])
 
     def middle(d):
-        b = np.sort(bins(d))
-        return np.exp((b[int(np.ceil(len(b) / 2)) - 1] + 1) / 32)
-
-    med = np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
-    mad = np.sort(np.abs(x - med), axis=0)[(len(x) + 1) // 2 - 1] * 1.4826
-    starts = [fit(x[closest((((x - med) / np.maximum(mad, floor)) ** 2).sum(1), 0.5)]), fit(x)]
+        log = lambda v: (np.sort(bins(v))[int(np.ceil(len(v) / 2)) - 1] + 1) / 32
+        every, lang = np.concatenate(list(d.values())), {}
+        for k in {g[0] for g in d}:
+            v = np.concatenate([y for g, y in d.items() if g[0] == k])
+            lang[k] = (len(v) * log(v) + prior * log(every)) / (len(v) + prior)
+        return {g: np.exp((len(v) * log(v) + prior * lang[g[0]]) / (len(v) + prior)) for g, v in d.items()}
+
+    median = lambda x: np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
+    med = {g: median(x) for g, x in groups.items()}
+    mad = {k: median(np.concatenate([np.abs(x - med[g]) for g, x in groups.items() if g[0] == k])) * 1.4826 for k in {g[0] for g in groups}}
+    starts = [fit({g: x[closest((((x - med[g]) / np.maximum(mad[g[0]], floor)) ** 2).sum(1), 0.5)] for g, x in groups.items()}), fit(groups)]
+    det = lambda s, g: np.linalg.slogdet(s[g][1])[1]
     for k in range(quality.STEPS):
-        after = [fit(x[closest(far(*s), quality.SUBSET)]) for s in starts]
-        falls = [np.linalg.slogdet(a[1])[1] < np.linalg.slogdet(s[1])[1] - 1e-6 for a, s in zip(after, starts, strict=True)]
+        after = [fit({g: x[closest(far(x, *s[g]), quality.SUBSET)] for g, x in groups.items()}) for s in starts]
+        falls = [det(a, g) < det(s, g) - 1e-6 for a, s in zip(after, starts, strict=True) for g in groups]
         starts = after
         if k and not any(falls):
             break
-    m, c = min(starts, key=lambda s: np.linalg.slogdet(s[1])[1])
-    d = far(m, c)
-    m, c = fit(x[d <= middle(d) * quality.chi2(0.975) / quality.chi2(0.5)])
-    d = far(m, c)
-    return d * quality.chi2(0.5) / middle(d)
+    best = {g: min(starts, key=lambda s: det(s, g))[g] for g in groups}
+    d = {g: far(x, *best[g]) for g, x in groups.items()}
+    mid = middle(d)
+    last = fit({g: x[d[g] <= mid[g] * quality.chi2(0.975) / quality.chi2(0.5)] for g, x in groups.items()})
+    d = {g: far(x, *last[g]) for g, x in groups.items()}
+    mid = middle(d)
+    return {g: v * quality.chi2(0.5) / mid[g] for g, v in d.items()}
 
 
-def test_quality_verdicts_by_brute_force(spark, docs, scratch):
+def test_quality_verdicts_by_brute_force(spark, docs, scratch, prior=5.0):
     from sondera.llm import quality
 
-    out = quality.judge(docs, scratch, min_group=30).collect()
+    out = quality.judge(docs, scratch, prior=prior).collect()
     limit, floor = quality.SLACK * quality.chi2(1 - quality.ALPHA), np.array(list(quality.FEATURES.values()))
-    assert quality.STEPS > 4
     groups = {}
     for r in out:
-        if not r["base_failed"] and r["g"] is not None:
-            groups.setdefault(r["g"], []).append(r)
+        if not r["base_failed"]:
+            groups.setdefault((r["lang"], r["source"]), []).append(r)
+    assert len(groups) > 20
+    want = by_brute_force({g: np.array([[r[c] for c in quality.FEATURES] for r in v]) for g, v in groups.items()}, floor, prior)
     same = near = rejected = 0
-    for g in groups.values():
-        d = by_brute_force(np.array([[r[c] for c in quality.FEATURES] for r in g]), floor)
-        for r, v in zip(g, d, strict=True):
-            near += abs(v - r["distance2"]) > 1e-3 * v + 1e-6
+    for g, v in groups.items():
+        for r, d in zip(v, want[g], strict=True):
+            near += abs(d - r["distance2"]) > 1e-3 * d + 1e-6
             same += 1
-            if abs(v / limit - 1) > 1e-3:
-                assert r["kept"] == (v <= limit)
+            if abs(d / limit - 1) > 1e-3:
+                assert r["kept"] == (d <= limit)
             rejected += not r["kept"]
     assert same > 100 and near == 0 and rejected
-    again = quality.judge(docs.repartition(7), scratch, min_group=30).collect()
+    again = quality.judge(docs.repartition(7), scratch, prior=prior).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))  # exact sums: no verdict hangs on partitions
 
 
+def test_quality_by_language_and_source(spark, scratch):
+    """Two large sources of one language that differ: a row usual in one is an outlier of the other; a lone row is kept."""
+    from sondera.llm import quality
+
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    text = lambda n: "\n".join(" ".join(word(n) for _ in range(12)) for _ in range(8))
+    rows = [(i, text(4), "en", "a") for i in range(200)] + [(1000 + i, text(12), "en", "b") for i in range(200)]
+    rows += [(2000, text(12), "en", "a"), (2001, text(4), "en", "b"), (2002, text(4), "en", "lone")]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), scratch).collect()
+    kept = {r["doc_id"]: r["kept"] for r in out}
+    assert not kept[2000] and not kept[2001] and kept[2002]
+    assert sum(kept[i] for i in range(200)) > 195 and sum(kept[1000 + i] for i in range(200)) > 195
+
+
 def test_repeated_words_of_more_words_than_a_key_holds():
     from sondera.llm import quality
 

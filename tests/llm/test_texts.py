@@ -145,9 +145,9 @@ def test_mcd_finds_planted_outliers(spark, scratch):
     rng = np.random.default_rng(3)
     x = rng.normal(0, [0.1, 0.2, 0.12, 0.15, 0.6], (900, 5))
     x[:120] += 6  # a cluster that would draw means and covariances
-    rows = [(i, "g", *(round(float(y) * quality.UNIT) for y in v)) for i, v in enumerate(x)]
-    t = spark.createDataFrame(rows, "i int, g string, " + ", ".join(f"{c} long" for c in quality.FEATURES))
-    est = quality.mcd(t.select("g", *quality.FEATURES), scratch)
+    rows = [(i, "g", "l", *(round(float(y) * quality.UNIT) for y in v)) for i, v in enumerate(x)]
+    t = spark.createDataFrame(rows, "i int, g string, l string, " + ", ".join(f"{c} long" for c in quality.FEATURES))
+    est = quality.mcd(t.select("g", "l", *quality.FEATURES), scratch)
     d = t.join(est, "g").withColumn("d", quality.distance([t[c] for c in quality.FEATURES]) * (quality.chi2(0.5) / est["mid"]))
     far = {r["i"] for r in d.where(d["d"] > 3 * quality.chi2(1 - 1e-5)).collect()}
     assert set(range(120)) <= far and len(far) < 125
