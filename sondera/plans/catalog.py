@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import assembly, corpora, more, planning, retrieval, stores, structured, vectors
+from . import assembly, corpora, more, planning, retrieval, stores, structured, vectors, versions
 from .registry import QUERIES, SQL
 from .retrieval import flagship
 
-__all__ = ["QUERIES", "SQL", "assembly", "corpora", "flagship", "more", "planning", "retrieval", "stores", "structured", "vectors"]
+__all__ = ["QUERIES", "SQL", "assembly", "corpora", "flagship", "more", "planning", "retrieval", "stores", "structured", "vectors", "versions"]

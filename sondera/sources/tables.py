@@ -84,6 +84,43 @@ def discover(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFram
     return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
+class Pointer:
+    """What readers of a folder see, as JSON in numbered files; the highest number counts.
+
+    A new state is written aside and renamed to the next number. Readers find the old state or the new one at any time,
+    also after a crash, and of two writers at once the second fails, for its number is taken.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _last(self) -> str | None:
+        found = self._fs.globStatus(self._path(f"{self.path}/pointer-*"))
+        return max((f.getPath().getName() for f in found or []), default=None)
+
+    def state(self) -> tuple[int, dict]:
+        """The number of the state and the state; 0 and an empty one before the first."""
+        last = self._last()
+        if last is None:
+            return 0, {"version": None, "history": []}
+        return int(last.removeprefix("pointer-")), json.loads(self.spark.read.text(f"{self.path}/{last}").first()["value"])
+
+    def move(self, after: int, state: dict) -> None:
+        """Make `state` the one that follows number `after`."""
+        tmp, to = self._path(f"{self.path}/.pointer-{uuid.uuid4().hex}"), self._path(f"{self.path}/pointer-{after + 1:012d}")
+        out = self._fs.create(tmp)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self._fs.exists(to) or not self._fs.rename(tmp, to):
+            self._fs.delete(tmp, False)
+            raise RuntimeError(f"another writer has followed state {after} of {self.path}")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/{name}"), True)
+
+
 class VersionedTable:
     """Immutable versions of a table below a folder, and a pointer to the one that readers see.
 
@@ -92,42 +129,96 @@ class VersionedTable:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        self._p = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(self.path).getFileSystem(conf)
-
-    def _pointer(self) -> dict:
-        p = f"{self.path}/current"
-        if not self._fs.exists(self._p(p)):
-            return {"version": None, "history": []}
-        return json.loads(self.spark.read.text(p).first()["value"])
-
-    def _point(self, state: dict) -> None:
-        tmp, to = f"{self.path}/current_tmp", f"{self.path}/current"
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(tmp)
-        self._fs.delete(self._p(to), True)
-        self._fs.rename(self._p(tmp), self._p(to))
+        self.spark, self.path, self._pointer = spark, path.rstrip("/"), Pointer(spark, path)
 
     @property
     def version(self) -> str | None:
-        return self._pointer()["version"]
+        return self._pointer.state()[1]["version"]
 
     def publish(self, df: DataFrame, version: str, check=None) -> None:
-        state = self._pointer()
+        n, state = self._pointer.state()
         if version in state["history"]:
             raise ValueError(f"version {version} exists")
         df.write.mode("overwrite").parquet(f"{self.path}/{version}")
         if check and not check(self.spark.read.parquet(f"{self.path}/{version}")):
-            self._fs.delete(self._p(f"{self.path}/{version}"), True)
+            self._pointer.delete(version)
             raise ValueError(f"version {version} failed its check")
-        self._point({"version": version, "history": [*state["history"], version]})
+        self._pointer.move(n, {"version": version, "history": [*state["history"], version]})
 
     def rollback(self, version: str) -> None:
-        state = self._pointer()
+        n, state = self._pointer.state()
         if version not in state["history"]:
             raise ValueError(f"no version {version}")
-        self._point(state | {"version": version})
+        self._pointer.move(n, state | {"version": version})
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.version}")
+
+
+class VersionedTables:
+    """Several tables that change together: one pointer says which folders each of them is made of.
+
+    A version lists the folders of every table, so it may replace a table, add rows to it as one more folder, or leave
+    it as it was without writing it again. Readers see all tables of one version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self._pointer = spark, path.rstrip("/"), Pointer(spark, path)
+
+    @property
+    def version(self) -> str | None:
+        return self._pointer.state()[1]["version"]
+
+    def tables(self) -> dict[str, list[str]]:
+        """Folders of each table in the version that readers see."""
+        state = self._pointer.state()[1]
+        return state["of"][state["version"]] if state["version"] else {}
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{x}" for x in self.tables()[name]))
+
+    @contextlib.contextmanager
+    def change(self, version: str):
+        """A Change; when the block ends its tables become the version that readers see, all at once. If it fails,
+        nothing changes."""
+        n, state = self._pointer.state()
+        if version in state["history"]:
+            raise ValueError(f"version {version} exists")
+        c = Change(self.spark, self.path, version, {k: list(v) for k, v in (state["of"][state["version"]] if state["version"] else {}).items()})
+        try:
+            yield c
+        except BaseException:
+            self._pointer.delete(version)
+            raise
+        self._pointer.move(n, {"version": version, "history": [*state["history"], version], "of": state.get("of", {}) | {version: c.tables}})
+
+    def rollback(self, version: str) -> None:
+        n, state = self._pointer.state()
+        if version not in state["history"]:
+            raise ValueError(f"no version {version}")
+        self._pointer.move(n, state | {"version": version})
+
+
+class Change:
+    """Tables of a version in the making."""
+
+    def __init__(self, spark: SparkSession, path: str, version: str, tables: dict[str, list[str]]):
+        self.spark, self.path, self.version, self.tables = spark, path, version, tables
+
+    def has(self, name: str) -> bool:
+        return name in self.tables
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{x}" for x in self.tables[name]))
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        """The table is df from this version on; returns the rows as written."""
+        self.tables[name] = []
+        return self.add(name, df)
+
+    def add(self, name: str, df: DataFrame) -> DataFrame:
+        """The table has df's rows besides those it had; returns the new rows as written."""
+        folder = f"{self.version}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        self.tables.setdefault(name, []).append(folder)
+        return self.spark.read.parquet(f"{self.path}/{folder}")
