@@ -26,11 +26,13 @@ _NOT_CHARS = SPACE + bytes(range(0x80, 0xC0))
 FEATURES = {"x_word": 0.08, "x_symbol": 0.15, "x_dup": 0.1, "x_repeat": 0.1, "x_line": 0.5}
 #: Statistics are rounded to so many parts of one, and held as integers: their sums are exact in any order.
 UNIT = 4096
-#: Share of a group's rows that the estimate is concentrated on, and concentration steps at most (they end when no
-#: determinant falls).
-SUBSET, STEPS = 0.75, 12
+#: Share of a group's rows that the estimate is concentrated on, concentration steps at most, and the mean fall of the log
+#: determinants below which they end.
+SUBSET, STEPS, LEAST_FALL = 0.75, 12, 1e-3
 #: Groups whose estimates are broadcast at most (some 400 bytes each); more are joined.
 FEW_GROUPS = 50_000
+#: Parts of a stored table of so few groups.
+SMALL_PARTS = 8
 #: Rows' worth of its language that a source's estimate takes in, and of all rows that a language's does.
 PRIOR = 60.0
 #: A row is rejected if so unlikely under the chi-square law of the distance, times the slack for heavy tails.
@@ -141,12 +143,12 @@ def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cov[:, range(P), range(P)] = np.maximum(cov[:, range(P), range(P)], 0) + floor  # a ridge: a constant statistic keeps its least scale
         chol = np.linalg.cholesky(cov)
         inv = np.linalg.inv(chol)
-        out = {"g": b.column("g"), "l": b.column("l"), "start": b.column("start"), "det": 2 * np.log(chol[:, range(P), range(P)]).sum(1)}
+        out = {"g": b.column("g"), "l": b.column("l"), "start": b.column("start"), "n": col["n"], "det": 2 * np.log(chol[:, range(P), range(P)]).sum(1)}
         out |= {f"m{i}": m[:, i] for i in range(P)} | {f"w{i}_{j}": inv[:, i, j] for i, j in _PAIRS}
         yield pa.RecordBatch.from_pydict(out)
 
 
-_PARAMS = "g string, l string, start int, det double, " + ", ".join([f"m{i} double" for i in range(P)] + [f"w{i}_{j} double" for i, j in _PAIRS])
+_PARAMS = "g string, l string, start int, n double, det double, " + ", ".join([f"m{i} double" for i in range(P)] + [f"w{i}_{j} double" for i, j in _PAIRS])
 
 
 def distance(xs: list[Column]) -> Column:
@@ -197,11 +199,19 @@ def middle(d: DataFrame, prior: float, scratch: Scratch, name: str) -> DataFrame
     return median("g", "l").join(lang, "l").select("g", F.exp(lean("of_lang")).alias("mid"))
 
 
+def falls(before: DataFrame, after: DataFrame) -> bool:
+    """Whether the log determinants of a start fell by LEAST_FALL or more, in the mean of groups by their rows (sums of integers)."""
+    j = after.select("g", "start", "n", F.col("det").alias("_new")).join(before.select("g", "start", "det"), ["g", "start"])
+    n = F.col("n").cast("long")
+    d = j.groupBy("start").agg(F.sum(n * F.round((F.col("det") - F.col("_new")) * 1e6).cast("long")).alias("fall"), F.sum(n).alias("n"))
+    return not d.where(F.col("fall") >= LEAST_FALL * 1e6 * F.col("n")).isEmpty()
+
+
 def mcd(t: DataFrame, scratch: Scratch, prior: float = PRIOR) -> DataFrame:
     """Reweighted MCD estimate of each group g of t(g, l, statistics): parameter columns and `mid`, the median squared distance.
 
     Deterministic starts (the group's medians with its language's MAD scales; means of all its rows with their covariance),
-    concentration steps until no determinant falls, the start of the smaller determinant (ties: the first), then one
+    concentration steps until the log determinants fall no more (in the mean of all groups), the start of the smaller determinant (ties: the first), then one
     reweighting step. Every estimate leans on its language's and on all rows' by `prior` rows, so that a group of any
     size has one of its own. All sums are over all rows, of integers, so estimates don't depend on partitions. A
     subset ends with a whole bin of distances.
@@ -209,7 +219,8 @@ def mcd(t: DataFrame, scratch: Scratch, prior: float = PRIOR) -> DataFrame:
     xs = [F.col(x) for x in FEATURES]
     med = scratch.cut(t.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 10000).alias(f"c{i}") for i, x in enumerate(xs))), "medians")
     few = med.count() <= FEW_GROUPS  # every table of groups below has a row, or two, for each
-    fitted = lambda m, name: scratch.cut(leaning(scratch.cut(m, f"moments-{name}"), prior).mapInArrow(fit, _PARAMS), f"params-{name}")
+    held = lambda m, name: scratch.cut(m.coalesce(SMALL_PARTS) if few else m, name)
+    fitted = lambda m, name: held(leaning(held(m, f"moments-{name}"), prior).mapInArrow(fit, _PARAMS), f"params-{name}")
     dev = beside(t, med, ["g"], few).select("l", *(F.abs(x - F.col(f"c{i}")).alias(f"a{i}") for i, x in enumerate(xs)))
     mad = scratch.cut(dev.groupBy("l").agg(*((F.percentile_approx(f"a{i}", 0.5, 10000) * 1.4826).alias(f"a{i}") for i in range(P))), "scales")
     z = sum((F.pow((x - F.col(f"c{i}")) / F.greatest(F.col(f"a{i}"), F.lit(s * UNIT)), 2) for i, (x, s) in enumerate(zip(xs, FEATURES.values(), strict=True))), F.lit(0.0))
@@ -218,21 +229,20 @@ def mcd(t: DataFrame, scratch: Scratch, prior: float = PRIOR) -> DataFrame:
     plain = moments(t.withColumn("start", F.lit(1)), "g", "l", "start")
     params = fitted(robust.unionByName(plain), "0")
     for k in range(1, STEPS + 1):
-        d = beside(t, params.drop("l"), ["g"], few).withColumn("d", distance(xs))
+        d = beside(t, params.drop("l", "n"), ["g"], few).withColumn("d", distance(xs))
         after = fitted(concentrate(d, SUBSET), str(k))
-        falls = after.select("g", "start", F.col("det").alias("_new")).join(params, ["g", "start"]).where(F.col("_new") < F.col("det") - 1e-6)
         # the first step goes from half of the rows, or all, to the subset; only from then on determinants compare
-        stop, params = k > 1 and falls.isEmpty(), after
+        stop, params = k > 1 and not falls(params, after), after
         if stop:
             break
     params = params.groupBy("g").agg(F.min_by(F.struct(*params.columns), F.struct("det", "start")).alias("p")).select("p.*")
     params = scratch.cut(params, "best")
-    d = beside(t, params.drop("l"), ["g"], few).withColumn("d", distance(xs))
+    d = beside(t, params.drop("l", "n"), ["g"], few).withColumn("d", distance(xs))
     mid = scratch.cut(middle(d, prior, scratch, "bins"), "near")
     near = beside(d, mid, ["g"], few).where(F.col("d") <= F.col("mid") * (chi2(0.975) / chi2(0.5)))
     # a small group may have no row so near: it has its language's moments alone
     m = params.select("g", "l", F.lit(0).alias("start")).join(moments(near, "g"), "g", "left").na.fill(0)
-    params = fitted(m, "final").drop("l", "start", "det")
+    params = fitted(m, "final").drop("l", "start", "n", "det")
     mid = middle(beside(t, params, ["g"], few).withColumn("d", distance(xs)), prior, scratch, "last-bins")
     return scratch.cut(params.join(mid, "g"), "estimates")
 

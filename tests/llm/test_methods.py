@@ -165,10 +165,10 @@ def by_brute_force(groups, floor, prior):
             n, s, q = (v + prior * v2 for v, v2 in zip(m, lang[g[0]], strict=True))
             c = q / n - np.outer(s / n, s / n)
             c[range(p), range(p)] = np.maximum(c[range(p), range(p)], 0) + floor**2
-            out[g] = (s / n, c)
+            out[g] = (s / n, c, n)
         return out
 
-    def far(x, m, c):
+    def far(x, m, c, _):
         y = np.linalg.solve(np.linalg.cholesky(c), (x - m).T)
         return (y * y).sum(0)
 
@@ -193,9 +193,9 @@ def by_brute_force(groups, floor, prior):
     det = lambda s, g: np.linalg.slogdet(s[g][1])[1]
     for k in range(quality.STEPS):
         after = [fit({g: x[closest(far(x, *s[g]), quality.SUBSET)] for g, x in groups.items()}) for s in starts]
-        falls = [det(a, g) < det(s, g) - 1e-6 for a, s in zip(after, starts, strict=True) for g in groups]
+        fall = [sum(int(a[g][2]) * (det(s, g) - det(a, g)) for g in groups) / sum(int(a[g][2]) for g in groups) for a, s in zip(after, starts, strict=True)]
         starts = after
-        if k and not any(falls):
+        if k and max(fall) < quality.LEAST_FALL:
             break
     best = {g: min(starts, key=lambda s: det(s, g))[g] for g in groups}
     d = {g: far(x, *best[g]) for g, x in groups.items()}
