@@ -13,7 +13,8 @@ ENERGY = ["energy", "heat", "enthalpy", "energie", "énergie", "thermique", "cha
 SPECIES = ["species", "component", "constituent", "espèce", "espece", "composant", "constituant"]
 FORMULA = r"\b[a-z]{1,3}\d+(?:[a-z]\d*)+\b"
 #: Units of measurement.
-UNITS = r"(%|°c|k|pa|kpa|mpa|bar|mbar|torr|kg/s|kg/h|t/h|m3/h|m/s|kw|mw|w|kj/kg|kj/mol|j/mol|kg/m3)(?:[^\p{L}\p{N}_]|$)"
+UNIT_NAMES = r"(%|°c|k|pa|kpa|mpa|bar|mbar|torr|kg/s|kg/h|t/h|m3/h|m/s|kw|mw|w|kj/kg|kj/mol|j/mol|kg/m3)"
+UNITS = UNIT_NAMES + r"(?:[^\p{L}\p{N}_]|$)"
 #: Pages sampled of a file; visible characters from which shares are judged; least share of letters; least words.
 SAMPLED, JUDGED, LETTERS, WORDS = 12, 500, 0.15, 10
 

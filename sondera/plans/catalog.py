@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import assembly, corpora, linestreams, more, planning, retrieval, stores, structured, vectors, versions
+from . import assembly, claims, corpora, linestreams, more, planning, retrieval, stores, structured, vectors, versions
 from .registry import QUERIES, SQL
 from .retrieval import flagship
 
-__all__ = ["QUERIES", "SQL", "assembly", "corpora", "flagship", "linestreams", "more", "planning", "retrieval", "stores", "structured", "vectors", "versions"]
+__all__ = ["QUERIES", "SQL", "assembly", "claims", "corpora", "flagship", "linestreams", "more", "planning", "retrieval", "stores", "structured", "vectors", "versions"]
