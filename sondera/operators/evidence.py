@@ -82,10 +82,13 @@ def citation_check(answers: DataFrame, n_sources: str) -> DataFrame:
 
 
 def ungrounded_numbers(claims: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
-    """(key, n_numbers, n_missing): numbers of a claim, and those that its evidence lacks."""
-    e = evidence.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(numbers(F.col("text"))))).alias("_have"))
-    j = claims.select(key, numbers(F.col("text")).alias("_n")).join(e, key, "left")
-    return j.select(key, F.size("_n").cast("long").alias("n_numbers"), F.size(F.array_except("_n", F.coalesce("_have", F.array().cast("array<string>")))).cast("long").alias("n_missing"))
+    """(key, n_numbers, n_missing), one row a key of claims(key, text): the distinct numbers that its claims state, and how many
+    of them its evidence(key, text) lacks. Numbers are made distinct before they meet, texts never do. A key without
+    numbers, or with null texts alone, has zeros; a null key has no evidence."""
+    e = evidence.select(key, F.explode(numbers(F.col("text"))).alias("_n")).distinct().withColumn("_held", F.lit(1))
+    c = claims.select(key, F.explode_outer(numbers(F.col("text"))).alias("_n")).distinct()
+    missing = F.count(F.when(F.col("_held").isNull() & F.col("_n").isNotNull(), 1))
+    return c.join(e, [key, "_n"], "left").groupBy(key).agg(F.count("_n").alias("n_numbers"), missing.alias("n_missing"))
 
 
 def focused_windows(df: DataFrame, budget: int) -> DataFrame:

@@ -85,10 +85,12 @@ def adjusted(hits: DataFrame, boosts: DataFrame, kind: str = "kind") -> DataFram
     return j.withColumn("position", F.row_number().over(w).cast("long")).drop("_k", "boost")
 
 
-def section_bonus(sections: DataFrame, step: float = 0.0005, top: float = 0.006) -> DataFrame:
-    """(query_id, doc_id, bonus): the best bonus of the ranked sections that hold a document. sections(query_id, rank, doc_ids)."""
+def section_bonus(sections: DataFrame, members: DataFrame, section: str, step: float = 0.0005, top: float = 0.006) -> DataFrame:
+    """(query_id, doc_id, bonus): the best bonus of the ranked sections(query_id, section, rank) that hold a document, by
+    members(section, doc_id)."""
     b = F.greatest(F.lit(step), top - step * (F.col("rank") - 1))
-    return sections.select("query_id", F.explode("doc_ids").alias("doc_id"), b.alias("b")).groupBy("query_id", "doc_id").agg(F.round(F.max("b"), 6).alias("bonus"))
+    x = sections.select("query_id", section, b.alias("b")).join(members.select(section, "doc_id"), section)
+    return x.groupBy("query_id", "doc_id").agg(F.round(F.max("b"), 6).alias("bonus"))
 
 
 def first_success(attempts: DataFrame) -> DataFrame:

@@ -94,3 +94,21 @@ def test_unknown_null_and_repeated_sources(spark):
 
 def test_empty_tables(spark):
     assert sp.support(spark.createDataFrame([], ANSWERS), spark.createDataFrame([], SOURCES)).collect() == []
+
+
+def test_ungrounded_numbers_by_key(spark):
+    from sondera.operators.evidence import ungrounded_numbers
+
+    t = "k string, text string, n_numbers int"
+    c = spark.createDataFrame([("a", "1 and 2,50", 0), ("a", "2.5 and 3", 0), ("b", "none", 0), ("c", None, 0), (None, "7", 0)], t)
+    e = spark.createDataFrame([("a", "2.5", 0), ("a", "1.0", 0), ("a", None, 0), ("d", "3", 0), (None, "7", 0)], t)
+    assert sorted(map(tuple, ungrounded_numbers(c, e, "k").collect()), key=str) == [("a", 3, 1), ("b", 0, 0), ("c", 0, 0), (None, 1, 1)]
+    assert ungrounded_numbers(c.limit(0), e, "k").collect() == []
+
+
+def test_section_bonus_takes_the_best_section(spark):
+    from sondera.operators.planning import section_bonus
+
+    s = spark.createDataFrame([(1, "x", 1), (1, "y", 3), (2, "z", 40)], "query_id long, s string, rank int")
+    m = spark.createDataFrame([("x", 5), ("y", 5), ("y", 6), ("z", 5), ("w", 9)], "s string, doc_id long")
+    assert sorted(map(tuple, section_bonus(s, m, "s").collect())) == [(1, 5, 0.006), (1, 6, 0.005), (2, 5, 0.0005)]
