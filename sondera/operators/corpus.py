@@ -33,6 +33,27 @@ def page_quality(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("status", status).drop("_r", "_c")
 
 
+#: Page numbers of a block, within which page_ranges() finds runs.
+PAGE_BLOCK = 1024
+
+
+def page_ranges(df: DataFrame, *by: str, page: str = "page") -> DataFrame:
+    """(*by, pages): the distinct page numbers of each group as compact ranges in order, such as 1-3, 5; null where it has none.
+
+    Runs are found in blocks of page numbers; the window over a group, and its row, see a run a block instead of pages.
+    """
+    p = df.select(*by, F.col(page).alias("_p")).distinct().withColumn("_b", F.floor(F.col("_p") / PAGE_BLOCK))
+    p = p.withColumn("_run", F.col("_p") - F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_p")))
+    runs = p.groupBy(*by, "_b", "_run").agg(F.min("_p").alias("_a"), F.max("_p").alias("_z"))
+    w = Window.partitionBy(*by).orderBy("_a")
+    begins = F.when(F.col("_a") - 1 == F.lag("_z").over(w), 0).otherwise(1)
+    runs = runs.withColumn("_new", begins).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*by, "_run").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"))
+    text = F.when(F.col("_a") == F.col("_z"), F.col("_a").cast("string")).otherwise(F.concat(F.col("_a").cast("string"), F.lit("-"), F.col("_z").cast("string")))
+    in_order = F.sort_array(F.collect_list(F.when(F.col("_a").isNotNull(), F.struct("_a", text.alias("t")))))
+    return runs.groupBy(*by).agg(F.nullif(F.array_join(in_order["t"], ", "), F.lit("")).alias("pages"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line): all lines of the texts."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

@@ -123,8 +123,8 @@ def p20(spark, sf):
 
 @query("p21_page_ranges", "WITH p AS (SELECT DISTINCT lang, source, doc_id // 20 AS p FROM documents), g AS (SELECT *, p - row_number() OVER (PARTITION BY lang, source ORDER BY p) AS g FROM p), r AS (SELECT lang, source, min(p) AS a, max(p) AS z FROM g GROUP BY lang, source, g) SELECT lang, source, string_agg(CASE WHEN a = z THEN a::VARCHAR ELSE a || '-' || z END, ', ' ORDER BY a) AS pages FROM r GROUP BY ALL")
 def p21(spark, sf):
-    p = docs(spark, sf).groupBy("lang", "source").agg(F.collect_set(F.floor(F.col("doc_id") / 20).cast("long")).alias("p"))
-    return p.select("lang", "source", tx.page_ranges(F.col("p")).alias("pages"))
+    p = docs(spark, sf).select("lang", "source", F.floor(F.col("doc_id") / 20).cast("long").alias("page"))
+    return co.page_ranges(p, "lang", "source")
 
 
 @query("p22_slugs", r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_replace(url, '\.[A-Za-z0-9]+$', '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM pages""")

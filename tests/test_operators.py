@@ -223,3 +223,13 @@ def test_max_sim_takes_any_number_of_query_vectors(spark):
     best = np.stack([(q @ d[k::3].T).max(1) for k in range(3)], 1)
     assert got == {(j, k): pytest.approx(best[j::2, k].mean(), abs=2e-6) for j in range(2) for k in range(3)}
     assert search.max_sim(docs, queries.where("false")).count() == 0
+
+
+def test_page_ranges_join_runs_across_blocks(spark):
+    n = 3 * corpus.PAGE_BLOCK
+    pages = [(k, p) for k in ("a", None) for p in [*range(n), n + 5, n + 7, n + 8, n + 5]] + [("b", None), ("c", -1), ("c", 0), ("c", None)]
+    d = spark.createDataFrame(pages, "source string, page long")
+    want = f"0-{n - 1}, {n + 5}, {n + 7}-{n + 8}"
+    assert {r["source"]: r["pages"] for r in corpus.page_ranges(d, "source").collect()} == {"a": want, None: want, "b": None, "c": "-1-0"}
+    many = spark.range(1_500_000).selectExpr("id % 2 AS source", "id div 2 + id div 20000 AS page")  # work by the square would take hours
+    assert {r["source"]: r["pages"].count(",") for r in corpus.page_ranges(many, "source").collect()} == {0: 74, 1: 74}
