@@ -89,7 +89,7 @@ def p19(spark, sf):
 @query("f3_sparse_allowed", f"WITH {BM25}, {SPARSE}, a AS (SELECT sp.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sp JOIN documents USING (doc_id) WHERE score > 0.05 AND lang = 'en') SELECT query_id, doc_id, score, r AS rank FROM a WHERE r <= 10")
 def f3(spark, sf):
     allowed = docs(spark, sf).where("lang = 'en'")
-    return se.sparse(se.sparse_vectors(index(spark, sf)), se.sparse_vectors(questions(spark, sf), "query_id"), 10, 0.05, allowed).select("query_id", "doc_id", "score", "rank")
+    return se.sparse(index(spark, sf), se.sparse_vectors(questions(spark, sf), "query_id"), 10, 0.05, allowed).select("query_id", "doc_id", "score", "rank")
 
 
 @query("f5_non_evidentiary", rf"WITH p AS (SELECT page_id, lower(url || ' ' || regexp_replace(html, '<[^>]*>', ' ', 'g')) AS t FROM pages) SELECT page_id, trim(t) = '' OR {_HAS('t', ck.LOW_VALUE)} AS rejected FROM p")
@@ -284,7 +284,7 @@ def q5(spark, sf):
 
 @query("q7_index_alignment", f"WITH {BM25}, i AS (SELECT DISTINCT doc_id FROM tf), m AS (SELECT doc_id FROM labels) SELECT (SELECT count(*) FROM i) AS n_indexed, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM i)) AS n_missing, (SELECT count(*) FROM i WHERE doc_id NOT IN (SELECT doc_id FROM m)) AS n_without_label, (SELECT count(*) - count(DISTINCT doc_id) FROM documents) AS n_double")
 def q7(spark, sf):
-    i = index(spark, sf).postings.select("doc_id").distinct()
+    i = index(spark, sf).rows.select("doc_id")  # one row a document
     d, m = documents(spark, sf).select("doc_id"), table(spark, sf, "labels").select("doc_id")
     n = lambda df, name: df.agg(F.count("*").alias(name))
     double = d.agg((F.count("*") - F.countDistinct("doc_id")).alias("n_double"))
@@ -338,7 +338,7 @@ def r5(spark, sf):
     """Expanded questions, two searches, and the order of the fused candidates with the bonus of their sections (A2)."""
     q = expanded(spark, sf)
     b = se.bm25(index(spark, sf), q, 20)
-    s = se.sparse(se.sparse_vectors(index(spark, sf)), se.sparse_vectors(q, "query_id"), 20)
+    s = se.sparse(index(spark, sf), se.sparse_vectors(q, "query_id"), 20)
     d = docs(spark, sf).select("doc_id", "source")
     sections = b.join(d, "doc_id").groupBy("query_id", "source").agg(F.max("score").alias("s"))
     sections = sections.withColumn("srank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "source"))).where("srank <= 3").drop("s")

@@ -233,3 +233,19 @@ def test_page_ranges_join_runs_across_blocks(spark):
     assert {r["source"]: r["pages"] for r in corpus.page_ranges(d, "source").collect()} == {"a": want, None: want, "b": None, "c": "-1-0"}
     many = spark.range(1_500_000).selectExpr("id % 2 AS source", "id div 2 + id div 20000 AS page")  # work by the square would take hours
     assert {r["source"]: r["pages"].count(",") for r in corpus.page_ranges(many, "source").collect()} == {0: 74, 1: 74}
+
+
+def test_a_search_shuffles_the_best_rows_only(spark, tmp_path):
+    """Hits of every document with a frequent word stay in the task that found them; ties and shared ids are as without k."""
+    d = spark.createDataFrame([(i % 900, f"common word{i % 7} 3 : 4 " + "common " * (i % 5)) for i in range(1000)] + [(None, "common"), (5000, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"common word{i % 7} 3:4 3:4") for i in range(20)] + [(99, "")], "query_id long, text string")
+    for find in (lambda k: search.bm25(d, q, k), lambda k: search.sparse(search.Index.over(d), search.sparse_vectors(q, "query_id"), k)):
+        full = rows(find(None), "query_id", "rank", "doc_id", "score")
+        assert len(full) == 20 * 901 and rows(find(7), "query_id", "rank", "doc_id", "score") == [r for r in full if r[1] <= 7]
+    want = {(r["query_id"], r["doc_id"]): r["score"] for r in search.sparse(search.sparse_vectors(d), search.sparse_vectors(q, "query_id"), None).collect()}
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in find(None).collect()} == pytest.approx(want, abs=1.5e-6)
+    x = search.Index.over(d.where("doc_id < 100"))
+    x.rows.write.parquet(str(tmp_path / "rows"))
+    x.rows = spark.read.parquet(str(tmp_path / "rows"))
+    plan = search.bm25(x, q, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "WindowGroupLimit" in plan
