@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import VersionedTables
-from .search import Index, bm25_scores, ranked
+from .search import Index, bm25, counted, postings_of, query_terms, ranked, rows_of
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -63,10 +63,14 @@ class IncrementalIndex:
             if c.has("contents"):
                 fresh = fresh.join(c.read("contents"), "digest", "left_anti")
             fresh = c.add("contents", fresh.select("digest", "doc_id"))
-            texts = docs.select("doc_id", "text").join(fresh, "doc_id").select(F.col("digest").alias("doc_id"), "text")  # one document of each content
-            c.add("postings", Index.tokenised(texts).drop("norm").sortWithinPartitions("tok"))
-            p = c.read("postings").join(changes.select(F.col("digest").alias("doc_id"), "more"), "doc_id")
-            df = c.add("frequencies", p.groupBy("tok").agg(F.sum("more").alias("df"), F.sum(F.col("more") * F.col("tf")).alias("tokens")))
+            texts = docs.select("doc_id", "text").join(fresh.join(changes.select("digest", "more"), "digest"), "doc_id")  # one document of each content
+            held = c.read("postings").drop("more") if c.has("postings") else None
+            new = c.add("postings", postings_of(counted(texts.select(F.col("digest").alias("doc_id"), "more", "text"), "more", deal=False), "more"))
+            p = new.groupBy("tok").agg(F.sum("more").alias("df"), F.sum(F.col("more") * F.col("tf")).alias("tokens"))
+            if held is not None:
+                known = changes.join(fresh, "digest", "left_anti").select(F.col("digest").alias("doc_id"), "more")
+                p = p.union(held.join(known, "doc_id").groupBy("tok").agg(F.sum("more").alias("df"), F.sum(F.col("more") * F.col("tf")).alias("tokens")))
+            df = c.add("frequencies", p)
             rows = changes.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("digest") != "", F.col("more"))), F.lit(0)).alias("with_text"))
             c.add("totals", rows.join(df.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))))
 
@@ -76,7 +80,7 @@ class IncrementalIndex:
             live = c.read("names").select("digest").distinct()
             for name, key in (("postings", "doc_id"), ("contents", "digest")):
                 kept = c.read(name).join(live.withColumnRenamed("digest", key), key, "left_semi")
-                c.replace(name, kept.sortWithinPartitions("tok") if name == "postings" else kept)
+                c.replace(name, kept.sortWithinPartitions("doc_id") if name == "postings" else kept)
             f = c.read("frequencies").groupBy("tok").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
             c.replace("frequencies", f.where("df <> 0"))
             c.replace("totals", c.read("totals").agg(*(F.sum(x).alias(x) for x in ("n", "with_text", "tokens"))))
@@ -86,12 +90,17 @@ class IncrementalIndex:
         s = self.store
         t = s.read("totals").agg(*(F.sum(x).alias(x) for x in ("n", "with_text", "tokens"))).first()
         df = s.read("frequencies").groupBy("tok").agg(F.sum("df").alias("df")).where("df > 0")
-        return Index(s.read("postings"), df, float(t["n"]), t["tokens"] / max(1, t["with_text"]) or 1.0)
+        return Index(rows_of(s.read("postings")), df, float(t["n"]), t["tokens"] / max(1, t["with_text"]) or 1.0)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """Top k documents of each query, as bm25 over a fresh index. A content is scored once; of the documents that share
-        it only the k of the smallest ids can be among the best."""
-        names = ranked(self.store.read("names").where("digest <> ''").withColumnRenamed("digest", "query_id"), k, ["doc_id"])
-        names = names.select(F.col("query_id").alias("digest"), "doc_id")
-        scores = bm25_scores(self.index(), queries).where("score > 0").withColumnRenamed("doc_id", "digest")
-        return ranked(scores.join(names, "digest").select("query_id", "doc_id", "score"), k)
+        """Top k documents of each query, as bm25 over a fresh index. A content is scored once, under the smallest id that has
+        it: the k best documents are among those of the k best such ids, and of each content the k smallest ids suffice."""
+        names = self.store.read("names").where("digest <> ''")
+        first = names.groupBy("digest").agg(F.min("doc_id").alias("_first"))
+        asked = self.store.read("postings").join(F.broadcast(query_terms(queries).select("tok").distinct()), "tok", "left_semi")
+        rows = rows_of(asked).withColumnRenamed("doc_id", "digest").join(first, "digest").drop("digest").withColumnRenamed("_first", "doc_id")
+        x = self.index()
+        best = bm25(Index(rows, x.frequencies, x.n_docs, x.avgdl), queries, k).select("query_id", "score", F.col("doc_id").alias("_first")).join(first, "_first")
+        same = ranked(names.join(best.select("digest").distinct(), "digest", "left_semi").withColumnRenamed("digest", "query_id"), k, ["doc_id"])
+        same = same.select(F.col("query_id").alias("digest"), "doc_id")
+        return ranked(best.join(same, "digest").select("query_id", "doc_id", "score"), k)
