@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 from . import fusion
-from .search import K1, B, Index, bm25, query_terms, ranked, sparse, sparse_vectors
+from .search import K1, B, Index, bm25, query_terms, ranked, rows_of, sparse, sparse_vectors
 
 #: Times that the tokens of a section's path count.
 PATH = 3
@@ -24,10 +24,8 @@ def chunk_postings(chunks: DataFrame) -> DataFrame:
 
 def index_of(postings: DataFrame, n_docs: int) -> Index:
     """An index over stored postings(doc_id, dl, tok, tf)."""
-    w = 1 + F.log("tf")
-    p = postings.withColumn("norm", F.sqrt(F.sum(w * w).over(Window.partitionBy("doc_id"))))
     total = postings.agg(F.sum("tf").alias("n")).first()["n"] or 0
-    return Index(p, postings.groupBy("tok").agg(F.count("*").alias("df")), float(n_docs), total / max(1, n_docs) or 1.0)
+    return Index(rows_of(postings), postings.groupBy("tok").agg(F.count("*").alias("df")), float(n_docs), total / max(1, n_docs) or 1.0)
 
 
 def section_postings(postings: DataFrame, sections: DataFrame) -> DataFrame:
@@ -45,7 +43,7 @@ def search_sections(index: Index, sections: DataFrame, questions: DataFrame, k:
     arrays of kinds (null: none). low_value: a pattern of paths that are no candidates. Boosts are of the candidates alone.
     """
     q = questions.select("query_id", "text")
-    runs = fusion.runs(bm25=bm25(index, q, candidates), sparse=sparse(sparse_vectors(index), sparse_vectors(q, "query_id"), candidates))
+    runs = fusion.runs(bm25=bm25(index, q, candidates), sparse=sparse(index, sparse_vectors(q, "query_id"), candidates))
     score = F.round(F.sum(1.0 / (fusion.RRF_K + F.col("rank"))), 9)
     c = runs.groupBy("query_id", "doc_id").agg(score.alias("rrf"), F.max(F.when(F.col("retriever") == "sparse", F.col("score"))).alias("sparse_score")).withColumnRenamed("doc_id", "section_id")
     c = c.join(sections.select("section_id", "doc", "hierarchy_path", "page_start", "kinds"), "section_id")
