@@ -249,3 +249,35 @@ def test_a_search_shuffles_the_best_rows_only(spark, tmp_path):
     x.rows = spark.read.parquet(str(tmp_path / "rows"))
     plan = search.bm25(x, q, 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "WindowGroupLimit" in plan
+
+
+def test_dense_keeps_the_best_in_blocks_of_any_size(spark, monkeypatch):
+    import numpy as np
+
+    v = np.round(np.random.default_rng(1).normal(size=(700, 2)), 1).tolist()  # many ties
+    d = spark.createDataFrame([(i * 37 % 700, x) for i, x in enumerate(v)], "doc_id long, v array<double>").repartition(3)
+    q = d.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(search, "CELLS", 35 * 16)
+    full = rows(search.dense(d, q, None, -1.0), "query_id", "rank", "doc_id", "score")
+    assert rows(search.dense(d, q, 9, -1.0), "query_id", "rank", "doc_id", "score") == [r for r in full if r[1] <= 9]
+
+
+def test_dense_holds_few_scores_at_once():
+    """4096 queries times a batch were six arrays of 327 MB; slices of CELLS scores are eight MB each."""
+    import numpy as np
+
+    pick = search.Leaders(2)
+    got = [pick(np.array(s), np.array(s) > -1) for s in ([[1.0, 3.0, 3.0, 3.0]], [[3.0, 2.0]], [[5.0, 0.0]])]
+    assert [c.tolist() for _, c in got] == [[1, 2], [0], [0]] and search.CELLS * 8 <= 8 << 20
+
+
+def test_max_sim_multiplies_equal_vectors_once(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    q, d = np.round(rng.normal(size=(6, 2)), 2), np.round(rng.normal(size=(40, 2)), 2)
+    docs = spark.createDataFrame([(i % 3, x.tolist()) for i, x in enumerate(d)] * 50 + [(1, None)], "doc_id long, v array<double>")
+    queries = spark.createDataFrame([(0, x.tolist()) for i, x in enumerate(q) for _ in range(i + 1)] + [(0, None)], "query_id long, v array<double>")
+    best = np.stack([(q @ d[k::3].T).max(1) for k in range(3)], 1)
+    got = {r["doc_id"]: r["score"] for r in search.max_sim(docs, queries).collect()}
+    assert got == {k: pytest.approx(np.average(best[:, k], weights=range(1, 7)), abs=1e-6) for k in range(3)}
