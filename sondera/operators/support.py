@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CITATION, citations, collapse, strip
-from .checks import UNIT_NAMES
+from ..functions.text import CITATION, citations, strip
+from .checks import UNIT_NAMES, any_of
 
 _NOT_AFTER, _NOT_BEFORE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -27,18 +27,52 @@ UNIT_FORMS = [
     (r"(?:percent|pour\s*cent)", "%"),
 ]
 
+#: For each of these forms: how it begins (other words may begin so too), and parts one of which a lower-case text of single
+#: spaces holds if it holds the form.
+_SIGNS = [
+    (r"t(?:on|\s*(?:/|per))", ["ton", "t/", "t /", "tper", "t per"]),
+    (r"kg", ["kg"]),
+    (r"kg", ["kg"]),
+    (r"[mc](?:3|\^3|ubic)", ["m3", "m^3", "cubic"]),
+    (r"m(?:et|\s*(?:/|per))", ["/s", "/ s", "pers", "per s"]),
+    (r"[°d](?:egr|(?<=°))", ["°", "degr"]),
+    (r"p(?:erc|our)", ["percent", "pour"]),
+]
+
 
 def measured(c: Column, forms: list[tuple[str, str]] = UNIT_FORMS) -> Column:
     """Text in which equal measurements are spelled alike: lower case, one space, no list number in front, hyphens for dashes, a
-    point between digits for a comma or point, no spaces between thousands, units by `forms`, no space before %."""
-    c = F.regexp_replace(collapse(F.lower(c)), r"^\s*\d+[.)]\s*", "")
-    c = F.translate(c, "–—−³", "---3")
-    c = F.regexp_replace(c, r"(?<=\d)\s*[.,]\s*(?=\d)", ".")
-    c = F.regexp_replace(c, r"(?<=\d)\s+(?=\d{3}(?:\D|$))", "")
-    for pattern, form in forms:
+    point between digits for a comma or point, no spaces between thousands, units by `forms`, no space before %.
+
+    A regular expression costs a pass over the text, and most if it looks behind at every character: so a step begins with what it
+    looks for, and meets only texts that hold a sign of it. Forms of the caller's own have no signs and meet every text.
+    """
+    at = F.array(F.lower(c))  # one text; as an element it has a name that each step can use twice
+
+    def step(change, *signs):
+        nonlocal at
+        at = F.transform(at, lambda t: F.when(any_of(t, list(signs)), change(t)).otherwise(t) if signs else change(t))
+
+    def swap(a, b):
+        return lambda t: F.replace(t, F.lit(a), F.lit(b))
+
+    def match(pattern, form):
+        return lambda t: F.regexp_replace(t, pattern, form)
+
+    for space in "\t\n\x0b\f\r":
+        step(swap(space, " "), space)
+    step(match("  +", " "), "  ")
+    step(F.trim)
+    at = F.transform(at, lambda t: F.when(F.ascii(t).between(48, 57), F.regexp_replace(t, r"^\d+[.)]\s*", "")).otherwise(t))
+    for a, b in zip("–—−³", "---3", strict=True):
+        step(swap(a, b), a)
+    step(match(r"(\d)\s*[.,]\s*(?=\d)", "$1."))
+    step(match(r"(\d)\s+(?=\d{3}(?:\D|$))", "$1"))
+    for (pattern, form), (begins, signs) in zip(forms, _SIGNS if forms == UNIT_FORMS else [("", [])] * len(forms), strict=True):
         left = "" if pattern.startswith("(?:°") else _NOT_AFTER
-        c = F.regexp_replace(c, left + pattern + _NOT_BEFORE, form)
-    return F.regexp_replace(c, r"(?<=\d)\s*%", "%")
+        step(match(f"(?={begins}){left}{pattern}{_NOT_BEFORE}", form), *signs)
+    step(match(r"(\d)\s+%", "$1%"), "%")
+    return at[0]
 
 
 def canonical(n: Column) -> Column:
@@ -49,8 +83,8 @@ def canonical(n: Column) -> Column:
 
 def stated_numbers(m: Column, words: dict[str, str] = NUMBER_WORDS) -> Column:
     """Sorted distinct canonical numbers of a measured text, number words included."""
-    found = F.transform(F.regexp_extract_all(m, F.lit(r"(?<![\p{L}\p{N}_.])\d+(?:\.\d+)?"), 0), canonical)
-    said = F.filter(F.array(*(F.when(m.rlike(_NOT_AFTER + w + _NOT_BEFORE), n) for w, n in words.items())), lambda x: x.isNotNull())
+    found = F.transform(F.regexp_extract_all(m, F.lit(r"\d(?<![\p{L}\p{N}_.]\d)\d*(?:\.\d+)?"), 0), canonical)
+    said = F.filter(F.array(*(F.when(m.contains(w) & m.rlike(w + _NOT_BEFORE + rf"(?<![\p{{L}}\p{{N}}_]{w})"), n) for w, n in words.items())), lambda x: x.isNotNull())
     return F.sort_array(F.array_union(found, said))
 
 
